@@ -672,6 +672,5 @@ def table_append(spark, folder):
 
 @query
 def race_classifier(spark, folder):
-    rows = classifier.complete_rows(adapters.shootings(spark, folder))
-    train, test = classifier.split_rows(rows)
-    return classifier.scores(classifier.train(train), train=train, test=test)
+    rows = classifier.split_rows(classifier.complete_rows(adapters.shootings(spark, folder)))
+    return classifier.scores(classifier.train(rows.filter(F.col("split") == "train")), rows)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,7 +41,9 @@ def year_text(month: Column) -> Column:
 def night_flag(time: Column) -> Column:
     """0 from 06:00 to 18:59, 1 otherwise, NULL if the hour cannot be read."""
     hour = F.substring(time, 1, 2).try_cast("int")
-    return F.when(hour.between(FIRST_DAY_HOUR, LAST_DAY_HOUR), 0).when(hour.isNotNull(), 1)
+    middle = (FIRST_DAY_HOUR + LAST_DAY_HOUR) // 2
+    # One use of the hour: how far it lies from the middle of the day.
+    return (F.abs(hour - middle) > LAST_DAY_HOUR - middle).cast("int")
 
 
 def year_between(date: Column, first: int, last: int) -> Column:
@@ -59,8 +59,4 @@ def year_between(date: Column, first: int, last: int) -> Column:
 
 def mentions_year(text: Column, first: int, last: int) -> Column:
     """True where date text contains any year of the range, wherever it stands."""
-    return reduce(
-        lambda found, year: found | text.contains(str(year)),
-        range(first + 1, last + 1),
-        text.contains(str(first)),
-    )
+    return text.rlike("|".join(str(year) for year in range(first, last + 1)))

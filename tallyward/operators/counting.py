@@ -37,6 +37,16 @@ def regroup(counts: DataFrame, *keys: str) -> DataFrame:
     return count_by(counts, *keys, weight=COUNT)
 
 
+def settled(counts: DataFrame) -> DataFrame:
+    """A grouped report below which no later filter or join may move.
+
+    Catalyst moves a filter on a grouping column down to the raw rows. Where one
+    report is used twice, filtered and whole, that makes two scans of the raw
+    table out of one; behind this step both uses share the grouped result.
+    """
+    return counts.select(F.inline(F.array(F.struct(*counts.columns))))
+
+
 def total(counts: DataFrame, value: str = COUNT) -> Column:
     """The sum of a report as a scalar to use in an expression.
 

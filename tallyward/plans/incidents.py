@@ -27,6 +27,7 @@ from tallyward.operators.counting import (
     keep_members,
     ranked,
     regroup,
+    settled,
     share_of_total,
     share_within,
     slice_of,
@@ -224,7 +225,7 @@ def cross_crime_race(
     can take places in the ranking and leave fewer than ``n`` offences. The
     table is read once: both the ranking and the result come from its cells.
     """
-    cells = count_by(clean, "SUSP_RACE", "OFNS_DESC", weight=weight)
+    cells = settled(count_by(clean, "SUSP_RACE", "OFNS_DESC", weight=weight))
     top = top_n(regroup(cells, "OFNS_DESC"), "OFNS_DESC", n)
     named = cells.filter(filled("SUSP_RACE", "OFNS_DESC") & not_missing_word("OFNS_DESC"))
     return keep_members(named, "OFNS_DESC", top).select("SUSP_RACE", "OFNS_DESC", COUNT)

@@ -17,20 +17,24 @@ NO_GROUP = "None"
 
 def population_by_race(lines: DataFrame) -> DataFrame:
     """Population by race group; a group with an unreadable number is left out."""
+    race = F.col("race")
     people = census_fields(lines).select(
-        F.coalesce(race_group(F.col("race")), F.lit(NO_GROUP)).alias("key"),
+        F.when(race.isNotNull(), F.coalesce(race_group(race), F.lit(NO_GROUP))).alias("key"),
         F.col("population").try_cast("bigint").alias("people"),
     )
     return (
         people.groupBy("key")
         .agg(
             F.sum("people").alias("value"),
-            F.count_if(F.col("people").isNull()).alias("unreadable"),
+            F.count("key").alias("lines"),
+            F.count("people").alias("readable"),
         )
-        .filter(F.col("unreadable") == 0)
+        # Lines that are no data have the NULL key, whose count is 0.
+        .filter((F.col("lines") > 0) & (F.col("readable") == F.col("lines")))
         .select("key", "value")
     )
 
 
 def crimes_by_race(lines: DataFrame) -> DataFrame:
-    return crime_race(lines).groupBy("key").agg(F.count(F.lit(1)).alias("value"))
+    counts = crime_race(lines).groupBy("key").agg(F.count("key").alias("value"))
+    return counts.filter(F.col("value") > 0)

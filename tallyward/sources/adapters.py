@@ -66,9 +66,6 @@ PRIORITY_ARMS = {
 FLAG_LEVELS = {"R": "FELONY", "A": "MISDEMEANOR", "N": "VIOLATION"}
 STATUS_OUTCOMES = {"O": "ATTEMPTED", "F": "COMPLETED"}
 
-_CUSTOMER_COLUMNS = {"BORO_NM", "SUSP_RACE"}
-_PART_COLUMNS = {"KY_CD", "OFNS_DESC"}
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -93,46 +90,48 @@ def _customer_regions(spark: SparkSession, folder: str) -> DataFrame:
     return customer.join(places, customer.c_nationkey == places.n_nationkey, "left")
 
 
+def _made(df: DataFrame, made: dict[str, Column], wanted: set[str], *keys: str) -> DataFrame:
+    return df.select(*keys, *[c.alias(name) for name, c in made.items() if name in wanted])
+
+
 def incidents(
     spark: SparkSession,
     folder: str,
     columns: Sequence[str] = tuple(INCIDENT_NAMES),
     years: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """One crime complaint per line item; ``years`` prunes the order scan."""
-    wanted = set(columns)
-    df = table(spark, folder, "lineitem")
-    if years or wanted & ({"CMPLNT_FR_DT"} | _CUSTOMER_COLUMNS):
-        orders = table(spark, folder, "orders")
-        if years:
-            orders = orders.filter(year_between(F.col("o_orderdate"), *years))
-        if wanted & _CUSTOMER_COLUMNS:
-            customer = _customer_regions(spark, folder)
-            orders = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
-        df = df.join(orders, df.l_orderkey == orders.o_orderkey, "inner" if years else "left")
-    if wanted & _PART_COLUMNS:
-        part = table(spark, folder, "part")
-        df = df.join(part, df.l_partkey == part.p_partkey, "left")
+    """One crime complaint per line item; ``years`` prunes the order scan.
 
+    Each column is worked out on the table it comes from, before that table is
+    joined: once per customer, part or order rather than once per line item.
+    """
+    wanted = set(columns)
+    of_customer = {
+        "BORO_NM": F.when(_every("c_custkey", 31), "")
+        .when(_every("c_custkey", 31, 1), "false")
+        .otherwise(lookup(REGION_BOROUGHS, F.col("r_name"))),
+        "SUSP_RACE": F.when(_every("c_custkey", 17), "")
+        .when(_every("c_custkey", 37), None)
+        .otherwise(lookup(SEGMENT_RACES, F.col("c_mktsegment"))),
+    }
+    of_order = {"CMPLNT_FR_DT": F.date_format("o_orderdate", INCIDENT_DATE)}
+    of_part = {
+        "KY_CD": F.lit(100) + F.col("p_size"),
+        "OFNS_DESC": F.when(_every("p_partkey", 41), "")
+        .when(_every("p_partkey", 43), "false")
+        .otherwise(F.upper("p_name")),
+    }
     quantity = F.col("l_quantity")
-    made = {
+    of_line = {
         "_id": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
-        "CMPLNT_FR_DT": F.date_format("o_orderdate", INCIDENT_DATE),
         "CMPLNT_FR_TM": F.when(_every("l_partkey", 50), "").otherwise(
             F.concat(F.lpad((F.col("l_partkey") % 24).cast("string"), 2, "0"), F.lit(":00:00"))
         ),
         "ADDR_PCT_CD": F.col("l_suppkey").cast("int"),
-        "KY_CD": F.lit(100) + F.col("p_size"),
-        "OFNS_DESC": F.when(_every("l_partkey", 41), "")
-        .when(_every("l_partkey", 43), "false")
-        .otherwise(F.upper("p_name")),
         "CRM_ATPT_CPTD_CD": lookup(STATUS_OUTCOMES, F.col("l_linestatus")),
         "LAW_CAT_CD": F.when(_every("l_suppkey", 29), "").otherwise(
             lookup(FLAG_LEVELS, F.col("l_returnflag"))
         ),
-        "BORO_NM": F.when(_every("c_custkey", 31), "")
-        .when(_every("c_custkey", 31, 1), "false")
-        .otherwise(lookup(REGION_BOROUGHS, F.col("r_name"))),
         "Latitude": F.lit(40.5) + (F.col("l_suppkey") % 400) / F.lit(1000.0),
         "Longitude": F.lit(-74.2) + (F.col("l_suppkey") % 500) / F.lit(1000.0),
         "SUSP_AGE_GROUP": F.when(quantity < 10, "<18")
@@ -143,12 +142,29 @@ def incidents(
         .when(quantity < 49, "")
         .when(quantity < 50, "false")
         .otherwise("1020"),
-        "SUSP_RACE": F.when(_every("c_custkey", 17), "")
-        .when(_every("c_custkey", 37), None)
-        .otherwise(lookup(SEGMENT_RACES, F.col("c_mktsegment"))),
         "SUSP_SEX": F.when(_every("l_linenumber", 3), "FEMALE").otherwise("MALE"),
     }
-    return df.select(*[made[c].alias(c) for c in columns])
+
+    df = table(spark, folder, "lineitem")
+    made = {name: of_line.get(name, F.col(name)) for name in columns}
+    if years or wanted & (of_order.keys() | of_customer.keys()):
+        orders = table(spark, folder, "orders")
+        if years:
+            orders = orders.filter(year_between(F.col("o_orderdate"), *years))
+        orders = _made(orders, of_order, wanted, "o_orderkey", "o_custkey")
+        if wanted & of_customer.keys():
+            customer = (
+                _customer_regions(spark, folder)
+                if "BORO_NM" in wanted
+                else table(spark, folder, "customer")
+            )
+            customer = _made(customer, of_customer, wanted, "c_custkey")
+            orders = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
+        df = df.join(orders, df.l_orderkey == orders.o_orderkey, "inner" if years else "left")
+    if wanted & of_part.keys():
+        part = _made(table(spark, folder, "part"), of_part, wanted, "p_partkey")
+        df = df.join(part, df.l_partkey == part.p_partkey, "left")
+    return df.select(*[made[name].alias(name) for name in columns])
 
 
 def census(

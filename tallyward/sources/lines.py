@@ -12,23 +12,31 @@ CRIME_FIELDS = 14
 CRIME_RACE_INDEX, CRIME_RACE_HEADER = 10, "SUSP_RACE"
 
 
-def fields(line: Column) -> Column:
-    return F.split(line, ",", -1)
+def field(line: Column, index: int) -> Column:
+    """The field at a position counted from 0; the last one if the line is short."""
+    return F.substring_index(F.substring_index(line, ",", index + 1), ",", -1)
+
+
+def field_count(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(","))) + 1
 
 
 def census_fields(lines: DataFrame) -> DataFrame:
-    """``race, population`` text of census lines; the header line is left out.
+    """``race, population`` text of census lines.
 
-    A line too short to hold both fields gives NULLs and is left out as well.
+    Both are NULL on the header line and on a line too short to hold them. Such
+    rows stay, since a filter here would work every expression out twice; they
+    fall away in the grouping by race.
     """
-    parts = fields(F.col("value"))
-    picked = lines.select(
-        F.get(parts, F.lit(CENSUS_RACE_INDEX)).alias("race"),
-        F.get(parts, F.lit(CENSUS_POPULATION_INDEX)).alias("population"),
+    line = F.col("value")
+    race, population = field(line, CENSUS_RACE_INDEX), field(line, CENSUS_POPULATION_INDEX)
+    data = (
+        (field_count(line) > CENSUS_POPULATION_INDEX)
+        & (race != CENSUS_RACE_HEADER)
+        & (population != CENSUS_POPULATION_HEADER)
     )
-    return picked.filter(
-        (F.col("race") != CENSUS_RACE_HEADER)
-        & (F.col("population") != CENSUS_POPULATION_HEADER)
+    return lines.select(
+        F.when(data, race).alias("race"), F.when(data, population).alias("population")
     )
 
 
@@ -36,17 +44,17 @@ def crime_race(lines: DataFrame) -> DataFrame:
     """``key``: the suspect race of each crime line.
 
     A text field may hold commas of its own, which push the race to the right
-    by as many places as the line has fields too many. Lines that end before
-    the race position carry no race and are left out.
+    by as many places as the line has fields too many: it keeps its place
+    counted from the end. The key is NULL on the header line and on a line that
+    ends before the race position; see ``census_fields``.
     """
-    parts = fields(F.col("value"))
-    shifted = F.lit(CRIME_RACE_INDEX) + F.size(parts) - F.lit(CRIME_FIELDS)
-    return (
-        # The comparison is NULL on a line that has no field at the position.
-        lines.filter(F.get(parts, F.lit(CRIME_RACE_INDEX)) != CRIME_RACE_HEADER)
-        .select(F.get(parts, shifted).alias("key"))
-        .filter(F.col("key").isNotNull())
+    line = F.col("value")
+    from_end = CRIME_FIELDS - CRIME_RACE_INDEX
+    race = F.substring_index(F.substring_index(line, ",", -from_end), ",", 1)
+    data = (field_count(line) > CRIME_RACE_INDEX) & (
+        field(line, CRIME_RACE_INDEX) != CRIME_RACE_HEADER
     )
+    return lines.select(F.when(data, race).alias("key"))
 
 
 def join_fields(*columns: str) -> Column:
