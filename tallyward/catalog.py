@@ -60,6 +60,12 @@ def _crimes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return inc.clean_incidents(adapters.incidents(spark, folder, columns))
 
 
+def _crime_days(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Cleaned counts of complaints by day and the other columns of one report."""
+    columns = ("CMPLNT_FR_DT", *columns)
+    return inc.clean_cells(adapters.incidents(spark, folder, columns), *columns)
+
+
 def _study_incidents(spark: SparkSession, folder: str) -> DataFrame:
     """The filtered complaints; the year range also prunes the scan of dates."""
     raw = adapters.incidents(spark, folder, years=(FIRST_YEAR, LAST_YEAR))
@@ -149,7 +155,7 @@ def census_clean(spark, folder):
 
 @query
 def crimes_trend(spark, folder):
-    report = inc.crimes_trend(_crimes(spark, folder, "CMPLNT_FR_DT"))
+    report = inc.crimes_trend(_crime_days(spark, folder), COUNT)
     return _round(report, 6, "slope", "intercept", "trend")
 
 
@@ -159,7 +165,7 @@ def crimes_top(spark, folder):
 
 
 def _severity(spark, folder):
-    return inc.crimes_severity(_crimes(spark, folder, "CMPLNT_FR_DT", "LAW_CAT_CD"))
+    return inc.crimes_severity(_crime_days(spark, folder, "LAW_CAT_CD"), COUNT)
 
 
 @query
@@ -175,7 +181,7 @@ def crimes_severity_wide(spark, folder):
 @query
 def crimes_severity_by_district(spark, folder):
     return inc.crimes_severity_by_district(
-        _crimes(spark, folder, "CMPLNT_FR_DT", "BORO_NM", "LAW_CAT_CD")
+        _crime_days(spark, folder, "BORO_NM", "LAW_CAT_CD"), COUNT
     )
 
 
@@ -594,7 +600,7 @@ def locus(spark, folder):
 
 @query
 def metric_yoy_crimes(spark, folder):
-    report = count_by(_crimes(spark, folder, "CMPLNT_FR_DT"), "yearpd")
+    report = count_by(_crime_days(spark, folder), "yearpd", weight=COUNT)
     return _round(metrics.crime_growth(report), 12, "ratio")
 
 

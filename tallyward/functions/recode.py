@@ -104,8 +104,15 @@ SHOOTING_RACES = {
 }
 
 
+def sql_literal(value: str | int) -> str:
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(table: dict, key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for x in chain(*table.items())]), key)
+    entries = ", ".join(sql_literal(x) for x in chain(*table.items()))
+    return F.try_element_at(F.expr(f"map({entries})"), key)
 
 
 def census_sex(code: Column) -> Column:

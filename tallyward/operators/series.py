@@ -19,10 +19,12 @@ def linear_trend(series: DataFrame, x: str, y: str = COUNT) -> DataFrame:
             F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")
         ).alias("fit")
     ).scalar()
-    return (
-        series.withColumn("slope", fit["slope"])
-        .withColumn("intercept", fit["intercept"])
-        .withColumn("trend", F.col("intercept") + F.col("slope") * F.col(x))
+    slope, intercept = fit["slope"], fit["intercept"]
+    return series.select(
+        "*",
+        slope.alias("slope"),
+        intercept.alias("intercept"),
+        (intercept + slope * F.col(x)).alias("trend"),
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyward.functions.recode import sql_literal
 from tallyward.operators.counting import count_by, distinct_values
 
 # English stop words.
@@ -40,11 +41,12 @@ def word_counts(
     Case does not count, a possessive ending goes, numbers and stop words are
     left out. The stop list is a literal of the filter, not a join side.
     """
+    stop_list = ", ".join(sql_literal(w) for w in stop_words)
     words = distinct_values(df, column).select(
         F.explode(F.regexp_extract_all(F.lower(column), F.lit(WORD), F.lit(0))).alias("word")
     )
     stems = words.select(F.regexp_replace("word", "'s$", "").alias("word"))
     kept = stems.filter(
-        ~F.col("word").rlike(r"^\p{N}+$") & ~F.col("word").isin(list(stop_words))
+        ~F.col("word").rlike(r"^\p{N}+$") & F.expr(f"word NOT IN ({stop_list})")
     )
     return count_by(kept, "word")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions.recode import race_group
+from tallyward.operators.counting import settled
 from tallyward.sources.lines import census_fields, crime_race
 
 # Fixed value: the key of census lines outside every race group.
@@ -22,13 +23,13 @@ def population_by_race(lines: DataFrame) -> DataFrame:
         F.when(race.isNotNull(), F.coalesce(race_group(race), F.lit(NO_GROUP))).alias("key"),
         F.col("population").try_cast("bigint").alias("people"),
     )
+    sums = people.groupBy("key").agg(
+        F.sum("people").alias("value"),
+        F.count("key").alias("lines"),
+        F.count("people").alias("readable"),
+    )
     return (
-        people.groupBy("key")
-        .agg(
-            F.sum("people").alias("value"),
-            F.count("key").alias("lines"),
-            F.count("people").alias("readable"),
-        )
+        settled(sums)
         # Lines that are no data have the NULL key, whose count is 0.
         .filter((F.col("lines") > 0) & (F.col("readable") == F.col("lines")))
         .select("key", "value")
@@ -37,4 +38,4 @@ def population_by_race(lines: DataFrame) -> DataFrame:
 
 def crimes_by_race(lines: DataFrame) -> DataFrame:
     counts = crime_race(lines).groupBy("key").agg(F.count("key").alias("value"))
-    return counts.filter(F.col("value") > 0)
+    return settled(counts).filter(F.col("value") > 0)

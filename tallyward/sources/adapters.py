@@ -16,82 +16,151 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.functions.dates import INCIDENT_DATE, ISO_DATE, year_between
-from tallyward.functions.recode import lookup
 from tallyward.sources.schemas import (
     CENSUS,
     INCIDENT_NAMES,
     POLICE_DEATHS,
     SHOOTINGS,
 )
-
-# How test categories stand for domain categories.
-REGION_BOROUGHS = {
-    "AFRICA": "BRONX",
-    "AMERICA": "BROOKLYN",
-    "ASIA": "MANHATTAN",
-    "EUROPE": "QUEENS",
-    "MIDDLE EAST": "STATEN ISLAND",
+from tallyward.sources.tables import read_table
+
+# How the columns of each view come from the test tables, as SQL.
+# The name of a dictionary says which table its expressions are worked out on.
+_CUSTOMER_OF_INCIDENT = {
+    "BORO_NM": """CASE WHEN c_custkey % 31 = 0 THEN '' WHEN c_custkey % 31 = 1 THEN 'false'
+        WHEN r_name = 'AFRICA' THEN 'BRONX' WHEN r_name = 'AMERICA' THEN 'BROOKLYN'
+        WHEN r_name = 'ASIA' THEN 'MANHATTAN' WHEN r_name = 'EUROPE' THEN 'QUEENS'
+        WHEN r_name = 'MIDDLE EAST' THEN 'STATEN ISLAND' END""",
+    "SUSP_RACE": """CASE WHEN c_custkey % 17 = 0 THEN '' WHEN c_custkey % 37 = 0 THEN NULL
+        WHEN c_mktsegment = 'AUTOMOBILE' THEN 'BLACK'
+        WHEN c_mktsegment = 'BUILDING' THEN 'WHITE'
+        WHEN c_mktsegment = 'FURNITURE' THEN 'WHITE HISPANIC'
+        WHEN c_mktsegment = 'HOUSEHOLD' THEN 'BLACK HISPANIC'
+        WHEN c_mktsegment = 'MACHINERY' THEN 'ASIAN / PACIFIC ISLANDER' END""",
 }
-REGION_COUNTIES = {
-    "AFRICA": "Bronx County",
-    "AMERICA": "Kings County",
-    "ASIA": "New York County",
-    "EUROPE": "Queens County",
-    "MIDDLE EAST": "Richmond County",
+_ORDER_OF_INCIDENT = {"CMPLNT_FR_DT": f"date_format(o_orderdate, '{INCIDENT_DATE}')"}
+_PART_OF_INCIDENT = {
+    "KY_CD": "100 + p_size",
+    "OFNS_DESC": """CASE WHEN p_partkey % 41 = 0 THEN '' WHEN p_partkey % 43 = 0 THEN 'false'
+        ELSE upper(p_name) END""",
 }
-SEGMENT_RACES = {
-    "AUTOMOBILE": "BLACK",
-    "BUILDING": "WHITE",
-    "FURNITURE": "WHITE HISPANIC",
-    "HOUSEHOLD": "BLACK HISPANIC",
-    "MACHINERY": "ASIAN / PACIFIC ISLANDER",
+_LINE_OF_INCIDENT = {
+    "_id": "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)",
+    "CMPLNT_FR_TM": """CASE WHEN l_partkey % 50 = 0 THEN ''
+        ELSE lpad(string(l_partkey % 24), 2, '0') || ':00:00' END""",
+    "ADDR_PCT_CD": "int(l_suppkey)",
+    "CRM_ATPT_CPTD_CD": """CASE l_linestatus WHEN 'O' THEN 'ATTEMPTED'
+        WHEN 'F' THEN 'COMPLETED' END""",
+    "LAW_CAT_CD": """CASE WHEN l_suppkey % 29 = 0 THEN '' WHEN l_returnflag = 'R' THEN 'FELONY'
+        WHEN l_returnflag = 'A' THEN 'MISDEMEANOR'
+        WHEN l_returnflag = 'N' THEN 'VIOLATION' END""",
+    "Latitude": "40.5D + (l_suppkey % 400) / 1000D",
+    "Longitude": "-74.2D + (l_suppkey % 500) / 1000D",
+    "SUSP_AGE_GROUP": """CASE WHEN l_quantity < 10 THEN '<18' WHEN l_quantity < 20 THEN '18-24'
+        WHEN l_quantity < 30 THEN '25-44' WHEN l_quantity < 40 THEN '45-64'
+        WHEN l_quantity < 48 THEN '65+' WHEN l_quantity < 49 THEN ''
+        WHEN l_quantity < 50 THEN 'false' ELSE '1020' END""",
+    "SUSP_SEX": "CASE WHEN l_linenumber % 3 = 0 THEN 'FEMALE' ELSE 'MALE' END",
 }
-SEGMENT_CODES = {
-    "AUTOMOBILE": "B",
-    "BUILDING": "W",
-    "FURNITURE": "H",
-    "HOUSEHOLD": "A",
-    "MACHINERY": "N",
+_CUSTOMER_OF_CENSUS = {
+    "_id": "string(c_custkey)",
+    "STNAME": "CASE WHEN c_custkey % 10 = 0 THEN 'Wyoming' ELSE 'New York' END",
+    "CTYNAME": """CASE WHEN c_custkey % 7 = 0 THEN 'Albany County'
+        WHEN r_name = 'AFRICA' THEN 'Bronx County' WHEN r_name = 'AMERICA' THEN 'Kings County'
+        WHEN r_name = 'ASIA' THEN 'New York County' WHEN r_name = 'EUROPE' THEN 'Queens County'
+        WHEN r_name = 'MIDDLE EAST' THEN 'Richmond County' END""",
+    "SEX": "int(c_custkey % 2 + 1)",
+    "ORIGIN": "int(floor(c_custkey / 2) % 2 + 1)",
+    "AGEGRP": "int(c_custkey % 18 + 1)",
+    "IMPRACE": "int(c_custkey % 31 + 1)",
+    "RESPOP": """CASE WHEN c_custkey % 13 = 0 THEN 0L
+        ELSE bigint(floor(abs(c_acctbal))) END""",
 }
-PRIORITY_ARMS = {
-    "1-URGENT": "gun",
-    "2-HIGH": "toy weapon",
-    "3-MEDIUM": "unarmed",
-    "5-LOW": "",
+_ORDER_OF_SHOOTING = {
+    "id": "string(o_orderkey)",
+    "date": f"date_format(o_orderdate, '{ISO_DATE}')",
+    "manner_of_death": "CASE WHEN o_orderstatus = 'F' THEN 'shot and Tasered' ELSE 'shot' END",
+    "armed": """CASE o_orderpriority WHEN '1-URGENT' THEN 'gun' WHEN '2-HIGH' THEN 'toy weapon'
+        WHEN '3-MEDIUM' THEN 'unarmed' WHEN '5-LOW' THEN '' END""",
+    "age": "CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE string(o_orderkey % 80 + 6) END",
+    "race": """CASE WHEN c_custkey % 43 = 0 THEN NULL WHEN c_custkey % 19 = 0 THEN 'O'
+        WHEN c_mktsegment = 'AUTOMOBILE' THEN 'B' WHEN c_mktsegment = 'BUILDING' THEN 'W'
+        WHEN c_mktsegment = 'FURNITURE' THEN 'H' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'A'
+        WHEN c_mktsegment = 'MACHINERY' THEN 'N' END""",
+    "gender": "CASE WHEN o_orderkey % 20 = 0 THEN 'F' ELSE 'M' END",
+    "city": "n_name",
+    "state": "'S' || lpad(string(n_nationkey), 2, '0')",
+    "signs_of_mental_illness": "CASE WHEN o_orderkey % 9 = 0 THEN 'True' ELSE 'False' END",
+    "threat_level": "CASE WHEN o_totalprice > 250000 THEN 'attack' ELSE 'other' END",
+    "flee": """CASE WHEN o_orderkey % 11 = 0 THEN '' WHEN o_orderkey % 11 < 7 THEN 'Not fleeing'
+        WHEN o_orderkey % 11 < 9 THEN 'Car' ELSE 'Foot' END""",
+    "body_camera": "CASE WHEN o_orderkey % 7 = 0 THEN 'True' ELSE 'False' END",
+}
+_ORDER_OF_DEATH = {
+    "_id": "string(o_orderkey)",
+    "person": "'Officer ' || o_orderkey",
+    "dept": "'Dept ' || c_nationkey",
+    "cause_short": """CASE WHEN o_orderkey % 13 = 0 THEN ''
+        ELSE upper(substr(o_orderpriority, 3)) || ' ' || o_orderstatus END""",
+    "date": f"date_format(o_orderdate, '{ISO_DATE}')",
+    "year": "year(o_orderdate)",
+    "canine": "CASE WHEN o_orderkey % 50 = 0 THEN 'TRUE' ELSE 'FALSE' END",
+    "state": """CASE WHEN o_orderkey % 17 = 0 THEN ' '
+        ELSE ' S' || lpad(string(c_nationkey), 2, '0') END""",
+}
+_NATION_OF_POLL = {
+    "State": "n_name",
+    "State_short": "'S' || lpad(string(n_nationkey), 2, '0')",
+    "RepPercentage": "double(30 + n_nationkey * 7 % 40)",
+    "DemPercentage": "double(30 + n_nationkey * 11 % 40)",
 }
-FLAG_LEVELS = {"R": "FELONY", "A": "MISDEMEANOR", "N": "VIOLATION"}
-STATUS_OUTCOMES = {"O": "ATTEMPTED", "F": "COMPLETED"}
-
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+# Schemas of the test tables. Naming them spares a job per table
+# that would only find them out.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+}
 
 
-def _every(column: str, n: int, rest: int = 0) -> Column:
-    return F.col(column) % n == rest
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return read_table(spark, f"{folder}/{name}.parquet", TABLES[name])
 
 
-def _two_digits(column: str) -> Column:
-    return F.concat(F.lit("S"), F.lpad(F.col(column).cast("string"), 2, "0"))
+def _select(
+    df: DataFrame, made: dict[str, str], columns: Sequence[str], *keys: str
+) -> DataFrame:
+    """The asked-for columns, made here or already made on a joined table."""
+    return df.selectExpr(*keys, *[f"{made.get(c, c)} AS {c}" for c in columns])
 
 
 def _customer_regions(spark: SparkSession, folder: str) -> DataFrame:
     """Customers with the name of their region (25 nations, 5 regions)."""
     nation = table(spark, folder, "nation")
     region = table(spark, folder, "region")
-    places = nation.join(region, nation.n_regionkey == region.r_regionkey, "left").select(
-        "n_nationkey", "r_name"
-    )
+    places = nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
     customer = table(spark, folder, "customer")
     return customer.join(places, customer.c_nationkey == places.n_nationkey, "left")
 
 
-def _made(df: DataFrame, made: dict[str, Column], wanted: set[str], *keys: str) -> DataFrame:
-    return df.select(*keys, *[c.alias(name) for name, c in made.items() if name in wanted])
+def _orders(spark: SparkSession, folder: str, years: tuple[int, int] | None) -> DataFrame:
+    orders = table(spark, folder, "orders")
+    return orders.filter(year_between(F.col("o_orderdate"), *years)) if years else orders
 
 
 def incidents(
@@ -105,125 +174,48 @@ def incidents(
     Each column is worked out on the table it comes from, before that table is
     joined: once per customer, part or order rather than once per line item.
     """
-    wanted = set(columns)
-    of_customer = {
-        "BORO_NM": F.when(_every("c_custkey", 31), "")
-        .when(_every("c_custkey", 31, 1), "false")
-        .otherwise(lookup(REGION_BOROUGHS, F.col("r_name"))),
-        "SUSP_RACE": F.when(_every("c_custkey", 17), "")
-        .when(_every("c_custkey", 37), None)
-        .otherwise(lookup(SEGMENT_RACES, F.col("c_mktsegment"))),
-    }
-    of_order = {"CMPLNT_FR_DT": F.date_format("o_orderdate", INCIDENT_DATE)}
-    of_part = {
-        "KY_CD": F.lit(100) + F.col("p_size"),
-        "OFNS_DESC": F.when(_every("p_partkey", 41), "")
-        .when(_every("p_partkey", 43), "false")
-        .otherwise(F.upper("p_name")),
-    }
-    quantity = F.col("l_quantity")
-    of_line = {
-        "_id": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
-        "CMPLNT_FR_TM": F.when(_every("l_partkey", 50), "").otherwise(
-            F.concat(F.lpad((F.col("l_partkey") % 24).cast("string"), 2, "0"), F.lit(":00:00"))
-        ),
-        "ADDR_PCT_CD": F.col("l_suppkey").cast("int"),
-        "CRM_ATPT_CPTD_CD": lookup(STATUS_OUTCOMES, F.col("l_linestatus")),
-        "LAW_CAT_CD": F.when(_every("l_suppkey", 29), "").otherwise(
-            lookup(FLAG_LEVELS, F.col("l_returnflag"))
-        ),
-        "Latitude": F.lit(40.5) + (F.col("l_suppkey") % 400) / F.lit(1000.0),
-        "Longitude": F.lit(-74.2) + (F.col("l_suppkey") % 500) / F.lit(1000.0),
-        "SUSP_AGE_GROUP": F.when(quantity < 10, "<18")
-        .when(quantity < 20, "18-24")
-        .when(quantity < 30, "25-44")
-        .when(quantity < 40, "45-64")
-        .when(quantity < 48, "65+")
-        .when(quantity < 49, "")
-        .when(quantity < 50, "false")
-        .otherwise("1020"),
-        "SUSP_SEX": F.when(_every("l_linenumber", 3), "FEMALE").otherwise("MALE"),
-    }
+    of_customer = [c for c in columns if c in _CUSTOMER_OF_INCIDENT]
+    of_order = [c for c in columns if c in _ORDER_OF_INCIDENT]
+    of_part = [c for c in columns if c in _PART_OF_INCIDENT]
 
     df = table(spark, folder, "lineitem")
-    made = {name: of_line.get(name, F.col(name)) for name in columns}
-    if years or wanted & (of_order.keys() | of_customer.keys()):
-        orders = table(spark, folder, "orders")
-        if years:
-            orders = orders.filter(year_between(F.col("o_orderdate"), *years))
-        orders = _made(orders, of_order, wanted, "o_orderkey", "o_custkey")
-        if wanted & of_customer.keys():
+    if years or of_order or of_customer:
+        orders = _select(
+            _orders(spark, folder, years), _ORDER_OF_INCIDENT, of_order, "o_orderkey", "o_custkey"
+        )
+        if of_customer:
             customer = (
                 _customer_regions(spark, folder)
-                if "BORO_NM" in wanted
+                if "BORO_NM" in of_customer
                 else table(spark, folder, "customer")
             )
-            customer = _made(customer, of_customer, wanted, "c_custkey")
+            customer = _select(customer, _CUSTOMER_OF_INCIDENT, of_customer, "c_custkey")
             orders = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
         df = df.join(orders, df.l_orderkey == orders.o_orderkey, "inner" if years else "left")
-    if wanted & of_part.keys():
-        part = _made(table(spark, folder, "part"), of_part, wanted, "p_partkey")
+    if of_part:
+        part = _select(table(spark, folder, "part"), _PART_OF_INCIDENT, of_part, "p_partkey")
         df = df.join(part, df.l_partkey == part.p_partkey, "left")
-    return df.select(*[made[name].alias(name) for name in columns])
+    return _select(df, _LINE_OF_INCIDENT, columns)
 
 
 def census(
     spark: SparkSession, folder: str, columns: Sequence[str] = tuple(CENSUS.names)
 ) -> DataFrame:
     """One raw census row per customer."""
-    key = F.col("c_custkey")
-    made = {
-        "_id": key.cast("string"),
-        "STNAME": F.when(_every("c_custkey", 10), "Wyoming").otherwise("New York"),
-        "CTYNAME": F.when(_every("c_custkey", 7), "Albany County").otherwise(
-            lookup(REGION_COUNTIES, F.col("r_name"))
-        ),
-        "SEX": (key % 2 + 1).cast("int"),
-        "ORIGIN": (F.floor(key / 2) % 2 + 1).cast("int"),
-        "AGEGRP": (key % 18 + 1).cast("int"),
-        "IMPRACE": (key % 31 + 1).cast("int"),
-        "RESPOP": F.when(_every("c_custkey", 13), F.lit(0).cast("bigint")).otherwise(
-            F.floor(F.abs("c_acctbal")).cast("bigint")
-        ),
-    }
     df = (
         _customer_regions(spark, folder)
         if "CTYNAME" in columns
         else table(spark, folder, "customer")
     )
-    return df.select(*[made[c].alias(c) for c in columns])
+    return _select(df, _CUSTOMER_OF_CENSUS, columns)
 
 
 def shootings(
     spark: SparkSession, folder: str, columns: Sequence[str] = tuple(SHOOTINGS.names)
 ) -> DataFrame:
     """One fatal shooting per order."""
-    key = F.col("o_orderkey")
-    flee = key % 11
-    made = {
-        "id": key.cast("string"),
-        "date": F.date_format("o_orderdate", ISO_DATE),
-        "manner_of_death": F.when(
-            F.col("o_orderstatus") == "F", "shot and Tasered"
-        ).otherwise("shot"),
-        "armed": lookup(PRIORITY_ARMS, F.col("o_orderpriority")),
-        "age": F.when(_every("o_orderkey", 23), "").otherwise((key % 80 + 6).cast("string")),
-        "race": F.when(_every("c_custkey", 43), None)
-        .when(_every("c_custkey", 19), "O")
-        .otherwise(lookup(SEGMENT_CODES, F.col("c_mktsegment"))),
-        "gender": F.when(_every("o_orderkey", 20), "F").otherwise("M"),
-        "city": F.col("n_name"),
-        "state": _two_digits("n_nationkey"),
-        "signs_of_mental_illness": F.when(_every("o_orderkey", 9), "True").otherwise("False"),
-        "threat_level": F.when(F.col("o_totalprice") > 250000, "attack").otherwise("other"),
-        "flee": F.when(flee == 0, "")
-        .when(flee < 7, "Not fleeing")
-        .when(flee < 9, "Car")
-        .otherwise("Foot"),
-        "body_camera": F.when(_every("o_orderkey", 7), "True").otherwise("False"),
-    }
     wanted = set(columns)
-    df = table(spark, folder, "orders")
+    df = _orders(spark, folder, None)
     if wanted & {"race", "city", "state"}:
         customer = table(spark, folder, "customer")
         if wanted & {"city", "state"}:
@@ -232,7 +224,7 @@ def shootings(
                 nation, customer.c_nationkey == nation.n_nationkey, "left"
             )
         df = df.join(customer, df.o_custkey == customer.c_custkey, "left")
-    return df.select(*[made[c].alias(c) for c in columns])
+    return _select(df, _ORDER_OF_SHOOTING, columns)
 
 
 def police_deaths(
@@ -242,38 +234,13 @@ def police_deaths(
     years: tuple[int, int] | None = None,
 ) -> DataFrame:
     """One police death per order; ``years`` prunes the order scan."""
-    key = F.col("o_orderkey")
-    made = {
-        "_id": key.cast("string"),
-        "person": F.concat(F.lit("Officer "), key.cast("string")),
-        "dept": F.concat(F.lit("Dept "), F.col("c_nationkey").cast("string")),
-        "cause_short": F.when(_every("o_orderkey", 13), "").otherwise(
-            F.concat_ws(
-                " ", F.upper(F.expr("substr(o_orderpriority, 3)")), F.col("o_orderstatus")
-            )
-        ),
-        "date": F.date_format("o_orderdate", ISO_DATE),
-        "year": F.year("o_orderdate"),
-        "canine": F.when(_every("o_orderkey", 50), "TRUE").otherwise("FALSE"),
-        "state": F.when(_every("o_orderkey", 17), " ").otherwise(
-            F.concat(F.lit(" "), _two_digits("c_nationkey"))
-        ),
-    }
-    df = table(spark, folder, "orders")
-    if years:
-        df = df.filter(year_between(F.col("o_orderdate"), *years))
+    df = _orders(spark, folder, years)
     if {"dept", "state"} & set(columns):
         customer = table(spark, folder, "customer")
         df = df.join(customer, df.o_custkey == customer.c_custkey, "left")
-    return df.select(*[made[c].alias(c) for c in columns])
+    return _select(df, _ORDER_OF_DEATH, columns)
 
 
 def polls(spark: SparkSession, folder: str) -> DataFrame:
     """One state per nation."""
-    key = F.col("n_nationkey")
-    return table(spark, folder, "nation").select(
-        F.col("n_name").alias("State"),
-        _two_digits("n_nationkey").alias("State_short"),
-        (F.lit(30) + key * 7 % 40).cast("double").alias("RepPercentage"),
-        (F.lit(30) + key * 11 % 40).cast("double").alias("DemPercentage"),
-    )
+    return _select(table(spark, folder, "nation"), _NATION_OF_POLL, list(_NATION_OF_POLL))

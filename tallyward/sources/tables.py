@@ -27,7 +27,7 @@ _CSV_READ = {"nullValue": "\0", "emptyValue": ""}
 def read_table(
     spark: SparkSession,
     path: str,
-    schema: StructType | None = None,
+    schema: StructType | str | None = None,
     fmt: str = "parquet",
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
