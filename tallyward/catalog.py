@@ -60,10 +60,10 @@ def _crimes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return inc.clean_incidents(adapters.incidents(spark, folder, columns))
 
 
-def _crime_days(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Cleaned counts of complaints by day and the other columns of one report."""
-    columns = ("CMPLNT_FR_DT", *columns)
-    return inc.clean_cells(adapters.incidents(spark, folder, columns), *columns)
+def _crime_days(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
+    """Counts of complaints by day and the other columns of one report."""
+    read = ["CMPLNT_FR_TM" if key == "day_night" else key for key in keys]
+    return inc.clean_cells(adapters.incidents(spark, folder, ["CMPLNT_FR_DT", *read]), *keys)
 
 
 def _study_incidents(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,9 +186,7 @@ def crimes_severity_by_district(spark, folder):
 
 
 def _day_night(spark, folder):
-    return inc.crimes_day_night(
-        _crimes(spark, folder, "CMPLNT_FR_DT", "CMPLNT_FR_TM", "LAW_CAT_CD")
-    )
+    return inc.crimes_day_night(_crime_days(spark, folder, "day_night", "LAW_CAT_CD"), COUNT)
 
 
 @query

@@ -62,16 +62,10 @@ def filter_incidents(
     return raw.filter(wanted_incident(first_year, last_year)).select(*INCIDENT_NAMES)
 
 
-def clean_incidents(incidents: DataFrame) -> DataFrame:
-    """Add date, year, night flag; label empty race and age as unknown.
-
-    Works on any subset of the columns, so that a report reads only its own.
-    """
+def clean_text(incidents: DataFrame) -> DataFrame:
+    """Add the night flag; label empty race and age as unknown."""
     have = set(incidents.columns)
     added = {}
-    if "CMPLNT_FR_DT" in have:
-        added["date"] = dates.parse_date(F.col("CMPLNT_FR_DT"), dates.INCIDENT_DATE)
-        added["yearpd"] = dates.year_of(added["date"])
     if "CMPLNT_FR_TM" in have:
         added["day_night"] = dates.night_flag(F.col("CMPLNT_FR_TM"))
     for name in ("SUSP_RACE", "SUSP_AGE_GROUP"):
@@ -80,14 +74,27 @@ def clean_incidents(incidents: DataFrame) -> DataFrame:
     return incidents.withColumns(added)
 
 
-def clean_cells(incidents: DataFrame, *columns: str) -> DataFrame:
-    """The distinct values of a few columns with their count, cleaned.
+def add_dates(incidents: DataFrame) -> DataFrame:
+    """Add the real date and its year."""
+    if "CMPLNT_FR_DT" not in incidents.columns:
+        return incidents
+    date = dates.parse_date(F.col("CMPLNT_FR_DT"), dates.INCIDENT_DATE)
+    return incidents.withColumns({"date": date, "yearpd": dates.year_of(date)})
+
+
+def clean_incidents(incidents: DataFrame) -> DataFrame:
+    """All cleaning, on any subset of the columns: a report reads only its own."""
+    return add_dates(clean_text(incidents))
+
+
+def clean_cells(incidents: DataFrame, *keys: str) -> DataFrame:
+    """Counts by the date text and other cleaned columns, then dated.
 
-    For reports by date: rows combine on the raw text first, on the map side,
-    and a date is parsed once per distinct day instead of once per row. Reports
-    take the result with ``weight='count'``.
+    For reports by year: rows combine on the text first, on the map side, and a
+    date is parsed once per distinct day instead of once per row. Reports take
+    the result with ``weight='count'``.
     """
-    return clean_incidents(count_by(incidents, *columns))
+    return add_dates(count_by(clean_text(incidents), "CMPLNT_FR_DT", *keys))
 
 
 def incident_cells(clean: DataFrame) -> DataFrame:
