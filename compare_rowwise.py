@@ -1,0 +1,121 @@
+"""Time three reports beside a row-wise way of computing them, on one thread.
+
+The row-wise way derives columns with Python functions, collects cleaned rows
+and finishes in pandas. It serves as a yardstick only; nothing imports it.
+Usage: ``python compare_rowwise.py [folder]``; prints one JSON line.
+"""
+
+from __future__ import annotations
+
+import json
+import statistics
+import sys
+import time
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
+
+from tallyward.operators.counting import COUNT
+from tallyward.plans import census, incidents, metrics
+from tallyward.sources import adapters
+from tallyward.sources.schemas import CENSUS_RECODED, INCIDENTS
+from tallyward.sources.session import open_session
+from tallyward.sources.tables import append_table, read_table, scratch_path
+
+
+def trend(flat, people):
+    return incidents.crimes_trend(incidents.clean_cells(flat), COUNT)
+
+
+def trend_rowwise(flat, people):
+    year = F.udf(lambda day: day.year if day else None, IntegerType())
+    day = F.try_to_date("CMPLNT_FR_DT", "MM/dd/yyyy")
+    counts = flat.select(year(day).alias("yearpd")).groupBy("yearpd").count().toPandas()
+    counts = counts.sort_values("yearpd")
+    slope, start = np.polyfit(counts["yearpd"], counts["count"], 1)
+    return counts.assign(trend=start + slope * counts["yearpd"])
+
+
+def crosstab(flat, people):
+    return incidents.cross_districts(incidents.clean_incidents(flat))
+
+
+def crosstab_rowwise(flat, people):
+    rows = incidents.district_crimes(flat).select("BORO_NM", "OFNS_DESC").collect()
+    table = pd.DataFrame([r.asDict() for r in rows])
+    return pd.crosstab(table["BORO_NM"], table["OFNS_DESC"])
+
+
+def incidence(flat, people):
+    return metrics.incidence(
+        incidents.crimes_districts_race(incidents.clean_incidents(flat)),
+        census.race_by_borough(people),
+    )
+
+
+def incidence_rowwise(flat, people):
+    def shares(frame, district, race, value):
+        totals = frame.groupby(district)[value].transform("sum")
+        frame = frame.assign(share=(frame[value] / totals).round(2))
+        return frame[[district, race, "share"]].set_axis(["d", "r", "share"], axis=1)
+
+    crimes = pd.DataFrame([r.asDict() for r in flat.select("BORO_NM", "SUSP_RACE").collect()])
+    crimes = crimes[
+        crimes["BORO_NM"].isin(incidents.DISTRICTS) & ~crimes["SUSP_RACE"].isin(["", "UNKNOWN"])
+    ].dropna()
+    crimes = crimes.groupby(["BORO_NM", "SUSP_RACE"]).size().reset_index(name="n")
+    people = pd.DataFrame([r.asDict() for r in people.collect()])
+    people["d"] = people["CTYNAME"].map(census.recode.BOROUGHS)
+    people = people.groupby(["d", "IMPRACE"])["RESPOP"].sum().reset_index(name="n")
+    both = shares(crimes, "BORO_NM", "SUSP_RACE", "n").merge(
+        shares(people, "d", "IMPRACE", "n"), how="left", on=["d", "r"]
+    )
+    return both.assign(incidence=both["share_x"] * both["share_y"])
+
+
+def median_seconds(run, times=3):
+    taken = []
+    for _ in range(times + 1):
+        start = time.perf_counter()
+        run()
+        taken.append(time.perf_counter() - start)
+    return round(statistics.median(taken[1:]), 3)
+
+
+def main(folder="/root/testdata/sf0.1"):
+    spark = open_session(
+        "compare",
+        "local[1]",
+        **{
+            "spark.sql.shuffle.partitions": "8",
+            "spark.ui.enabled": "false",
+            "spark.driver.memory": "8g",
+        },
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    # Both ways read the same flat tables, written once.
+    path = scratch_path(spark, "flat")
+    append_table(adapters.incidents(spark, folder), f"{path}/incidents")
+    raw = census.filter_census(adapters.census(spark, folder))
+    append_table(census.clean_census(census.recode_census(raw)), f"{path}/people")
+    flat = read_table(spark, f"{path}/incidents", INCIDENTS)
+    people = read_table(spark, f"{path}/people", CENSUS_RECODED)
+    out = {
+        ours.__name__: {
+            "ours": median_seconds(lambda: ours(flat, people).collect()),
+            "rowwise": median_seconds(lambda: rowwise(flat, people)),
+        }
+        for ours, rowwise in (
+            (trend, trend_rowwise),
+            (crosstab, crosstab_rowwise),
+            (incidence, incidence_rowwise),
+        )
+    }
+    print(json.dumps({"folder": folder, "threads": 1, "unit": "sec", "reports": out}))
+    spark.stop()
+
+
+if __name__ == "__main__":
+    main(*sys.argv[1:])
