@@ -60,8 +60,16 @@ def _crimes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return inc.clean_incidents(adapters.incidents(spark, folder, columns))
 
 
+def _counted(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Cleaned counts of complaints, for reports on columns that one key holds."""
+    return inc.clean_text(adapters.incident_counts(spark, folder, columns))
+
+
 def _crime_days(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
     """Counts of complaints by day and the other columns of one report."""
+    if not keys:
+        counts = adapters.incident_counts(spark, folder, ["CMPLNT_FR_DT"])
+        return inc.clean_cells(counts, weight=COUNT)
     read = ["CMPLNT_FR_TM" if key == "day_night" else key for key in keys]
     return inc.clean_cells(adapters.incidents(spark, folder, ["CMPLNT_FR_DT", *read]), *keys)
 
@@ -161,7 +169,7 @@ def crimes_trend(spark, folder):
 
 @query
 def crimes_top(spark, folder):
-    return inc.crimes_top(_crimes(spark, folder, "OFNS_DESC"))
+    return inc.crimes_top(_counted(spark, folder, "OFNS_DESC"), weight=COUNT)
 
 
 def _severity(spark, folder):
@@ -206,11 +214,13 @@ def crimes_night_totals(spark, folder):
 
 @query
 def crimes_race(spark, folder):
-    return inc.crimes_race(_crimes(spark, folder, "SUSP_RACE"))
+    return inc.crimes_race(_counted(spark, folder, "SUSP_RACE"), weight=COUNT)
 
 
 def _districts_race(spark, folder):
-    return inc.crimes_districts_race(_crimes(spark, folder, "BORO_NM", "SUSP_RACE"))
+    return inc.crimes_districts_race(
+        _counted(spark, folder, "BORO_NM", "SUSP_RACE"), weight=COUNT
+    )
 
 
 @query
@@ -254,18 +264,20 @@ def district_crimes(spark, folder):
 
 @query
 def cross_district_races(spark, folder):
-    return inc.cross_district_races(_crimes(spark, folder, "BORO_NM", "SUSP_RACE"))
+    return inc.cross_district_races(_counted(spark, folder, "BORO_NM", "SUSP_RACE"), COUNT)
 
 
 @query
 def cross_district_races_share(spark, folder):
-    return inc.cross_district_races_share(_crimes(spark, folder, "BORO_NM", "SUSP_RACE"))
+    return inc.cross_district_races_share(
+        _counted(spark, folder, "BORO_NM", "SUSP_RACE"), COUNT
+    )
 
 
 @query
 def cross_district_races_wide(spark, folder):
     return inc.cross_district_races_wide(
-        _crimes(spark, folder, "BORO_NM", "SUSP_RACE"), [*RACES, "UNKNOWN"]
+        _counted(spark, folder, "BORO_NM", "SUSP_RACE"), [*RACES, "UNKNOWN"], COUNT
     )
 
 

@@ -87,14 +87,14 @@ def clean_incidents(incidents: DataFrame) -> DataFrame:
     return add_dates(clean_text(incidents))
 
 
-def clean_cells(incidents: DataFrame, *keys: str) -> DataFrame:
+def clean_cells(incidents: DataFrame, *keys: str, weight: str | None = None) -> DataFrame:
     """Counts by the date text and other cleaned columns, then dated.
 
     For reports by year: rows combine on the text first, on the map side, and a
     date is parsed once per distinct day instead of once per row. Reports take
     the result with ``weight='count'``.
     """
-    return add_dates(count_by(clean_text(incidents), "CMPLNT_FR_DT", *keys))
+    return add_dates(count_by(clean_text(incidents), "CMPLNT_FR_DT", *keys, weight=weight))
 
 
 def incident_cells(clean: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.functions.dates import INCIDENT_DATE, ISO_DATE, year_between
+from tallyward.operators.counting import COUNT, count_by
 from tallyward.sources.schemas import (
     CENSUS,
     INCIDENT_NAMES,
@@ -163,6 +164,49 @@ def _orders(spark: SparkSession, folder: str, years: tuple[int, int] | None) ->
     return orders.filter(year_between(F.col("o_orderdate"), *years)) if years else orders
 
 
+def _order_lookup(
+    spark: SparkSession, folder: str, columns: Sequence[str], years: tuple[int, int] | None
+) -> DataFrame:
+    """Orders with the asked-for columns of themselves and of their customer."""
+    of_order = [c for c in columns if c in _ORDER_OF_INCIDENT]
+    of_customer = [c for c in columns if c in _CUSTOMER_OF_INCIDENT]
+    orders = _select(
+        _orders(spark, folder, years), _ORDER_OF_INCIDENT, of_order, "o_orderkey", "o_custkey"
+    )
+    if not of_customer:
+        return orders
+    customer = (
+        _customer_regions(spark, folder)
+        if "BORO_NM" in of_customer
+        else table(spark, folder, "customer")
+    )
+    customer = _select(customer, _CUSTOMER_OF_INCIDENT, of_customer, "c_custkey")
+    return orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
+
+
+def _look_up(
+    spark: SparkSession,
+    folder: str,
+    lines: DataFrame,
+    columns: Sequence[str],
+    years: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Line items, or counts of them by key, with what they take from elsewhere."""
+    if _needs_order(columns) or years:
+        orders = _order_lookup(spark, folder, columns, years)
+        how = "inner" if years else "left"
+        lines = lines.join(orders, lines.l_orderkey == orders.o_orderkey, how)
+    of_part = [c for c in columns if c in _PART_OF_INCIDENT]
+    if of_part:
+        part = _select(table(spark, folder, "part"), _PART_OF_INCIDENT, of_part, "p_partkey")
+        lines = lines.join(part, lines.l_partkey == part.p_partkey, "left")
+    return lines
+
+
+def _needs_order(columns: Sequence[str]) -> bool:
+    return any(c in _ORDER_OF_INCIDENT or c in _CUSTOMER_OF_INCIDENT for c in columns)
+
+
 def incidents(
     spark: SparkSession,
     folder: str,
@@ -174,28 +218,26 @@ def incidents(
     Each column is worked out on the table it comes from, before that table is
     joined: once per customer, part or order rather than once per line item.
     """
-    of_customer = [c for c in columns if c in _CUSTOMER_OF_INCIDENT]
-    of_order = [c for c in columns if c in _ORDER_OF_INCIDENT]
-    of_part = [c for c in columns if c in _PART_OF_INCIDENT]
+    lines = _look_up(spark, folder, table(spark, folder, "lineitem"), columns, years)
+    return _select(lines, _LINE_OF_INCIDENT, columns)
 
-    df = table(spark, folder, "lineitem")
-    if years or of_order or of_customer:
-        orders = _select(
-            _orders(spark, folder, years), _ORDER_OF_INCIDENT, of_order, "o_orderkey", "o_custkey"
-        )
-        if of_customer:
-            customer = (
-                _customer_regions(spark, folder)
-                if "BORO_NM" in of_customer
-                else table(spark, folder, "customer")
-            )
-            customer = _select(customer, _CUSTOMER_OF_INCIDENT, of_customer, "c_custkey")
-            orders = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
-        df = df.join(orders, df.l_orderkey == orders.o_orderkey, "inner" if years else "left")
-    if of_part:
-        part = _select(table(spark, folder, "part"), _PART_OF_INCIDENT, of_part, "p_partkey")
-        df = df.join(part, df.l_partkey == part.p_partkey, "left")
-    return _select(df, _LINE_OF_INCIDENT, columns)
+
+def incident_counts(spark: SparkSession, folder: str, columns: Sequence[str]) -> DataFrame:
+    """Complaints as rows with a ``count``, for reports that only count them.
+
+    Columns must all come from the order and its customer, or all from the
+    part. Line items then combine on that one key before they are joined, so
+    the join meets each key once and no hot order or part is left in it. The
+    shuffle is the one the join needs anyway.
+    """
+    if all(c in _PART_OF_INCIDENT for c in columns):
+        key = "l_partkey"
+    elif all(c in _ORDER_OF_INCIDENT or c in _CUSTOMER_OF_INCIDENT for c in columns):
+        key = "l_orderkey"
+    else:
+        raise ValueError(f"no single key holds all of {list(columns)}")
+    lines = count_by(table(spark, folder, "lineitem"), key)
+    return _look_up(spark, folder, lines, columns).select(*columns, COUNT)
 
 
 def census(

@@ -18,11 +18,13 @@ SETTINGS = {
 }
 
 _PARTITION_BYTES = 128 * 1024**2
+_MOST_PARTITIONS = 20_000
 
 
 def shuffle_partitions(input_bytes: int, cores: int) -> int:
-    """Enough partitions that each holds about 128 MiB, and one per core at least."""
-    return max(cores, -(-input_bytes // _PARTITION_BYTES))
+    """About 128 MiB each, one per core at least, no more than a shuffle can
+    address well; past that they grow, and Spark spills them."""
+    return max(cores, min(_MOST_PARTITIONS, -(-input_bytes // _PARTITION_BYTES)))
 
 
 def open_session(app: str, master: str | None = None, **settings: str) -> SparkSession:

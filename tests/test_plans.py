@@ -5,7 +5,7 @@ import re
 import pytest
 
 from tallyward import catalog
-from tallyward.plans import incidents
+from tallyward.operators.counting import count_by
 from tallyward.sources import adapters
 
 DATA = "/root/testdata/sf0.001"
@@ -69,8 +69,8 @@ def test_counts_combine_before_the_shuffle(spark):
 def test_dates_are_parsed_after_grouping(spark):
     """The first grouping is by the text; the year comes out of its result."""
     plan = re.sub(r"#\d+L?", "", initial_plan(catalog.crimes_trend(spark, DATA)))
-    assert "HashAggregate(keys=[CMPLNT_FR_DT], functions=[partial_count(1)]" in plan
-    assert "gettimestamp" not in plan[plan.index("keys=[CMPLNT_FR_DT], functions=[partial") :]
+    grouped = plan.index("HashAggregate(keys=[CMPLNT_FR_DT], functions=[partial_sum(count)]")
+    assert "gettimestamp" not in plan[grouped:]
 
 
 @pytest.fixture()
@@ -120,6 +120,32 @@ def test_a_hot_customer_is_split(spark, no_broadcast, tmp_path):
         "'F' AS l_linestatus, timestamp_ntz'1999-01-01 00:00:00' AS l_shipdate FROM range(0, 80000, 1, 8)"
     ).write.parquet(f"{tmp_path}/lineitem.parquet")
     rows = adapters.incidents(spark, str(tmp_path), ["BORO_NM"])
-    report = incidents.crosstab(rows.withColumnRenamed("BORO_NM", "r").selectExpr("r", "'x' AS c"), "r", "c")
-    assert sum(r["count"] for r in report.collect()) <= 80000
+    report = count_by(rows, "BORO_NM")
+    counts = {r.BORO_NM: r["count"] for r in report.collect()}
+    assert sum(counts.values()) == 80000
     assert "skew=true" in report._jdf.queryExecution().executedPlan().toString()
+    counted = adapters.incident_counts(spark, str(tmp_path), ["BORO_NM"])
+    report = count_by(counted, "BORO_NM", weight="count")
+    assert {r.BORO_NM: r["count"] for r in report.collect()} == counts
+
+
+def test_lines_combine_on_their_key_before_the_join(spark):
+    """The join reuses the shuffle of the grouping: one per side, no more."""
+    for key, value in [
+        ("spark.sql.autoBroadcastJoinThreshold", "-1"),
+        ("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1"),
+    ]:
+        spark.conf.set(key, value)
+    try:
+        plan = re.sub(r"#\d+L?", "", initial_plan(catalog.crimes_top(spark, DATA)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    join = plan[plan.index("SortMergeJoin") :]
+    assert join.count("Exchange hashpartitioning") == 2
+    assert "keys=[l_partkey], functions=[partial_count(1)]" in join
+
+
+def test_counts_need_columns_of_one_key(spark):
+    with pytest.raises(ValueError):
+        adapters.incident_counts(spark, DATA, ["BORO_NM", "OFNS_DESC"])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyward import catalog
 from tallyward.plans import keyvalue, metrics
-from tallyward.sources import adapters, lines, schemas, tables
+from tallyward.sources import adapters, lines, schemas, session, tables
 
 DATA = "/root/testdata/sf0.001"
 
@@ -130,3 +130,14 @@ def test_rows_of_a_view_do_not_depend_on_its_columns(spark):
     n = adapters.table(spark, DATA, "lineitem").count()
     for columns in (["_id"], ["CMPLNT_FR_DT"], ["BORO_NM"], ["SUSP_RACE", "OFNS_DESC"]):
         assert adapters.incidents(spark, DATA, columns).count() == n
+
+
+def test_shuffle_partitions_grow_with_the_input():
+    assert session.shuffle_partitions(0, 8) == 8
+    assert session.shuffle_partitions(1024**4, 8) == 8192
+    assert session.shuffle_partitions(100 * 1024**4, 8) == 20_000
+
+
+def test_open_session_hands_back_the_running_one(spark):
+    opened = session.open_session("again", **{"spark.sql.session.timeZone": "UTC"})
+    assert opened.sparkContext is spark.sparkContext
