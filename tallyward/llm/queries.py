@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import decontaminate, mixing, quality, simhash
+from tallyward.llm import decontaminate, mixing, pii, quality, secret_scan, simhash
 from tallyward.llm.shared import read
 
 
@@ -20,6 +20,46 @@ def _hex(number: Column) -> Column:
     return F.lower(F.lpad(F.hex(number), 16, "0"))
 
 
+def _listed(spans: Column) -> Column:
+    """Spans as ``kind:start:end``, comma-joined."""
+    shown = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    return F.array_join(shown, ",")
+
+
+def _of_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(read(spark, sf_dir, "documents"))
+    base, spans = F.col("base"), F.col("spans")
+    return found.select(
+        "doc_id",
+        *(_of_kind(base, kind) for kind in pii.KINDS),
+        F.sha2(_listed(base), 256).alias("base_sha256"),
+        _listed(spans).alias("spans"),
+    )
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(read(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["base"])
+
+    def held(live: bool) -> Column:
+        own = F.filter(spans, lambda s: s["live"] if live else ~s["live"])
+        return F.size(own).cast("long")
+
+    return found.select(
+        "doc_id",
+        *(_of_kind(base, kind) for kind in secret_scan.BASE_KINDS),
+        F.sha2(_listed(base), 256).alias("base_sha256"),
+        _listed(spans).alias("spans"),
+        held(True).alias("n_live"),
+        held(False).alias("n_example"),
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), radius=2, shingle_words=3)
     return found.select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -106,8 +146,10 @@ FROM counted
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_personal_data": op2_personal_data,
         "op3_simhash": op3_simhash,
         "op4_decontamination": op4_decontamination,
+        "op5_secrets": op5_secrets,
         "op7_mixing": op7_mixing,
         "op9_quality": op9_quality,
     }
