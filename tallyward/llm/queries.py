@@ -11,7 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm import decontaminate, mixing, pii, quality, secret_scan, simhash
+from tallyward.llm import (
+    decontaminate,
+    lm_scoring,
+    mixing,
+    pii,
+    quality,
+    secret_scan,
+    simhash,
+    toxicity,
+)
 from tallyward.llm.shared import read
 
 
@@ -30,6 +39,10 @@ def _of_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(read(spark, sf_dir, "documents"))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(read(spark, sf_dir, "documents"))
     base, spans = F.col("base"), F.col("spans")
@@ -88,6 +101,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.find_toxic(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
@@ -146,11 +163,13 @@ FROM counted
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_personal_data": op2_personal_data,
         "op3_simhash": op3_simhash,
         "op4_decontamination": op4_decontamination,
         "op5_secrets": op5_secrets,
         "op7_mixing": op7_mixing,
+        "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
     }
 
