@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward.llm.shared import blank_words, settled
@@ -81,6 +81,10 @@ def sainte_lague(votes: Sequence[Fraction | int], seats: int) -> list[int]:
     return found
 
 
+def _place(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
 def _shards(sizes: Sequence[int], block: int, most: int, blocks: int = 4096) -> list[int]:
     """Shards of each source: ``blocks`` blocks each, ``most`` in all at most,
     and one for each source besides."""
@@ -88,7 +92,22 @@ def _shards(sizes: Sequence[int], block: int, most: int, blocks: int = 4096) ->
     return [max(1, size // each) for size in sizes]
 
 
-def mix(
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` of every row of ``docs``.
+
+    Size is the number of words between ASCII blanks; null text has none.
+    Sources in code point order, the null source last, take ``weights`` in turn
+    and share ``share`` times all words, each at most ``most`` times its own.
+    ``taken`` counts words with repeats, at most ``most`` times the size. Documents
+    without words are taken 0 times. Repeated rows are rows of their own and may
+    be taken differently;
+    reruns agree. An empty table gives an empty one. Only ``doc_id``, ``text``
+    and ``source`` are read. ``options`` are those of ``_mixed``.
+    """
+    return _mixed(docs, **options).drop("place")
+
+
+def _mixed(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
     share: float = 1.5,
@@ -97,23 +116,16 @@ def mix(
     most_shards: int = 4096,
     most_block: int = 1024,
 ) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every row of ``docs``.
+    """The rows of ``mix`` and their ``place`` in the seeded order.
 
-    Size is the number of words between ASCII blanks; null text has none.
-    Sources in code point order, the null source last, take ``weights`` in turn
-    and share ``share`` times all words, each at most ``most`` times its own.
-    ``taken`` counts words with repeats, at most ``most`` times the size. A block
-    has one millionth of all words, 1 at least and ``most_block`` at most. Documents without
-    words are taken 0 times. Repeated rows are rows of their own and may be taken differently;
-    reruns agree. An empty table gives an empty one. Only ``doc_id``, ``text``
-    and ``source`` are read.
+    A block has one millionth of all words, 1 at least and ``most_block`` at most.
     """
     spark = docs.sparkSession
     rows = docs.select(
         "doc_id",
         "source",
         F.size(blank_words(F.col("text"))).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", "text").alias("place"),
+        _place(seed).alias("place"),
     )
     rows = settled(rows, "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("words")).collect()
@@ -167,25 +179,26 @@ def mix(
           sequence(start div {block}, (end - 1) div {block}), 0L,
           (sum, b) -> sum + if({lot} < extra,
             least(end, (b + 1) * {block}) - greatest(start, b * {block}), 0L)))"""
-    return laid.select("doc_id", "size", "source_size", "target", F.expr(taken).alias("taken"))
+    return laid.select(
+        "doc_id", "size", "source_size", "target", F.expr(taken).alias("taken"), "place"
+    )
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents: ``doc_id, text, n_words``, each text as often as taken.
+def take(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
+    """The documents a mix takes any word of: all columns of ``docs``, and
+    ``size``, ``source_size``, ``target`` and ``taken``.
 
-    A document taken in full appears whole; what a mix takes of it beyond whole
-    copies is its first words, joined by single blanks.
+    ``taken`` words are the whole text as often as they hold its size, and its
+    first words for the rest. Repeated rows share what is taken of them, rounded
+    down.
     """
-    counts = mix(docs, **options).where("taken > 0")
-    counts = counts.groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"))
-    words = blank_words(F.col("text"))
-    found = docs.select("doc_id", "text", F.size(words).cast("long").alias("size"))
-    found = found.join(counts, ["doc_id", "size"])
-    whole = F.expr("array_repeat(size, cast(taken div size AS int))")
-    part = F.when(F.expr("taken % size > 0"), F.array(F.expr("taken % size"))).otherwise(
-        F.array().cast("array<bigint>")
+    rows = _mixed(docs, seed=seed, **options).groupBy("place").agg(
+        F.min("size").alias("size"),
+        F.min("source_size").alias("source_size"),
+        F.min("target").alias("target"),
+        F.expr("sum(taken) div count(1)").alias("taken"),
     )
-    copies = found.withColumn("n_words", F.explode(F.concat(whole, part)))
-    cut = F.concat_ws(" ", F.slice(words, F.lit(1), F.col("n_words").cast("int")))
-    text = F.when(F.col("n_words") == F.col("size"), F.col("text")).otherwise(cut)
-    return copies.select("doc_id", text.alias("text"), "n_words")
+    names = ("size", "source_size", "target", "taken")
+    rows = rows.where("taken > 0").withColumnRenamed("place", "_place")
+    docs = docs.drop(*(n for n in names if n in docs.columns))
+    return docs.join(rows, _place(seed) == F.col("_place")).drop("_place")

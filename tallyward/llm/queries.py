@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyward.llm import (
     decontaminate,
+    line_dedup,
     lm_scoring,
     mixing,
     pii,
@@ -97,6 +98,17 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    found = line_dedup.dedup_lines(docs, radius=3, similarity=0.8)
+    return found.select(
+        "doc_id",
+        (F.size(F.split("text", "\n")) + F.col("removed_lines")).cast("long").alias("n_lines"),
+        "removed_lines",
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -168,6 +180,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_decontamination": op4_decontamination,
         "op5_secrets": op5_secrets,
+        "op6_line_dedup": op6_line_dedup,
         "op7_mixing": op7_mixing,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
