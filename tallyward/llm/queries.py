@@ -20,6 +20,7 @@ from tallyward.llm import (
     quality,
     secret_scan,
     simhash,
+    suffix_dedup,
     toxicity,
 )
 from tallyward.llm.shared import read
@@ -121,6 +122,17 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        (F.size("spans") / 2).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUALITY_SQL = r"""
 WITH split AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
@@ -184,6 +196,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": op7_mixing,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
