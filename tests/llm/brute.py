@@ -160,7 +160,7 @@ def edit_distance(a: str, b: str) -> int:
 
 def line_dedup(docs, radius: int = 3, similarity: float = 0.8) -> list[tuple]:
     """Texts without repeated lines; rows with one id and text are one document."""
-    word, nodes, places = re.compile(r"[^\W_]+"), {}, []
+    word, nodes, places = re.compile(r"[^\x00-/:-`{-\x7F]+"), {}, []
     distinct = sorted({(LAST if d is None else d, t or "") for d, t in docs})
     for doc, text in distinct:
         for at, line in enumerate(text.split("\n")):
