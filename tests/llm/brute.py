@@ -148,7 +148,7 @@ def repeats(docs, length: int = 50) -> list[tuple]:
     return out
 
 
-def edit_distance(a: str, b: str) -> int:
+def edit_distance(a, b) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         now = [i]
@@ -171,7 +171,7 @@ def line_dedup(docs, radius: int = 3, similarity: float = 0.8) -> list[tuple]:
     prints = [majority([xxhash.xxh64_intdigest(w.encode(), 42) for w in x]) for x in lines]
     links = []
     for i, j in close_pairs(prints, radius):
-        a, b = " ".join(lines[i]), " ".join(lines[j])
+        a, b = lines[i], lines[j]
         if edit_distance(a, b) <= int(max(len(a), len(b)) * (1 - similarity) + 1e-9):
             links.append((i, j))
     root = roots(len(lines), links)
