@@ -29,6 +29,7 @@ _EDGES = " \t\n.,;:!?\"'()[]{}<>|*#$%&-_/\\…«»“”’"
 # Letters set apart one by one: "i d i o t".
 _SPACED = re.compile(r"(?<!\S)(?:\w[ .*_-]){3,}\w(?!\S)")
 _MOST_CHARS, _STEP = 24, 12
+_TEXTS = 128  # described at a time
 
 
 def words_of(text: str) -> set[str]:
@@ -147,9 +148,9 @@ class Landmarks:
         """Greatest similarity to each landmark over the words of each text.
 
         ``known`` maps words to rows of ``kept``, -1 for words like no landmark;
-        it is emptied when it has grown past a million words.
+        it is emptied when it has grown past 200,000 words.
         """
-        if len(known) > 1_000_000:
+        if len(known) > 200_000:
             known.clear()
             kept.clear()
         sets = [words_of(t) for t in texts]
@@ -331,8 +332,11 @@ def _described(docs: DataFrame, marks: Landmarks) -> DataFrame:
     def similar(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known, kept = {}, []
         for batch in texts:
-            rows = sent.value.describe([t or "" for t in batch], known, kept)
-            yield pd.Series(list(rows))
+            rows = []
+            for at in range(0, len(batch), _TEXTS):
+                part = [t or "" for t in batch.iloc[at : at + _TEXTS]]
+                rows.extend(sent.value.describe(part, known, kept))
+            yield pd.Series(rows)
 
     return docs.withColumn("similar", similar("text"))
 
@@ -349,8 +353,8 @@ def score(text: Column, model: Model, docs: DataFrame) -> Column:
                 yield pd.Series(np.zeros(len(batch)))
                 continue
             parts = []
-            for at in range(0, len(batch), 512):
-                part = [t or "" for t in batch.iloc[at : at + 512]]
+            for at in range(0, len(batch), _TEXTS):
+                part = [t or "" for t in batch.iloc[at : at + _TEXTS]]
                 parts.append(model.score(model.landmarks.describe(part, known, kept)))
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
