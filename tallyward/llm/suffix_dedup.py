@@ -8,9 +8,10 @@ segments meet by anchor, and their suffixes are sorted (``suffixes``); equal one
 form classes, and the smallest document of a class is the one that keeps the
 string.
 
-Documents are read in blocks, by a hash of their id. A block merges equal texts,
-anchors and segments before anything is shuffled, so what a third of all
-documents hold travels once a block. An anchor that more than ``hot_docs``
+A text that a smaller document has as a whole needs no search; such copies are
+found by two hashes of the text. Other documents are read in blocks, by a hash of
+their id. A block merges equal anchors and segments before anything is shuffled,
+so what a third of all documents hold travels once a block. An anchor that more than ``hot_docs``
 documents have may come with ever new neighbours: its strings are dealt one by
 one, by their own hash. The three passes over the blocks read one shuffle.
 """
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyward.llm.shared import partitions
+from tallyward.llm.shared import partitions, settled
 from tallyward.llm.suffixes import sort_suffixes
 
 LENGTH = 50
@@ -69,20 +71,32 @@ def runs_of(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, sizes
 
 
-def _texts(rows: pd.DataFrame) -> list[tuple[bytes, list[int]]]:
-    """Distinct texts of a block with their documents, in a fixed order."""
-    found: dict[str, list[int]] = {}
+def _signed(number: int) -> int:
+    return number - (1 << 64) if number >> 63 else number
+
+
+def _texts(rows: pd.DataFrame, copies: pd.DataFrame) -> list[tuple[bytes, list[int]]]:
+    """Distinct texts of a block with their documents, in a fixed order.
+
+    ``copies`` names documents, with the hash of their text, whose whole text a
+    smaller document has: they are left out.
+    """
+    gone = set(zip(copies["doc"].tolist(), copies["text_key"].tolist()))
+    docs_gone = {doc for doc, _ in gone}
+    found: dict[bytes, list[int]] = {}
     for doc, text in zip(rows["doc"].tolist(), rows["text"].tolist()):
-        found.setdefault(text, []).append(doc)
-    ordered = sorted(found.items(), key=lambda x: (min(x[1]), x[0]))
-    return [(text.encode(), docs) for text, docs in ordered]
+        raw = text.encode()
+        if doc in docs_gone and (doc, _signed(xxhash.xxh64_intdigest(raw, 42))) in gone:
+            continue
+        found.setdefault(raw, []).append(doc)
+    return sorted(found.items(), key=lambda x: (min(x[1]), x[0]))
 
 
-def block_anchors(rows: pd.DataFrame) -> pd.DataFrame:
+def block_anchors(rows: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
     """``anchor, doc, n`` of a block: for each anchor its smallest document with
     the number of them, and the largest if there are several."""
     anchors, firsts, lasts, counts = [], [], [], []
-    for raw, docs in _texts(rows):
+    for raw, docs in _texts(rows, _copies_in(notes)):
         own = anchors_of(raw)
         if len(own):
             own = np.unique(own[runs_of(own)[0]])
@@ -110,13 +124,11 @@ def block_anchors(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _segments(
-    texts: list[tuple[bytes, list[int]]], shared: pd.DataFrame
+    texts: list[tuple[bytes, list[int]]], known: np.ndarray, hot: frozenset[int]
 ) -> Iterator[tuple[int, list[tuple[int, int, int, int, bytes]]]]:
-    """For each text its segments with a shared anchor: ``start, size, anchor,
-    part, bytes``; ``part`` is 0 but for strings dealt one by one."""
-    shared = shared.drop_duplicates("anchor").sort_values("anchor")
-    known = shared["anchor"].to_numpy()
-    hot = frozenset(known[shared["hot"].to_numpy(dtype=bool)].tolist())
+    """For each text its segments with an anchor of ``known`` (sorted): ``start,
+    size, anchor, part, bytes``; ``part`` is 0 but for strings of ``hot`` anchors,
+    which are dealt one by one."""
     for number, (raw, _) in enumerate(texts):
         anchors = anchors_of(raw)
         if not len(anchors) or not len(known):
@@ -140,39 +152,39 @@ def _segments(
             yield number, found
 
 
-def block_segments(block: int, rows: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-    """Distinct segments of a block, numbered in the order of ``_segments``, with
-    their smallest and largest document."""
-    texts = _texts(rows)
-    numbers: dict[tuple, int] = {}
-    first, last = [], []
-    for number, found in _segments(texts, shared):
+def segment_id(anchor: int, part: int, piece: bytes) -> int:
+    """64 bits that tell a segment from others with its anchor."""
+    return _signed(xxhash.xxh64_intdigest(piece, (anchor ^ part) & (1 << 64) - 1))
+
+
+def block_segments(rows: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
+    """Distinct segments of a block with their smallest and largest document."""
+    texts = _texts(rows, _copies_in(notes))
+    shared = notes[notes["kind"] == _SHARED]
+    known = np.unique(shared["anchor"].to_numpy())
+    hot = frozenset(shared["anchor"][shared["part"] > 0].tolist())
+    ends: dict[tuple, list[int]] = {}
+    for number, found in _segments(texts, known, hot):
         low, high = min(texts[number][1]), max(texts[number][1])
         for _, _, anchor, part, piece in found:
-            at = numbers.setdefault((anchor, part, piece), len(numbers))
-            if at == len(first):
-                first.append(low)
-                last.append(high)
-            else:
-                first[at], last[at] = min(first[at], low), max(last[at], high)
-    keys = list(numbers)
+            own = ends.setdefault((anchor, part, piece), [low, high])
+            own[0], own[1] = min(own[0], low), max(own[1], high)
     return pd.DataFrame(
         {
-            "anchor": pd.Series([k[0] for k in keys], dtype="int64"),
-            "part": pd.Series([k[1] for k in keys], dtype="int32"),
-            "segment": pd.Series([k[2] for k in keys], dtype=object),
-            "first": pd.Series(first, dtype="int64"),
-            "last": pd.Series(last, dtype="int64"),
-            "block": pd.Series(block, index=range(len(keys)), dtype="int32"),
-            "number": pd.Series(range(len(keys)), dtype="int32"),
+            "anchor": pd.Series([k[0] for k in ends], dtype="int64"),
+            "part": pd.Series([k[1] for k in ends], dtype="int32"),
+            "segment": pd.Series([k[2] for k in ends], dtype=object),
+            "first": pd.Series([v[0] for v in ends.values()], dtype="int64"),
+            "last": pd.Series([v[1] for v in ends.values()], dtype="int64"),
         }
     )
 
 
 def owners(rows: pd.DataFrame) -> pd.DataFrame:
-    """``block, number, lows`` of segments whose groups are whole in ``rows``:
-    the smallest document of each string, one value if all are alike. Segments no
-    smaller document shares a string with are left out."""
+    """``doc, anchor, part, id, lows`` of segments whose groups are whole in
+    ``rows``: the block's smallest document and, for each string, the smallest of
+    all, one value if all are alike. Segments no smaller document shares a string
+    with are left out."""
     group = rows.groupby(["anchor", "part"], sort=False).ngroup().to_numpy()
     firsts, pieces = rows["first"].to_numpy(), rows["segment"].tolist()
     # Equal segments of a group are one; their strings are sorted once.
@@ -211,8 +223,20 @@ def owners(rows: pd.DataFrame) -> pd.DataFrame:
     kept = np.flatnonzero(least[which] < rows["last"].to_numpy())
     return pd.DataFrame(
         {
-            "block": rows["block"].to_numpy()[kept],
-            "number": rows["number"].to_numpy()[kept],
+            "doc": firsts[kept],
+            "anchor": rows["anchor"].to_numpy()[kept],
+            "part": rows["part"].to_numpy()[kept],
+            "id": np.array(
+                [
+                    segment_id(a, p, pieces[i])
+                    for i, a, p in zip(
+                        kept.tolist(),
+                        rows["anchor"].to_numpy()[kept].tolist(),
+                        rows["part"].to_numpy()[kept].tolist(),
+                    )
+                ],
+                dtype=np.int64,
+            ),
             "lows": [lows[i] for i in which[kept]],
         }
     )
@@ -238,7 +262,7 @@ def whole_groups(batches: Iterator[pd.DataFrame], rows: int = 60_000) -> Iterato
 
 
 def removed_spans(
-    found: list[tuple[int, int, int, int, bytes]], numbers: list[int], lows: dict, doc: int
+    found: list[tuple[int, int, int, int, bytes]], lows: list, doc: int
 ) -> list[int]:
     """Flat ``[start, end, ...]`` of the bytes whose strings a smaller document has."""
     spans: list[int] = []
@@ -249,8 +273,7 @@ def removed_spans(
         else:
             spans.extend((start, end))
 
-    for (start, size, *_), number in zip(found, numbers):
-        own = lows.get(number)
+    for (start, size, *_), own in zip(found, lows):
         if own is None:
             continue
         if len(own) == 1:
@@ -263,28 +286,32 @@ def removed_spans(
     return spans
 
 
-def block_results(
-    rows: pd.DataFrame, shared: pd.DataFrame, answers: pd.DataFrame
-) -> pd.DataFrame:
+def block_results(rows: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
     """``doc, kept, spans`` of every row of a block."""
-    texts = _texts(rows)
-    lows = dict(zip(answers["number"].tolist(), answers["lows"].tolist()))
-    numbers: dict[tuple, int] = {}
-    spans_of: list[list[list[int]]] = [[[]] * len(docs) for _, docs in texts]
-    for number, found in _segments(texts, shared):
-        own = [numbers.setdefault(f[2:], len(numbers)) for f in found]
-        known: dict[int, list[int]] = {}
-        for i, doc in enumerate(texts[number][1]):
-            if doc not in known:
-                known[doc] = removed_spans(found, own, lows, doc)
-            spans_of[number][i] = known[doc]
+    copies = _copies_in(notes)
+    texts = _texts(rows, copies)
+    answers = notes[notes["kind"] == _ANSWER]
+    anchors = answers["anchor"].tolist()
+    lows = dict(zip(zip(anchors, answers["id"].tolist()), answers["lows"].tolist()))
+    known = np.unique(answers["anchor"].to_numpy())
+    hot = frozenset(answers["anchor"][answers["part"] > 0].tolist())
+    spans_of: dict[tuple[int, bytes], list[int]] = {}
+    for number, found in _segments(texts, known, hot):
+        raw, docs = texts[number]
+        own = [lows.get((a, segment_id(a, part, piece))) for _, _, a, part, piece in found]
+        for doc in set(docs):
+            spans_of[doc, raw] = removed_spans(found, own, doc)
+    whole = {(d, raw) for raw, docs in texts for d in docs}
     out_doc, out_kept, out_spans = [], [], []
-    for (raw, docs), own in zip(texts, spans_of):
-        for doc, spans in zip(docs, own):
-            edges = [0, *spans, len(raw)]
-            out_doc.append(doc)
-            out_kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            out_spans.append(spans)
+    for doc, text in zip(rows["doc"].tolist(), rows["text"].tolist()):
+        raw = text.encode()
+        spans = spans_of.get((doc, raw), [])
+        if (doc, raw) not in whole and len(raw) >= LENGTH:
+            spans = [0, len(raw)]  # a copy of a smaller document
+        edges = [0, *spans, len(raw)]
+        out_doc.append(doc)
+        out_kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
+        out_spans.append(spans)
     return pd.DataFrame(
         {
             "doc": pd.Series(out_doc, dtype="int64"),
@@ -294,6 +321,31 @@ def block_results(
     )
 
 
+# What a block is told beside its rows, in one table: copies (doc, text_key),
+# shared anchors (anchor; part 1 if hot) and answers (anchor, part, id, lows).
+_COPY, _SHARED, _ANSWER = 0, 1, 2
+_NOTES = {
+    "kind": "int", "doc": "long", "text_key": "long", "anchor": "long", "part": "int",
+    "id": "long", "lows": "array<long>",
+}
+
+
+def _notes(rows: DataFrame, kind: int) -> DataFrame:
+    have = {"kind": F.lit(kind)} | {c: F.col(c) for c in rows.columns}
+    none = {"array<long>": F.array()}
+    return rows.select(
+        "block",
+        *(
+            have.get(name, none.get(type_, F.lit(0))).cast(type_).alias(name)
+            for name, type_ in _NOTES.items()
+        ),
+    )
+
+
+def _copies_in(notes: pd.DataFrame) -> pd.DataFrame:
+    return notes[notes["kind"] == _COPY]
+
+
 def remove_repeats(
     docs: DataFrame, hot_docs: int = 100_000, block_bytes: int = 16 << 20
 ) -> DataFrame:
@@ -309,50 +361,53 @@ def remove_repeats(
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(2 * partitions(docs.sparkSession), -(-size // block_bytes))
 
-    def block_of(doc: str):
-        return F.pmod(F.xxhash64(doc), F.lit(blocks)).cast("int")
+    def block_of(doc: str) -> Column:
+        return F.pmod(F.xxhash64(doc), F.lit(blocks)).cast("int").alias("block")
 
     rows = docs.select(
         F.coalesce("doc_id", F.lit(_LAST)).alias("doc"),
         F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("block", block_of("doc"))
-    anchors = rows.groupBy("block").applyInPandas(block_anchors, "anchor long, doc long, n long")
+
+    # A text that a smaller document has as a whole needs no search.
+    keyed = rows.select(
+        "doc", F.xxhash64("text").alias("text_key"), F.xxhash64(F.lit(7), "text").alias("other")
+    )
+    firsts = keyed.groupBy("text_key", "other").agg(F.min("doc").alias("first"))
+    copies = keyed.join(firsts, ["text_key", "other"]).where("doc > first")
+    copies = settled(copies.select(block_of("doc"), "doc", "text_key").distinct(), "copies")
+    copies = _notes(copies, _COPY)
+
+    anchors = (
+        rows.groupBy("block")
+        .cogroup(copies.groupBy("block"))
+        .applyInPandas(block_anchors, "anchor long, doc long, n long")
+    )
     whole = Window.partitionBy("anchor")
     shared = (
         anchors.withColumn("first", F.min("doc").over(whole))
         .withColumn("last", F.max("doc").over(whole))
-        .withColumn("hot", F.sum("n").over(whole) > hot_docs)
+        .withColumn("part", (F.sum("n").over(whole) > hot_docs).cast("int"))
         .where("first < last")
-        .select("anchor", "hot", block_of("doc").alias("block"))
+        .select(block_of("doc"), "anchor", "part")
     )
     segments = (
         rows.groupBy("block")
-        .cogroup(shared.groupBy("block"))
+        .cogroup(_notes(shared, _SHARED).unionAll(copies).groupBy("block"))
         .applyInPandas(
-            lambda key, left, right: block_segments(key[0], left, right),
-            "anchor long, part int, segment binary, first long, last long, block int, number int",
+            block_segments, "anchor long, part int, segment binary, first long, last long"
         )
     )
     answers = (
         segments.repartition("anchor", "part")
         .sortWithinPartitions("anchor", "part")
-        .mapInPandas(whole_groups, "block int, number int, lows array<long>")
+        .mapInPandas(whole_groups, "doc long, anchor long, part int, id long, lows array<long>")
+        .select(block_of("doc"), "anchor", "part", "id", "lows")
     )
-    # Pass three needs a block's shared anchors (number -1) and its answers.
-    beside = shared.select(
-        "block", "anchor", "hot", F.lit(-1).alias("number"), F.array().cast("array<long>").alias("lows")
-    ).unionAll(
-        answers.select("block", F.lit(0).cast("long"), F.lit(False), "number", "lows")
-    )
-
-    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        is_answer = right["number"] >= 0
-        return block_results(left, right[~is_answer], right[is_answer])
-
     done = (
         rows.groupBy("block")
-        .cogroup(beside.groupBy("block"))
-        .applyInPandas(finish, "doc long, kept binary, spans array<int>")
+        .cogroup(_notes(answers, _ANSWER).unionAll(copies).groupBy("block"))
+        .applyInPandas(block_results, "doc long, kept binary, spans array<int>")
     )
     gone = F.aggregate(
         F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x).cast("long")),
