@@ -1,10 +1,45 @@
 """The catalogue's queries as SQL for DuckDB, written from the definitions of the
-reports, each over whole tables. Keys are those of ``tallyward.catalog``."""
+reports, each over whole tables. Keys are those of ``tallyward.catalog``.
+
+Nothing here comes from the library: labels follow from the rules of the census
+and word list that the definitions name.
+"""
 
 from __future__ import annotations
 
-from tallyward.functions.recode import CENSUS_AGES, CENSUS_RACES
-from tallyward.operators.text import STOP_WORDS
+from itertools import combinations
+
+# Race codes number the choices of one race, two, and so on, in this order.
+_SINGLE_RACES = [
+    "White", "Black or African American", "American Indian and Alaska Native", "Asian",
+    "Native Hawaiian and Other Pacific Islander",
+]
+CENSUS_RACES = {
+    code: " and ".join(races) if len(races) > 1 else f"{races[0]} alone"
+    for code, races in enumerate(
+        (r for n in range(1, 6) for r in combinations(_SINGLE_RACES, n)), start=1
+    )
+}
+# Bands of five years, the last one open.
+CENSUS_AGES = {k: f"{5 * k - 5}-{5 * k - 1}" for k in range(1, 18)} | {18: ">85"}
+
+# The words a word count leaves out.
+STOP_WORDS = """
+a about above after again against all also am an and any are aren't as at be
+because been before being below between both but by can can't cannot com could
+couldn't did didn't do does doesn't doing don't down during each else ever few
+for from further get had hadn't has hasn't have haven't having he he'd he'll
+he's hence her here here's hers herself him himself his how how's however http i
+i'd i'll i'm i've if in into is isn't it it's its itself just k let's like me
+more most mustn't my myself no nor not of off on once only or other otherwise
+ought our ours ourselves out over own r same shall shan't she she'd she'll she's
+should shouldn't since so some such than that that's the their theirs them
+themselves then there there's therefore these they they'd they'll they're
+they've this those through to too under until up very was wasn't we we'd we'll
+we're we've were weren't what what's when when's where where's which while who
+who's whom why why's with won't would wouldn't www you you'd you'll you're
+you've your yours yourself yourselves
+""".split()
 
 
 def _case(column: str, table: dict) -> str:
@@ -53,17 +88,23 @@ incidents AS (
 CLEAN = (
     INCIDENTS
     + """, clean AS (
-  SELECT _id, CAST(strftime(o_orderdate, '%Y-%m-%d') AS VARCHAR) AS date,
+  SELECT * EXCLUDE (o_orderdate) REPLACE (
+      CASE WHEN SUSP_AGE_GROUP = '' THEN 'UNKNOWN' ELSE SUSP_AGE_GROUP END AS SUSP_AGE_GROUP,
+      CASE WHEN SUSP_RACE = '' THEN 'UNKNOWN' ELSE SUSP_RACE END AS SUSP_RACE),
+    CAST(strftime(o_orderdate, '%Y-%m-%d') AS VARCHAR) AS date,
     CAST(year(o_orderdate) AS INTEGER) AS yearpd,
     CASE WHEN CMPLNT_FR_TM = '' THEN NULL
       WHEN CAST(substr(CMPLNT_FR_TM, 1, 2) AS INTEGER) BETWEEN 6 AND 18 THEN 0
-      ELSE 1 END AS day_night,
-    KY_CD, OFNS_DESC, LAW_CAT_CD, BORO_NM,
-    CASE WHEN SUSP_AGE_GROUP = '' THEN 'UNKNOWN' ELSE SUSP_AGE_GROUP END AS SUSP_AGE_GROUP,
-    CASE WHEN SUSP_RACE = '' THEN 'UNKNOWN' ELSE SUSP_RACE END AS SUSP_RACE
+      ELSE 1 END AS day_night
   FROM incidents)"""
 )
 
+# The cleaned complaints that the filter keeps, for the batch of reports.
+STUDY_CLEAN = CLEAN.replace(
+    "FROM incidents)",
+    "FROM incidents WHERE year(o_orderdate) BETWEEN 1996 AND 2000 AND SUSP_RACE <> '')",
+)
+
 STUDY = (
     INCIDENTS
     + """, study AS (
@@ -185,7 +226,8 @@ DISTRICT_RACE = """, cells AS (
   WHERE length(BORO_NM) > 0 AND length(SUSP_RACE) > 0 GROUP BY 1, 2)"""
 
 CRIME_RACE = """, top AS (
-  SELECT OFNS_DESC FROM clean GROUP BY 1 ORDER BY count(*) DESC, OFNS_DESC NULLS FIRST LIMIT 5),
+  SELECT OFNS_DESC, row_number() OVER (ORDER BY count(*) DESC, OFNS_DESC NULLS FIRST) AS place
+  FROM clean GROUP BY 1 QUALIFY place <= 5),
 cells AS (
   SELECT SUSP_RACE, OFNS_DESC, count(*) AS "count" FROM clean
   WHERE OFNS_DESC IN (SELECT OFNS_DESC FROM top) AND length(SUSP_RACE) > 0
@@ -193,17 +235,32 @@ cells AS (
 
 AGE_BANDS = ["18-24", "25-44", "45-64", "65+", "<18"]
 RACES = ["ASIAN / PACIFIC ISLANDER", "BLACK", "BLACK HISPANIC", "WHITE", "WHITE HISPANIC"]
-# Offence labels: one of eight sizes or colours and one of eight things each.
-OFFENSES = sorted(
-    f"{a} {b}"
-    for a in ["BLUE", "COLD", "HOT", "LARGE", "NEW", "OLD", "RED", "SMALL"]
-    for b in ["ANVIL", "BOLT", "GEAR", "GIZMO", "PLATE", "RING", "ROD", "WIDGET"]
-) + ["false"]
+# Offences with a column of their own.
+OFFENSES = [
+    f"{size} ROD" for size in ["BLUE", "COLD", "HOT", "LARGE", "NEW", "OLD", "RED", "SMALL"]
+]
+
+
+def _columns(
+    column: str, labels, value: str = "count(CASE WHEN {} THEN 1 END)", rest: bool = False
+) -> str:
+    """A column for each label and, with ``rest``, one for all others."""
+    tests = {label: f"{column} = '{label}'" for label in labels}
+    if rest:
+        listed = ", ".join(f"'{label}'" for label in labels)
+        tests["other labels"] = f"{column} IS NULL OR {column} NOT IN ({listed})"
+    return ", ".join(f'{value.format(test)} AS "{label}"' for label, test in tests.items())
+
+
+_PART = "count(CASE WHEN {} THEN 1 END) / CAST(count(*) AS DOUBLE)"
 
 
-def _columns(column: str, labels, value: str = "count(CASE WHEN {} THEN 1 END)") -> str:
+def _ranked(value: str, name: str) -> str:
+    """Offences and values by their place in the ranking."""
     return ", ".join(
-        "{} AS \"{}\"".format(value.format(f"{column} = '{label}'"), label) for label in labels
+        f"max(CASE WHEN place = {k} THEN OFNS_DESC END) AS offense_{k}, "
+        f"{value.format(k)} AS {name}_{k}"
+        for k in range(1, 6)
     )
 
 
@@ -222,10 +279,13 @@ def _growth(period: str, source: str, name: str = "ratio") -> str:
     AS {name} FROM {source}) WHERE {name} IS NOT NULL"""
 
 
+ID_ORDER = "_id, SUSP_AGE_GROUP, LAW_CAT_CD, CRM_ATPT_CPTD_CD"
+
+
 def _like(column: str, pattern: str) -> str:
     return (
         f"WITH {STUDY} SELECT * FROM study WHERE regexp_matches({column}, '(?i){pattern}') "
-        "ORDER BY _id LIMIT 10"
+        f"ORDER BY {ID_ORDER} LIMIT 10"
     )
 
 
@@ -285,7 +345,7 @@ _POPULATION = """, population AS (
   SELECT coalesce(IMPRACE, 'None') AS key, CAST(sum(RESPOP) AS BIGINT) AS value
   FROM groups GROUP BY 1)"""
 _CRIMES = """, crimes AS (
-  SELECT SUSP_RACE AS key, count(*) AS value FROM study GROUP BY 1)"""
+  SELECT SUSP_RACE AS key, count(*) AS value FROM study WHERE ADDR_PCT_CD % 97 <> 0 GROUP BY 1)"""
 
 _INCIDENCE = f"""WITH {CLEAN}{DISTRICTS_RACE}, {CENSUS}, x AS (
   SELECT BORO_NM, SUSP_RACE,
@@ -305,13 +365,51 @@ _SHARES = f"""WITH {CLEAN}{SEVERITY}, shares AS (
 _SHARE = '"count" / CAST(sum("count") OVER (PARTITION BY {}) AS DOUBLE) AS share'
 
 
+_CATEGORIES = [
+    "armed", "city", "manner_of_death", "flee", "gender", "state", "threat_level", "body_camera",
+    "signs_of_mental_illness",
+]
+CLASSIFIED = f"""
+whole AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS id,
+    CASE o_orderpriority WHEN '1-URGENT' THEN 'gun' WHEN '2-HIGH' THEN 'toy weapon'
+      WHEN '3-MEDIUM' THEN 'unarmed' WHEN '5-LOW' THEN '' END AS armed,
+    n_name AS city,
+    CASE WHEN o_orderstatus = 'F' THEN 'shot and Tasered' ELSE 'shot' END AS manner_of_death,
+    CASE WHEN o_orderkey % 11 = 0 THEN '' WHEN o_orderkey % 11 < 7 THEN 'Not fleeing'
+      WHEN o_orderkey % 11 < 9 THEN 'Car' ELSE 'Foot' END AS flee,
+    CASE WHEN o_orderkey % 20 = 0 THEN 'F' ELSE 'M' END AS gender,
+    'S' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS state,
+    CASE WHEN o_totalprice > 250000 THEN 'attack' ELSE 'other' END AS threat_level,
+    CASE WHEN o_orderkey % 7 = 0 THEN 'True' ELSE 'False' END AS body_camera,
+    CASE WHEN o_orderkey % 9 = 0 THEN 'True' ELSE 'False' END AS signs_of_mental_illness,
+    CASE WHEN c_custkey % 43 = 0 THEN NULL WHEN c_custkey % 19 = 0 THEN 'O'
+      WHEN c_mktsegment = 'AUTOMOBILE' THEN 'B' WHEN c_mktsegment = 'BUILDING' THEN 'W'
+      WHEN c_mktsegment = 'FURNITURE' THEN 'H' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'A'
+      WHEN c_mktsegment = 'MACHINERY' THEN 'N' END AS race
+  FROM orders JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey), classified AS (
+  SELECT *, CASE WHEN race = 'W' THEN 1 ELSE 0 END AS label,
+    CASE WHEN CAST('0x' || substr(md5('42:' || id), 1, 8) AS BIGINT) % 10000 < 8000
+      THEN 'train' ELSE 'test' END AS split
+  FROM whole WHERE {" AND ".join(f"length({c}) > 0" for c in [*_CATEGORIES, "race"])}),
+numbered AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {i})" for i, c in enumerate(_CATEGORIES))})
+  AS t("column", place))"""
+INDEXED = f""", long AS ({" UNION ALL ".join(
+    f"SELECT id, split, '{c}' AS \"column\", {c} AS value FROM classified" for c in _CATEGORIES)}),
+indexed AS (
+  SELECT "column", value, CAST(row_number() OVER (
+    PARTITION BY "column" ORDER BY count(*) DESC, value) - 1 AS INTEGER) AS index
+  FROM long WHERE split = 'train' GROUP BY 1, 2)"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "incident_filter": f"WITH {STUDY} SELECT * FROM study",
         "record_rename": f"WITH {STUDY} SELECT _id AS id, {_RECORD} FROM study",
         "record_restore": f"WITH {STUDY} SELECT * EXCLUDE (_id) FROM study",
         "incidents_clean": f"""WITH {CLEAN}
-SELECT _id, date, yearpd, day_night, SUSP_RACE, SUSP_AGE_GROUP FROM clean""",
+SELECT * FROM clean""",
         "incident_cells": f"""WITH {CLEAN} SELECT yearpd, day_night, LAW_CAT_CD, BORO_NM,
   OFNS_DESC, SUSP_AGE_GROUP, SUSP_RACE, count(*) AS "count" FROM clean GROUP BY ALL""",
         "shootings_clean": f"""WITH {SHOOTINGS} SELECT id, date, race, age, state, armed, flee,
@@ -326,7 +424,8 @@ WHERE length(OFNS_DESC) > 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",
         "crimes_severity": f"WITH {CLEAN}{SEVERITY} SELECT * FROM severity",
         "crimes_severity_wide": f"""WITH {CLEAN}{SEVERITY} SELECT yearpd, {_columns(
             "LAW_CAT_CD", ["FELONY", "MISDEMEANOR", "VIOLATION"],
-            'CAST(max(CASE WHEN {} THEN "count" END) AS BIGINT)')} FROM severity GROUP BY 1""",
+            'CAST(sum(CASE WHEN {} THEN "count" END) AS BIGINT)', True)}
+FROM severity GROUP BY 1""",
         "crimes_severity_by_district": f"""WITH {CLEAN}
 SELECT yearpd, BORO_NM, LAW_CAT_CD, count(*) AS "count" FROM clean
 WHERE length(BORO_NM) > 0 AND BORO_NM <> 'false' GROUP BY 1, 2, 3""",
@@ -341,15 +440,22 @@ WHERE length(SUSP_AGE_GROUP) > 0 GROUP BY 1""",
         "cross_districts": f"WITH {CLEAN}{DISTRICT_OFFENSE} SELECT * FROM cells",
         "cross_districts_share": f"""WITH {CLEAN}{DISTRICT_OFFENSE}
 SELECT *, {_SHARE.format("BORO_NM")} FROM cells""",
-        "cross_districts_wide": f"""WITH {CLEAN} SELECT BORO_NM, {_columns("OFNS_DESC", OFFENSES)}
+        "cross_districts_wide": f"""WITH {CLEAN}
+SELECT BORO_NM, {_columns("OFNS_DESC", OFFENSES, rest=True)}
 FROM clean WHERE length(BORO_NM) > 0 AND length(OFNS_DESC) > 0 GROUP BY 1""",
-        "district_crimes": f"""WITH {CLEAN} SELECT _id, KY_CD, OFNS_DESC, LAW_CAT_CD, BORO_NM
+        "cross_districts_wide_share": f"""WITH {CLEAN}
+SELECT BORO_NM, {_columns("OFNS_DESC", OFFENSES, _PART, True)}
+FROM clean WHERE length(BORO_NM) > 0 AND length(OFNS_DESC) > 0 GROUP BY 1""",
+        "district_crimes": f"""WITH {CLEAN} SELECT *
 FROM clean WHERE length(BORO_NM) > 0 AND length(OFNS_DESC) > 0""",
         "cross_district_races": f"WITH {CLEAN}{DISTRICT_RACE} SELECT * FROM cells",
         "cross_district_races_share": f"""WITH {CLEAN}{DISTRICT_RACE}
 SELECT *, {_SHARE.format("BORO_NM")} FROM cells""",
         "cross_district_races_wide": f"""WITH {CLEAN}
-SELECT BORO_NM, {_columns("SUSP_RACE", [*RACES, "UNKNOWN"])}
+SELECT BORO_NM, {_columns("SUSP_RACE", RACES, rest=True)}
+FROM clean WHERE length(BORO_NM) > 0 AND length(SUSP_RACE) > 0 GROUP BY 1""",
+        "cross_district_races_wide_share": f"""WITH {CLEAN}
+SELECT BORO_NM, {_columns("SUSP_RACE", RACES, _PART, True)}
 FROM clean WHERE length(BORO_NM) > 0 AND length(SUSP_RACE) > 0 GROUP BY 1""",
         "cross_age_race": f"""WITH {CLEAN}
 SELECT SUSP_RACE, {_columns("SUSP_AGE_GROUP", AGE_BANDS)} FROM clean
@@ -363,10 +469,13 @@ GROUP BY 1""",
         "cross_crime_race": f"WITH {CLEAN}{CRIME_RACE} SELECT * FROM cells",
         "cross_crime_race_share": f"""WITH {CLEAN}{CRIME_RACE}
 SELECT *, {_SHARE.format("SUSP_RACE")} FROM cells""",
-        "cross_crime_race_wide": f"""WITH {CLEAN}{CRIME_RACE} SELECT SUSP_RACE, {_columns(
-            "OFNS_DESC", ["LARGE ROD", "OLD ROD", "RED PLATE"],
-            'CAST(sum(CASE WHEN {} THEN "count" ELSE 0 END) AS BIGINT)')}
-FROM cells GROUP BY 1""",
+        "cross_crime_race_wide": f"""WITH {CLEAN}{CRIME_RACE} SELECT SUSP_RACE, {_ranked(
+            'CAST(sum(CASE WHEN place = {} THEN "count" ELSE 0 END) AS BIGINT)', "count")}
+FROM cells JOIN top USING (OFNS_DESC) GROUP BY 1""",
+        "cross_crime_race_wide_share": f"""WITH {CLEAN}{CRIME_RACE} SELECT SUSP_RACE, {_ranked(
+            'sum(CASE WHEN place = {} THEN "count" ELSE 0 END) / CAST(sum("count") AS DOUBLE)',
+            "share")}
+FROM cells JOIN top USING (OFNS_DESC) GROUP BY 1""",
         "lookup_regex_borough": _like("BORO_NM", "bro"),
         "lookup_regex_race": _like("SUSP_RACE", "black"),
         "lookup_regex_sex": _like("SUSP_SEX", "male"),
@@ -378,8 +487,10 @@ FROM incidents WHERE SUSP_AGE_GROUP = '<18'""",
         "lookup_eq_offence": f"""WITH {INCIDENTS} SELECT _id, KY_CD, OFNS_DESC FROM incidents
 WHERE KY_CD = 110""",
         "lookup_id": f"""WITH {INCIDENTS} SELECT * EXCLUDE (o_orderdate) FROM incidents
-WHERE _id = '0-1-511-66'""",
-        "incident_preview": f"WITH {STUDY} SELECT * FROM study ORDER BY _id LIMIT 20",
+WHERE _id IN ('0-3-170-3', '0-1-511-66', '0-3-3230-532')""",
+        "incident_preview": f"WITH {STUDY} SELECT * FROM study ORDER BY {ID_ORDER} LIMIT 20",
+        "incident_filter_limit": f"""WITH {STUDY} SELECT * FROM study
+ORDER BY _id, SUSP_AGE_GROUP, SUSP_RACE, LAW_CAT_CD, CRM_ATPT_CPTD_CD LIMIT 50""",
         "shoot_monthly": f"WITH {SHOOTINGS} SELECT * FROM months",
         "shoot_month_by_year": f"""WITH {SHOOTINGS}
 SELECT *, substr(date, 1, 4) AS year FROM months""",
@@ -448,8 +559,12 @@ FROM boroughs WHERE CTYNAME = 'QUEENS'""",
         "polls_measure": f"""WITH {POLLS}
 SELECT State_short, CAST(Winner AS DOUBLE) AS z FROM polls""",
         "mr_population_by_race": f"WITH {CENSUS}{_POPULATION} SELECT * FROM population",
-        "mr_text_files": f"WITH {CENSUS}{_POPULATION} SELECT * FROM population",
+        "mr_text_files": f"""WITH {CENSUS}, population AS (
+  SELECT coalesce(IMPRACE, 'None') AS key, CAST(sum(RESPOP) AS BIGINT) AS value
+  FROM groups WHERE CAST(_id AS BIGINT) % 101 <> 0 GROUP BY 1)
+SELECT * FROM population WHERE key <> 'AMERICAN INDIAN/ALASKAN NATIVE'""",
         "mr_crimes_by_race": f"WITH {STUDY}{_CRIMES} SELECT * FROM crimes",
+        "mr_crime_text": f"WITH {STUDY}{_CRIMES} SELECT * FROM crimes",
         "mr_crime_rate": f"""WITH {STUDY}, {CENSUS}{_POPULATION}{_CRIMES}
 SELECT key, population.value AS population, crimes.value AS crimes,
   round(crimes.value / CAST(population.value AS DOUBLE) * 100, 9) AS rate
@@ -473,11 +588,39 @@ SELECT round(var_samp(severe / CAST(total AS DOUBLE)), 12) AS variance FROM shar
   round(ratio_x, 6) AS ratio_x, round(ratio_y, 6) AS ratio_y, round(incidence, 6) AS incidence
 FROM incidence""",
         "metric_incidence_wide": f"""{_INCIDENCE} SELECT BORO_NM, {_columns(
-            "SUSP_RACE", RACES, "round(avg(CASE WHEN {} THEN incidence END), 6)")}
+            "SUSP_RACE", RACES, "round(avg(CASE WHEN {} THEN incidence END), 6)", True)}
 FROM incidence GROUP BY 1""",
         "metric_yoy_deaths_vs_shootings": _growth_compared(""),
         "metric_yoy_deaths_vs_black_shootings": _growth_compared("WHERE race = 'B'"),
         "table_append": f"WITH {CENSUS} SELECT * FROM census",
+        "census_filter_limit": f"""WITH {CENSUS} SELECT * FROM raw_census
+WHERE lower(STNAME) LIKE '%new york%' AND RESPOP <> 0 AND IMPRACE IS NOT NULL
+ORDER BY _id LIMIT 50""",
+        "csv_untrimmed": """SELECT CASE WHEN o_orderkey % 17 = 0 THEN ' '
+    ELSE ' S' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') END AS state, count(*) AS "count"
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
+        "table_append_districts": f"""WITH {CLEAN}
+SELECT BORO_NM, LAW_CAT_CD, count(*) AS "count" FROM clean GROUP BY 1, 2""",
+        "classifier_rows": f"WITH {CLASSIFIED} SELECT id, race, label, split FROM classified",
+        "classifier_index": f"WITH {CLASSIFIED}{INDEXED} SELECT * FROM indexed",
+        "classifier_features": f"""WITH {CLASSIFIED}{INDEXED}, first AS (
+  SELECT "column", CAST(sum(n + 1) OVER (ORDER BY place) - n - 1 AS INTEGER) AS start, n FROM (
+    SELECT "column", count(*) AS n, any_value(place) AS place FROM indexed JOIN numbered USING ("column")
+    GROUP BY 1))
+SELECT id, CAST(start + coalesce("index", n) AS INTEGER) AS slot
+FROM long JOIN first USING ("column") LEFT JOIN indexed USING ("column", value)""",
+        "classifier_split": f"""WITH {CLASSIFIED}
+SELECT split, count(*) AS rows FROM classified GROUP BY 1""",
+        "batch_trend": f"""WITH {STUDY_CLEAN}, yearly AS (
+  SELECT yearpd, count(*) AS "count" FROM clean GROUP BY 1){_trend("yearpd")}""",
+        "batch_severity": f"WITH {STUDY_CLEAN}{SEVERITY} SELECT * FROM severity",
+        "batch_day_night": f"WITH {STUDY_CLEAN}{DAY_NIGHT} SELECT * FROM dn",
+        "batch_districts_race": f"WITH {STUDY_CLEAN}{DISTRICTS_RACE} SELECT * FROM districts_race",
+        "batch_age_race": f"""WITH {STUDY_CLEAN}
+SELECT SUSP_RACE, {_columns("SUSP_AGE_GROUP", AGE_BANDS)} FROM clean
+WHERE SUSP_AGE_GROUP IN ('<18', '18-24', '25-44', '45-64', '65+') AND SUSP_RACE IS NOT NULL
+GROUP BY 1""",
+        "batch_crime_race": f"WITH {STUDY_CLEAN}{CRIME_RACE} SELECT * FROM cells",
     }
     for name, flag in (("crimes_day_totals", 0), ("crimes_night_totals", 1)):
         sql[name] = f"""WITH {CLEAN}{DAY_NIGHT}

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyward.functions.predicates import names_race
 from tallyward.functions.recode import place_label
 from tallyward.operators import lookup
 from tallyward.operators.counting import COUNT, count_by
-from tallyward.operators.crosstab import crosstab_wide_share
+from tallyward.operators.crosstab import REST, crosstab_wide_share
 from tallyward.operators.text import word_counts
 from tallyward.plans import census as cen
 from tallyward.plans import classifier, keyvalue, metrics
@@ -36,8 +38,20 @@ CRIME_LINE = [
     "SUSP_SEX", "Latitude", "Longitude",
 ]
 
-# A complaint of the test tables at scale 0.01.
-SOME_ID = "0-1-511-66"
+# A complaint of each scale of the test tables: 0.001, 0.01, 0.1.
+SOME_IDS = ["0-3-170-3", "0-1-511-66", "0-3-3230-532"]
+# Offences with a column of their own in the wide table; the rest share one.
+NAMED_OFFENSES = [
+    "BLUE ROD", "COLD ROD", "HOT ROD", "LARGE ROD", "NEW ROD", "OLD ROD", "RED ROD", "SMALL ROD",
+]
+# An id is not unique: these columns make the order of complaints total.
+ID_ORDER = ["_id", "SUSP_AGE_GROUP", "LAW_CAT_CD", "CRM_ATPT_CPTD_CD"]
+
+# The raw columns behind ``incidents.CELL_KEYS``.
+CELL_COLUMNS = [
+    "CMPLNT_FR_DT", "CMPLNT_FR_TM", "LAW_CAT_CD", "BORO_NM", "OFNS_DESC",
+    "SUSP_AGE_GROUP", "SUSP_RACE",
+]
 
 _QUERIES: dict[str, Query] = {}
 
@@ -67,17 +81,15 @@ def _counted(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 def _crime_days(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
     """Counts of complaints by day and the other columns of one report."""
-    if not keys:
-        counts = adapters.incident_counts(spark, folder, ["CMPLNT_FR_DT"])
-        return inc.clean_cells(counts, weight=COUNT)
     read = ["CMPLNT_FR_TM" if key == "day_night" else key for key in keys]
-    return inc.clean_cells(adapters.incidents(spark, folder, ["CMPLNT_FR_DT", *read]), *keys)
+    counts = adapters.incident_counts(spark, folder, ["CMPLNT_FR_DT", *read])
+    return inc.clean_cells(counts, *keys, weight=COUNT)
 
 
-def _study_incidents(spark: SparkSession, folder: str) -> DataFrame:
-    """The filtered complaints; the year range also prunes the scan of dates."""
+def _study_incidents(spark: SparkSession, folder: str, limit: int = 0) -> DataFrame:
+    """The filtered complaints, by a year range that prunes the scan of dates."""
     raw = adapters.incidents(spark, folder, years=(FIRST_YEAR, LAST_YEAR))
-    return inc.filter_incidents(raw, FIRST_YEAR, LAST_YEAR)
+    return inc.filter_incidents(raw, FIRST_YEAR, LAST_YEAR, dated=True, limit=limit)
 
 
 def _victims(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -103,6 +115,11 @@ def incident_filter(spark, folder):
     return _study_incidents(spark, folder)
 
 
+@query
+def incident_filter_limit(spark, folder):
+    return _study_incidents(spark, folder, limit=50)
+
+
 @query
 def record_rename(spark, folder):
     return lookup.renamed(_study_incidents(spark, folder), INCIDENT_NAMES)
@@ -116,23 +133,14 @@ def record_restore(spark, folder):
 
 @query
 def incidents_clean(spark, folder):
-    clean = _crimes(
-        spark, folder, "_id", "CMPLNT_FR_DT", "CMPLNT_FR_TM", "SUSP_RACE", "SUSP_AGE_GROUP"
-    )
-    return clean.select(
-        "_id", F.col("date").cast("string").alias("date"), "yearpd", "day_night",
-        "SUSP_RACE", "SUSP_AGE_GROUP",
-    )
+    clean = _crimes(spark, folder, *INCIDENT_NAMES)
+    return clean.withColumn("date", F.col("date").cast("string"))
 
 
 @query
 def incident_cells(spark, folder):
-    return inc.incident_cells(
-        _crimes(
-            spark, folder, "CMPLNT_FR_DT", "CMPLNT_FR_TM", "LAW_CAT_CD", "BORO_NM",
-            "OFNS_DESC", "SUSP_AGE_GROUP", "SUSP_RACE",
-        )
-    )
+    counts = adapters.incident_counts(spark, folder, CELL_COLUMNS)
+    return inc.incident_cells(inc.clean_incidents(counts), COUNT)
 
 
 @query
@@ -153,6 +161,11 @@ def census_filter_recode(spark, folder):
     return _new_york(spark, folder)
 
 
+@query
+def census_filter_limit(spark, folder):
+    return cen.filter_census(adapters.census(spark, folder), limit=50)
+
+
 @query
 def census_clean(spark, folder):
     return cen.clean_census(_new_york(spark, folder))
@@ -235,7 +248,7 @@ def district_race_slice(spark, folder):
 
 @query
 def crimes_ages(spark, folder):
-    return inc.crimes_ages(_crimes(spark, folder, "SUSP_AGE_GROUP"))
+    return inc.crimes_ages(_counted(spark, folder, "SUSP_AGE_GROUP"), COUNT)
 
 
 # -- cross-tables ------------------------------------------------------------
@@ -243,23 +256,33 @@ def crimes_ages(spark, folder):
 
 @query
 def cross_districts(spark, folder):
-    return inc.cross_districts(_crimes(spark, folder, "BORO_NM", "OFNS_DESC"))
+    return inc.cross_districts(_counted(spark, folder, "BORO_NM", "OFNS_DESC"), COUNT)
 
 
 @query
 def cross_districts_share(spark, folder):
-    return inc.cross_districts_share(_crimes(spark, folder, "BORO_NM", "OFNS_DESC"))
+    return inc.cross_districts_share(_counted(spark, folder, "BORO_NM", "OFNS_DESC"), COUNT)
+
+
+def _districts_wide(spark, folder):
+    counts = _counted(spark, folder, "BORO_NM", "OFNS_DESC")
+    return inc.cross_districts_wide(counts, NAMED_OFFENSES, COUNT)
 
 
 @query
 def cross_districts_wide(spark, folder):
-    return inc.cross_districts_wide(_crimes(spark, folder, "BORO_NM", "OFNS_DESC"))
+    return _districts_wide(spark, folder)
+
+
+@query
+def cross_districts_wide_share(spark, folder):
+    return crosstab_wide_share(_districts_wide(spark, folder), "BORO_NM")
 
 
 @query
 def district_crimes(spark, folder):
-    columns = ["_id", "KY_CD", "OFNS_DESC", "LAW_CAT_CD", "BORO_NM"]
-    return inc.district_crimes(_crimes(spark, folder, *columns))
+    whole = inc.district_crimes(_crimes(spark, folder, *INCIDENT_NAMES))
+    return whole.withColumn("date", F.col("date").cast("string"))
 
 
 @query
@@ -274,15 +297,24 @@ def cross_district_races_share(spark, folder):
     )
 
 
+def _district_races_wide(spark, folder):
+    counts = _counted(spark, folder, "BORO_NM", "SUSP_RACE")
+    return inc.cross_district_races_wide(counts, RACES, COUNT)
+
+
 @query
 def cross_district_races_wide(spark, folder):
-    return inc.cross_district_races_wide(
-        _counted(spark, folder, "BORO_NM", "SUSP_RACE"), [*RACES, "UNKNOWN"], COUNT
-    )
+    return _district_races_wide(spark, folder)
+
+
+@query
+def cross_district_races_wide_share(spark, folder):
+    return crosstab_wide_share(_district_races_wide(spark, folder), "BORO_NM")
 
 
 def _age_race(spark, folder):
-    return inc.cross_age_race(_crimes(spark, folder, "SUSP_AGE_GROUP", "SUSP_RACE"))
+    counts = _counted(spark, folder, "SUSP_AGE_GROUP", "SUSP_RACE")
+    return inc.cross_age_race(counts, weight=COUNT)
 
 
 @query
@@ -297,17 +329,72 @@ def cross_age_race_share(spark, folder):
 
 @query
 def cross_crime_race(spark, folder):
-    return inc.cross_crime_race(_crimes(spark, folder, "SUSP_RACE", "OFNS_DESC"))
+    return inc.cross_crime_race(_counted(spark, folder, "SUSP_RACE", "OFNS_DESC"), weight=COUNT)
 
 
 @query
 def cross_crime_race_share(spark, folder):
-    return inc.cross_crime_race_share(_crimes(spark, folder, "SUSP_RACE", "OFNS_DESC"))
+    counts = _counted(spark, folder, "SUSP_RACE", "OFNS_DESC")
+    return inc.cross_crime_race_share(counts, weight=COUNT)
+
+
+def _crime_race_wide(spark, folder):
+    counts = _counted(spark, folder, "SUSP_RACE", "OFNS_DESC")
+    return inc.cross_crime_race_wide(counts, weight=COUNT)
 
 
 @query
 def cross_crime_race_wide(spark, folder):
-    return inc.cross_crime_race_wide(_crimes(spark, folder, "SUSP_RACE", "OFNS_DESC"))
+    return _crime_race_wide(spark, folder)
+
+
+@query
+def cross_crime_race_wide_share(spark, folder):
+    return inc.cross_crime_race_wide_share(_crime_race_wide(spark, folder))
+
+
+# -- a batch of reports on the filtered table --------------------------------
+
+
+def _study_cells(spark, folder):
+    """Filter, clean and group once; the cells are written for the reports."""
+    years = (FIRST_YEAR, LAST_YEAR)
+    counts = adapters.incident_counts(spark, folder, CELL_COLUMNS, years)
+    cells = inc.incident_cells(inc.clean_incidents(counts.filter(names_race())), COUNT)
+    path = tables.scratch_path(spark, "cells")
+    tables.append_table(cells, path)
+    return tables.read_table(spark, path, cells.schema)
+
+
+@query
+def batch_trend(spark, folder):
+    report = inc.crimes_trend(_study_cells(spark, folder), COUNT)
+    return _round(report, 6, "slope", "intercept", "trend")
+
+
+@query
+def batch_severity(spark, folder):
+    return inc.crimes_severity(_study_cells(spark, folder), COUNT)
+
+
+@query
+def batch_day_night(spark, folder):
+    return inc.crimes_day_night(_study_cells(spark, folder), COUNT)
+
+
+@query
+def batch_districts_race(spark, folder):
+    return inc.crimes_districts_race(_study_cells(spark, folder), weight=COUNT)
+
+
+@query
+def batch_age_race(spark, folder):
+    return inc.cross_age_race(_study_cells(spark, folder), weight=COUNT)
+
+
+@query
+def batch_crime_race(spark, folder):
+    return inc.cross_crime_race(_study_cells(spark, folder), weight=COUNT)
 
 
 # -- lookups -----------------------------------------------------------------
@@ -315,11 +402,22 @@ def cross_crime_race_wide(spark, folder):
 
 def _like(column, pattern):
     def run(spark, folder):
-        return lookup.find_like(_study_incidents(spark, folder), column, pattern, "_id")
+        return _completed(
+            spark, folder, [column], lambda rows: lookup.find_like(rows, column, pattern, *ID_ORDER)
+        )
 
     return run
 
 
+def _completed(spark, folder, columns, search):
+    """Search study complaints by some columns, and look the others up for those
+    found: parts, nations and regions meet a few rows instead of all."""
+    needed = list(dict.fromkeys([*ID_ORDER, "SUSP_RACE", *columns]))
+    rows = adapters.keyed_incidents(spark, folder, needed, (FIRST_YEAR, LAST_YEAR))
+    found = search(rows.filter(names_race()))
+    return adapters.complete_incidents(spark, folder, found).orderBy(*ID_ORDER)
+
+
 _QUERIES["lookup_regex_borough"] = _like("BORO_NM", "bro")
 _QUERIES["lookup_regex_race"] = _like("SUSP_RACE", "black")
 _QUERIES["lookup_regex_sex"] = _like("SUSP_SEX", "male")
@@ -346,12 +444,12 @@ def lookup_eq_offence(spark, folder):
 
 @query
 def lookup_id(spark, folder):
-    return lookup.find_one(adapters.incidents(spark, folder), "_id", SOME_ID)
+    return adapters.incidents_by_id(spark, folder, SOME_IDS)
 
 
 @query
 def incident_preview(spark, folder):
-    return lookup.preview(_study_incidents(spark, folder), "_id")
+    return _completed(spark, folder, [], lambda rows: lookup.preview(rows, *ID_ORDER))
 
 
 # -- shootings ---------------------------------------------------------------
@@ -556,15 +654,49 @@ def polls_measure(spark, folder):
 # -- text lines --------------------------------------------------------------
 
 
+# Files of lines a session has written, by folder and name: a line job's input.
+_LINE_FILES: dict[tuple[str, str, str], str] = {}
+
+
+def _line_file(spark, folder, name, rows, columns, short):
+    """Lines of a text file: a header, the rows, and those marked ``short`` cut
+    off after six fields. Written once in a session."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _LINE_FILES:
+        line = join_fields(*columns)
+        line = F.when(short, F.substring_index(line, ",", 6)).otherwise(line)
+        header = spark.range(1).select(F.lit(",".join(columns)).alias("value"))
+        path = tables.scratch_path(spark, name)
+        rows.select(line.alias("value")).unionAll(header).write.text(path)
+        _LINE_FILES[key] = path
+    return tables.read_lines(spark, _LINE_FILES[key])
+
+
 def _census_lines(spark, folder):
-    return _new_york(spark, folder).select(join_fields(*CENSUS_LINE).alias("value"))
+    rows = _new_york(spark, folder)
+    return _line_file(spark, folder, "census-lines", rows, CENSUS_LINE, F.lit(False))
+
+
+def _dirty_census_lines(spark, folder):
+    """Some lines are short; some of one group's numbers cannot be read."""
+    number = F.col("_id").cast("bigint")
+    rows = _new_york(spark, folder).withColumn(
+        "RESPOP",
+        F.when(
+            F.col("IMPRACE").startswith("American") & (number % 62 == 2), "unknown"
+        ).otherwise(F.col("RESPOP").cast("string")),
+    )
+    return _line_file(
+        spark, folder, "dirty-census-lines", rows, CENSUS_LINE, number % 101 == 0
+    )
 
 
 def _crime_lines(spark, folder):
     # Two-word offences get a comma, so that these lines have a field too many.
     rows = _study_incidents(spark, folder)
     rows = rows.withColumn("OFNS_DESC", F.replace("OFNS_DESC", F.lit(" "), F.lit(", ")))
-    return rows.select(join_fields(*CRIME_LINE).alias("value"))
+    short = F.col("ADDR_PCT_CD") % 97 == 0
+    return _line_file(spark, folder, "crime-lines", rows, CRIME_LINE, short)
 
 
 @query
@@ -588,10 +720,18 @@ def mr_crime_rate(spark, folder):
 
 @query
 def mr_text_files(spark, folder):
-    """Population by race from lines in text files, through a tab-separated result."""
-    lines, result = (tables.scratch_path(spark, n) for n in ("census-lines", "census-result"))
-    _census_lines(spark, folder).write.text(lines)
-    tables.write_key_values(keyvalue.population_by_race(tables.read_lines(spark, lines)), result)
+    """Population by race from dirty lines, through a tab-separated result."""
+    result = tables.scratch_path(spark, "census-result")
+    report = keyvalue.population_by_race(_dirty_census_lines(spark, folder))
+    tables.write_key_values(report, result)
+    return tables.read_key_values(spark, result)
+
+
+@query
+def mr_crime_text(spark, folder):
+    """Crimes by race from text lines, through a tab-separated result."""
+    result = tables.scratch_path(spark, "crime-result")
+    tables.write_key_values(keyvalue.crimes_by_race(_crime_lines(spark, folder)), result)
     return tables.read_key_values(spark, result)
 
 
@@ -645,7 +785,7 @@ def metric_incidence(spark, folder):
 
 @query
 def metric_incidence_wide(spark, folder):
-    return _round(metrics.incidence_wide(_incidence(spark, folder), RACES), 6, *RACES)
+    return _round(metrics.incidence_wide(_incidence(spark, folder), RACES), 6, *RACES, REST)
 
 
 @query
@@ -678,6 +818,31 @@ def csv_roundtrip(spark, folder):
     return tables.read_report(spark, path, report.schema)
 
 
+@query
+def csv_untrimmed(spark, folder):
+    """States of police deaths as they come, blanks at either end, through CSV."""
+    report = count_by(adapters.police_deaths(spark, folder, ["state"]), "state")
+    path = tables.scratch_path(spark, "report")
+    tables.write_report(report, path)
+    return tables.read_report(spark, path, report.schema)
+
+
+@query
+def table_append_districts(spark, folder):
+    """Counts appended to a table partitioned by a text that can be empty."""
+    report = crimes_severity_all_districts(spark, folder)
+    path = tables.scratch_path(spark, "districts")
+    tables.append_table(report, path, ["BORO_NM"])
+    return tables.read_table(spark, path, report.schema, columns=report.columns)
+
+
+def crimes_severity_all_districts(spark, folder):
+    """Complaints by district and severity, empty districts included."""
+    return count_by(
+        _counted(spark, folder, "BORO_NM", "LAW_CAT_CD"), "BORO_NM", "LAW_CAT_CD", weight=COUNT
+    )
+
+
 @query
 def table_append(spark, folder):
     """Filtered census rows appended to a table and read back."""
@@ -686,7 +851,47 @@ def table_append(spark, folder):
     return tables.read_table(spark, path, CENSUS_RECODED, columns=CENSUS_LINE)
 
 
+def _classified(spark, folder):
+    return classifier.split_rows(classifier.complete_rows(adapters.shootings(spark, folder)))
+
+
+def _trained(rows):
+    training = classifier.bounded_rows(rows.filter(F.col("split") == "train"))
+    return classifier.train(training)
+
+
+def _prepared(rows):
+    training = classifier.bounded_rows(rows.filter(F.col("split") == "train"))
+    return Pipeline(stages=[classifier.features()]).fit(training)
+
+
+@query
+def classifier_rows(spark, folder):
+    """The complete rows with their class and split."""
+    return _classified(spark, folder).select("id", "race", "label", "split")
+
+
+@query
+def classifier_index(spark, folder):
+    """The categories' values in the order of the fitted indexer."""
+    return classifier.index_rows(_prepared(_classified(spark, folder)))
+
+
+@query
+def classifier_features(spark, folder):
+    """The slots each row sets in its feature vector."""
+    rows = _classified(spark, folder)
+    return classifier.feature_slots(_prepared(rows), rows)
+
+
+@query
+def classifier_split(spark, folder):
+    """Rows scored in each split."""
+    rows = _classified(spark, folder)
+    return classifier.scores(_trained(rows), rows).select("split", "rows")
+
+
 @query
 def race_classifier(spark, folder):
-    rows = classifier.split_rows(classifier.complete_rows(adapters.shootings(spark, folder)))
-    return classifier.scores(classifier.train(rows.filter(F.col("split") == "train")), rows)
+    rows = _classified(spark, folder)
+    return classifier.scores(_trained(rows), rows)

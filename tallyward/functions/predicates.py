@@ -47,9 +47,12 @@ def wanted_incident(first_year: int, last_year: int) -> Column:
 
     Empty or NULL date text contains no year, so it needs no test of its own.
     """
-    return mentions_year(F.col("CMPLNT_FR_DT"), first_year, last_year) & (
-        F.col("SUSP_RACE") != ""
-    )
+    return mentions_year(F.col("CMPLNT_FR_DT"), first_year, last_year) & names_race()
+
+
+def names_race() -> Column:
+    """Complaints that name a suspect race."""
+    return F.col("SUSP_RACE") != ""
 
 
 def wanted_census(state: str = "new york") -> Column:

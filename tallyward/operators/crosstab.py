@@ -1,9 +1,9 @@
 """Cross-tabulation of two category columns.
 
 The long form has one row per cell that occurs and works for any number of
-labels. The wide form has one column per label and 0 where a cell is absent; it
-is for label sets known to be short. Rows with a NULL label on either side do
-not count.
+labels. The wide form has one column for each label it is given and one more for
+all others, so that nothing is lost and rows add up; 0 where a cell is absent.
+Rows with a NULL label on either side do not count.
 """
 
 from __future__ import annotations
@@ -11,12 +11,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from tallyward.operators.counting import COUNT, count_by, share_within, tally
 
 
+# The column of labels that have none of their own.
+REST = "other labels"
+
+
 def crosstab(df: DataFrame, row: str, column: str, weight: str | None = None) -> DataFrame:
     return count_by(df.na.drop(subset=[row, column]), row, column, weight=weight)
 
@@ -30,19 +34,19 @@ def crosstab_wide(
     df: DataFrame,
     row: str,
     column: str,
-    labels: Sequence[str] | None = None,
+    labels: Sequence[str],
     weight: str | None = None,
 ) -> DataFrame:
-    """One row per ``row`` value, one column per label, sorted both ways.
+    """One row per ``row`` value, sorted; one column per label, then REST."""
+    cells = df.na.drop(subset=[row, column])
+    pivoted = _spread(cells, row, column, labels).agg(tally(weight))
+    return pivoted.select(row, *[_zero(c) for c in [*labels, REST]]).orderBy(row)
+
 
-    ``labels`` names the columns and saves a pass over the data; without it
-    Spark finds the labels first and refuses more than
-    ``spark.sql.pivotMaxValues`` of them.
-    """
-    cells = df.na.drop(subset=[row, column]).groupBy(row)
-    pivoted = cells.pivot(column, list(labels) if labels is not None else None).agg(tally(weight))
-    found = [c for c in pivoted.columns if c != row]
-    return pivoted.select(row, *[_zero(c) for c in found]).orderBy(row)
+def _spread(df: DataFrame, row: str, column: str, labels: Sequence[str]) -> GroupedData:
+    """Groups by ``row``, spread over the labels and REST."""
+    listed = F.when(F.col(column).isin(list(labels)), F.col(column)).otherwise(REST)
+    return df.withColumn(column, listed).groupBy(row).pivot(column, [*labels, REST])
 
 
 def crosstab_wide_share(wide: DataFrame, row: str) -> DataFrame:
@@ -55,14 +59,15 @@ def crosstab_wide_share(wide: DataFrame, row: str) -> DataFrame:
 def unstack(
     report: DataFrame, row: str, column: str, labels: Sequence[str], value: str = COUNT
 ) -> DataFrame:
-    """Spread a long report over columns; an absent cell stays NULL."""
-    return report.groupBy(row).pivot(column, list(labels)).agg(F.first(value)).orderBy(row)
+    """Spread a long report over columns, REST the last; an absent cell stays NULL."""
+    return _spread(report, row, column, labels).agg(F.sum(value)).orderBy(row)
 
 
 def pivot_mean(
     report: DataFrame, row: str, column: str, labels: Sequence[str], value: str
 ) -> DataFrame:
-    return report.groupBy(row).pivot(column, list(labels)).agg(F.avg(value)).orderBy(row)
+    """As ``unstack``, with the mean where a cell, or REST, has several rows."""
+    return _spread(report, row, column, labels).agg(F.avg(value)).orderBy(row)
 
 
 def _zero(name: str) -> Column:

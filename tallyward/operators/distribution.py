@@ -36,10 +36,13 @@ def density_curve(df: DataFrame, value: str, points: int = 500) -> DataFrame:
     """
     values = count_by(df.filter(F.col(value).isNotNull()), value)
     v, n = F.col(value).cast("double"), F.col(COUNT)
+    # Sums of squares cancel for large values; those from the smallest on do not.
+    least = values.agg(F.min(v)).scalar()
+    values, over = values.withColumn("least", least), v - F.col("least")
     moments = values.agg(
         F.sum(n).cast("double").alias("n"),
-        F.sum(n * v).alias("s1"),
-        F.sum(n * v * v).alias("s2"),
+        F.sum(n * over).alias("s1"),
+        F.sum(n * over * over).alias("s2"),
         F.min(v).alias("low"),
         F.max(v).alias("high"),
     )

@@ -27,9 +27,9 @@ def find_like(
     return limited(df.filter(F.col(column).rlike(f"(?i){pattern}")), limit, *order)
 
 
-def find_one(df: DataFrame, column: str, value) -> DataFrame:
-    """The row with this id, or no row."""
-    return find_equal(df, column, value).limit(1)
+def find_one(df: DataFrame, column: str, value, *order: str) -> DataFrame:
+    """The row with this id, or no row; the first in order if several have it."""
+    return limited(find_equal(df, column, value), 1, *(order or df.columns))
 
 
 def preview(df: DataFrame, *order: str, n: int = 20) -> DataFrame:

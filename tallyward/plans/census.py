@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from tallyward.functions import recode
 from tallyward.functions.predicates import wanted_census
 from tallyward.operators.counting import share_of_total, slice_of, sum_by
+from tallyward.operators.lookup import limited
 
 POPULATION = "sum(RESPOP)"
 
 
-def filter_census(raw: DataFrame, state: str = "new york") -> DataFrame:
-    return raw.filter(wanted_census(state))
+def filter_census(raw: DataFrame, state: str = "new york", limit: int = 0) -> DataFrame:
+    """Populated rows of one state; a limit other than 0 keeps the first by id."""
+    return limited(raw.filter(wanted_census(state)), limit, *raw.columns)
 
 
 def recode_census(census: DataFrame) -> DataFrame:

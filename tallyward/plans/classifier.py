@@ -7,7 +7,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.functions.predicates import filled
@@ -21,6 +22,10 @@ CATEGORIES = [
 TRAIN_SHARE = 0.8
 MAX_ITERATIONS, TOLERANCE = 10, 1e-6
 
+# A model is fitted on about this many rows at most, chosen by the split's hash;
+# that also bounds the labels the indexer brings to the driver.
+MOST_TRAINING_ROWS = 1_000_000
+
 _BUCKETS = 10_000
 
 
@@ -38,13 +43,28 @@ def split_rows(
 
     A row falls on the same side in every run and after a lost executor,
     whatever the partitioning, which a random draw per partition does not give.
+    The hash is the start of an md5 sum, which other engines have as well.
     """
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(_BUCKETS))
+    bucket = _hashed(key, seed) % _BUCKETS
     return rows.withColumn(
         "split", F.when(bucket < int(share * _BUCKETS), "train").otherwise("test")
     )
 
 
+def _hashed(key: str, seed: int) -> Column:
+    """32 bits of a seeded hash."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key))), 1, 8)
+    return F.conv(digits, 16, 10).cast("bigint")
+
+
+def bounded_rows(
+    rows: DataFrame, key: str = "id", most: int = MOST_TRAINING_ROWS, seed: int = 43
+) -> DataFrame:
+    """All rows, or about ``most`` of them by a hash of their id."""
+    n = rows.count()
+    return rows if n <= most else rows.filter(_hashed(key, seed) < F.lit(2**32 * most // n))
+
+
 def features() -> Pipeline:
     """Index and one-hot encode all categories, gathered in one sparse vector.
 
@@ -69,6 +89,25 @@ def train(rows: DataFrame) -> PipelineModel:
     return Pipeline(stages=[features(), OneVsRest(classifier=base, parallelism=2)]).fit(rows)
 
 
+def index_rows(model: PipelineModel) -> DataFrame:
+    """``column, value, index`` of the fitted indexer: by count, then value."""
+    indexer = model.stages[0].stages[0]
+    rows = [
+        (column, value, i)
+        for column, labels in zip(indexer.getInputCols(), indexer.labelsArray)
+        for i, value in enumerate(labels)
+    ]
+    spark = SparkSession.active()
+    return spark.createDataFrame(rows, "column string, value string, index int")
+
+
+def feature_slots(model: PipelineModel, rows: DataFrame, key: str = "id") -> DataFrame:
+    """``id, slot`` of the slots each row sets in its feature vector."""
+    vectors = model.stages[0].transform(rows)
+    slots = F.posexplode(vector_to_array("features")).alias("slot", "value")
+    return vectors.select(key, slots).where("value = 1").select(key, "slot")
+
+
 def prepared(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Feature vector, race and class of each row."""
     return model.stages[0].transform(rows).select("features", "race", "label")

@@ -9,14 +9,16 @@ filters follow each report: some drop empty text only, some also the word
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward.functions import dates
 from tallyward.functions.predicates import (
     UNKNOWN,
     filled,
+    names_race,
     not_missing_word,
     unknown_if_empty,
     wanted_incident,
@@ -24,7 +26,6 @@ from tallyward.functions.predicates import (
 from tallyward.operators.counting import (
     COUNT,
     count_by,
-    keep_members,
     ranked,
     regroup,
     settled,
@@ -34,11 +35,13 @@ from tallyward.operators.counting import (
     top_n,
 )
 from tallyward.operators.crosstab import (
+    REST,
     crosstab,
     crosstab_share,
     crosstab_wide,
     unstack,
 )
+from tallyward.operators.lookup import limited
 from tallyward.operators.series import linear_trend
 from tallyward.sources.schemas import INCIDENT_NAMES, OFFENSE_LEVELS
 
@@ -56,10 +59,19 @@ CELL_KEYS = [
 
 
 def filter_incidents(
-    raw: DataFrame, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR
+    raw: DataFrame,
+    first_year: int = FIRST_YEAR,
+    last_year: int = LAST_YEAR,
+    dated: bool = False,
+    limit: int = 0,
 ) -> DataFrame:
-    """The rows and columns of the raw file that the reports read."""
-    return raw.filter(wanted_incident(first_year, last_year)).select(*INCIDENT_NAMES)
+    """The rows and columns of the raw file that the reports read.
+
+    ``dated`` says that the rows were already chosen by a real date. A limit
+    other than 0 keeps the first rows by id and the columns after it.
+    """
+    wanted = names_race() if dated else wanted_incident(first_year, last_year)
+    return limited(raw.filter(wanted).select(*INCIDENT_NAMES), limit, *INCIDENT_NAMES)
 
 
 def clean_text(incidents: DataFrame) -> DataFrame:
@@ -97,13 +109,13 @@ def clean_cells(incidents: DataFrame, *keys: str, weight: str | None = None) ->
     return add_dates(count_by(clean_text(incidents), "CMPLNT_FR_DT", *keys, weight=weight))
 
 
-def incident_cells(clean: DataFrame) -> DataFrame:
+def incident_cells(clean: DataFrame, weight: str | None = None) -> DataFrame:
     """Counts by all columns the reports group by, for a batch of reports.
 
     One pass over the table gives a table of cells, and each report is then a
     small regrouping with ``weight='count'``.
     """
-    return count_by(clean, *CELL_KEYS)
+    return count_by(clean, *CELL_KEYS, weight=weight)
 
 
 def crimes_trend(clean: DataFrame, weight: str | None = None) -> DataFrame:
@@ -191,8 +203,9 @@ def cross_districts_share(clean: DataFrame, weight: str | None = None) -> DataFr
 
 
 def cross_districts_wide(
-    clean: DataFrame, offenses: Sequence[str] | None = None, weight: str | None = None
+    clean: DataFrame, offenses: Sequence[str], weight: str | None = None
 ) -> DataFrame:
+    """One column for each of the offences, and one for all others."""
     return crosstab_wide(
         _crossable(clean, "BORO_NM", "OFNS_DESC"), "BORO_NM", "OFNS_DESC", offenses, weight
     )
@@ -214,8 +227,9 @@ def cross_district_races_share(clean: DataFrame, weight: str | None = None) -> D
 
 
 def cross_district_races_wide(
-    clean: DataFrame, races: Sequence[str] | None = None, weight: str | None = None
+    clean: DataFrame, races: Sequence[str], weight: str | None = None
 ) -> DataFrame:
+    """One column for each of the races, and one for all others."""
     return crosstab_wide(
         _crossable(clean, "BORO_NM", "SUSP_RACE"), "BORO_NM", "SUSP_RACE", races, weight
     )
@@ -230,7 +244,8 @@ def cross_age_race(
         & not_missing_word("SUSP_AGE_GROUP")
         & F.col("SUSP_AGE_GROUP").isin(list(ages))
     )
-    return crosstab_wide(kept, "SUSP_RACE", "SUSP_AGE_GROUP", sorted(ages), weight)
+    wide = crosstab_wide(kept, "SUSP_RACE", "SUSP_AGE_GROUP", sorted(ages), weight)
+    return wide.drop(REST)  # the report is of these bands alone
 
 
 def cross_crime_race(
@@ -242,10 +257,18 @@ def cross_crime_race(
     can take places in the ranking and leave fewer than ``n`` offences. The
     table is read once: both the ranking and the result come from its cells.
     """
+    return _crossed(clean, n, weight).select("SUSP_RACE", "OFNS_DESC", COUNT)
+
+
+def _crossed(clean: DataFrame, n: int, weight: str | None) -> DataFrame:
+    """``cross_crime_race`` with the place of each offence in the ranking."""
     cells = settled(count_by(clean, "SUSP_RACE", "OFNS_DESC", weight=weight))
     top = top_n(regroup(cells, "OFNS_DESC"), "OFNS_DESC", n)
+    # A window over the n rows of the ranking.
+    order = Window.orderBy(F.desc(COUNT), F.col("OFNS_DESC").asc_nulls_first())
+    top = top.select("OFNS_DESC", F.row_number().over(order).alias("place"))
     named = cells.filter(filled("SUSP_RACE", "OFNS_DESC") & not_missing_word("OFNS_DESC"))
-    return keep_members(named, "OFNS_DESC", top).select("SUSP_RACE", "OFNS_DESC", COUNT)
+    return named.join(top, "OFNS_DESC")
 
 
 def cross_crime_race_share(
@@ -257,6 +280,21 @@ def cross_crime_race_share(
 def cross_crime_race_wide(
     clean: DataFrame, n: int = TOP_CROSSED_OFFENSES, weight: str | None = None
 ) -> DataFrame:
-    """One row per race, one column per offence, at most ``n`` of them."""
-    long = cross_crime_race(clean, n, weight)
-    return crosstab_wide(long, "SUSP_RACE", "OFNS_DESC", weight=COUNT)
+    """One row per race; ``offense_<place>`` and ``count_<place>`` for each of the
+    ``n`` places in the ranking. A race without the offence has NULL and 0."""
+    place = F.col("place")
+    columns = []
+    for k in range(1, n + 1):
+        columns.append(F.max(F.when(place == k, F.col("OFNS_DESC"))).alias(f"offense_{k}"))
+        columns.append(F.sum(F.when(place == k, F.col(COUNT)).otherwise(0)).alias(f"count_{k}"))
+    return _crossed(clean, n, weight).groupBy("SUSP_RACE").agg(*columns)
+
+
+def cross_crime_race_wide_share(wide: DataFrame, n: int = TOP_CROSSED_OFFENSES) -> DataFrame:
+    """The wide table with ``share_<place>`` of the row in place of the counts."""
+    total = reduce(lambda a, b: a + b, [F.col(f"count_{k}") for k in range(1, n + 1)])
+    columns = []
+    for k in range(1, n + 1):
+        share = F.try_divide(F.col(f"count_{k}"), total)
+        columns += [F.col(f"offense_{k}"), share.alias(f"share_{k}")]
+    return wide.select("SUSP_RACE", *columns)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.functions.dates import INCIDENT_DATE, ISO_DATE, year_between
-from tallyward.operators.counting import COUNT, count_by
+from tallyward.operators.counting import COUNT, count_by, regroup
 from tallyward.sources.schemas import (
     CENSUS,
     INCIDENT_NAMES,
@@ -184,6 +184,33 @@ def _order_lookup(
     return orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
 
 
+def _with_order(
+    spark: SparkSession,
+    folder: str,
+    lines: DataFrame,
+    columns: Sequence[str],
+    years: tuple[int, int] | None,
+) -> DataFrame:
+    orders = _order_lookup(spark, folder, columns, years)
+    how = "inner" if years else "left"
+    return lines.join(orders, lines.l_orderkey == orders.o_orderkey, how)
+
+
+def _with_part(
+    spark: SparkSession, folder: str, lines: DataFrame, columns: Sequence[str]
+) -> DataFrame:
+    part = _select(table(spark, folder, "part"), _PART_OF_INCIDENT, columns, "p_partkey")
+    return lines.join(part, lines.l_partkey == part.p_partkey, "left")
+
+
+def _of_order(columns: Sequence[str]) -> list[str]:
+    return [c for c in columns if c in _ORDER_OF_INCIDENT or c in _CUSTOMER_OF_INCIDENT]
+
+
+def _of_part(columns: Sequence[str]) -> list[str]:
+    return [c for c in columns if c in _PART_OF_INCIDENT]
+
+
 def _look_up(
     spark: SparkSession,
     folder: str,
@@ -191,22 +218,14 @@ def _look_up(
     columns: Sequence[str],
     years: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Line items, or counts of them by key, with what they take from elsewhere."""
-    if _needs_order(columns) or years:
-        orders = _order_lookup(spark, folder, columns, years)
-        how = "inner" if years else "left"
-        lines = lines.join(orders, lines.l_orderkey == orders.o_orderkey, how)
-    of_part = [c for c in columns if c in _PART_OF_INCIDENT]
-    if of_part:
-        part = _select(table(spark, folder, "part"), _PART_OF_INCIDENT, of_part, "p_partkey")
-        lines = lines.join(part, lines.l_partkey == part.p_partkey, "left")
+    """Line items with what they take from elsewhere."""
+    if _of_order(columns) or years:
+        lines = _with_order(spark, folder, lines, columns, years)
+    if _of_part(columns):
+        lines = _with_part(spark, folder, lines, _of_part(columns))
     return lines
 
 
-def _needs_order(columns: Sequence[str]) -> bool:
-    return any(c in _ORDER_OF_INCIDENT or c in _CUSTOMER_OF_INCIDENT for c in columns)
-
-
 def incidents(
     spark: SparkSession,
     folder: str,
@@ -222,22 +241,66 @@ def incidents(
     return _select(lines, _LINE_OF_INCIDENT, columns)
 
 
-def incident_counts(spark: SparkSession, folder: str, columns: Sequence[str]) -> DataFrame:
+def incident_counts(
+    spark: SparkSession,
+    folder: str,
+    columns: Sequence[str],
+    years: tuple[int, int] | None = None,
+) -> DataFrame:
     """Complaints as rows with a ``count``, for reports that only count them.
 
-    Columns must all come from the order and its customer, or all from the
-    part. Line items then combine on that one key before they are joined, so
-    the join meets each key once and no hot order or part is left in it. The
-    shuffle is the one the join needs anyway.
+    Line items combine on the columns of their own and the keys they are joined
+    by, before the first join; after it, orders give way to the columns taken
+    from them, and rows combine again before parts are joined. So no join meets a
+    hot order or part as more than a handful of rows, and what the second shuffle
+    carries does not grow with the orders.
     """
-    if all(c in _PART_OF_INCIDENT for c in columns):
-        key = "l_partkey"
-    elif all(c in _ORDER_OF_INCIDENT or c in _CUSTOMER_OF_INCIDENT for c in columns):
-        key = "l_orderkey"
-    else:
-        raise ValueError(f"no single key holds all of {list(columns)}")
-    lines = count_by(table(spark, folder, "lineitem"), key)
-    return _look_up(spark, folder, lines, columns).select(*columns, COUNT)
+    own = [c for c in columns if c in _LINE_OF_INCIDENT]
+    of_order, of_part = _of_order(columns), _of_part(columns)
+    order_key = ["l_orderkey"] if of_order or years else []
+    part_key = ["l_partkey"] if of_part else []
+    lines = _select(
+        table(spark, folder, "lineitem"), _LINE_OF_INCIDENT, own, *order_key, *part_key
+    )
+    counts = count_by(lines, *order_key, *part_key, *own)
+    if order_key:
+        counts = _with_order(spark, folder, counts, columns, years)
+        if part_key:
+            counts = regroup(counts, *of_order, *own, *part_key)
+    if part_key:
+        counts = _with_part(spark, folder, counts, of_part)
+    return counts.select(*columns, COUNT)
+
+
+def keyed_incidents(
+    spark: SparkSession, folder: str, columns: Sequence[str], years: tuple[int, int]
+) -> DataFrame:
+    """Line items as they are, with only the complaint columns that a search
+    needs: ``complete_incidents`` adds the others to what it finds."""
+    lines = table(spark, folder, "lineitem")
+    names = lines.columns
+    found = _look_up(spark, folder, lines, columns, years)
+    return _select(found, _LINE_OF_INCIDENT, columns, *names)
+
+
+def complete_incidents(spark: SparkSession, folder: str, lines: DataFrame) -> DataFrame:
+    """All complaint columns of some line items."""
+    names = table(spark, folder, "lineitem").columns
+    found = _look_up(spark, folder, lines.select(*names), tuple(INCIDENT_NAMES))
+    return _select(found, _LINE_OF_INCIDENT, tuple(INCIDENT_NAMES))
+
+
+def incidents_by_id(spark: SparkSession, folder: str, ids: Sequence[str]) -> DataFrame:
+    """Complaints by their ids. The order keys in them reach the scan."""
+    lines = table(spark, folder, "lineitem")
+    orders = sorted({int(i.split("-")[0]) for i in ids})
+    of_order = (
+        F.col("l_orderkey") == orders[0]
+        if len(orders) == 1
+        else F.col("l_orderkey").isin(orders)
+    )
+    own = F.expr(_LINE_OF_INCIDENT["_id"]).isin(list(ids))
+    return complete_incidents(spark, folder, lines.filter(of_order & own))
 
 
 def census(

@@ -8,23 +8,32 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 # Adaptive execution picks join sides from real sizes, splits partitions one hot
-# key fills, and merges small ones, so a high shuffle count costs little.
+# key fills, and merges small ones up to the advisory size, so that a high
+# initial count costs little on small tables and is there for large ones.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "256m",
 }
 
 _PARTITION_BYTES = 128 * 1024**2
-_MOST_PARTITIONS = 20_000
 
 
 def shuffle_partitions(input_bytes: int, cores: int) -> int:
-    """About 128 MiB each, one per core at least, no more than a shuffle can
-    address well; past that they grow, and Spark spills them."""
-    return max(cores, min(_MOST_PARTITIONS, -(-input_bytes // _PARTITION_BYTES)))
+    """Partitions of about 128 MiB, one per core at least."""
+    return max(cores, -(-input_bytes // _PARTITION_BYTES))
+
+
+def partition_settings(count: int) -> dict[str, str]:
+    """Settings for a known input size, for ``open_session(**settings)``."""
+    return {
+        "spark.sql.shuffle.partitions": str(count),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(count),
+    }
 
 
 def open_session(app: str, master: str | None = None, **settings: str) -> SparkSession:

@@ -8,20 +8,51 @@ on a cluster that is shared storage.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from tallyward.sources.schemas import KEY_VALUE
 
 # Empty text and NULL are different groups of a report and stay different in a
 # file: NULL is a bare empty field, empty text a quoted one. On reading, NULL
 # needs a mark of its own, or Spark takes both for NULL.
-_CSV_WRITE = {"nullValue": "", "emptyValue": '""'}
-_CSV_READ = {"nullValue": "\0", "emptyValue": ""}
+# Blanks at either end belong to the text, and a quote is doubled, so that a
+# backslash stays one.
+_CSV_WRITE = {
+    "nullValue": "",
+    "emptyValue": '""',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "escape": '"',
+}
+_CSV_READ = {"nullValue": "\0", "emptyValue": "", "escape": '"'}
+
+
+def _one_line(text: Column) -> Column:
+    """Line breaks as ``\\n`` and ``\\r``, and backslashes doubled, so that a record
+    is one line and files can be split between tasks."""
+    for plain, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return text
+
+
+def _as_it_was(text: Column) -> Column:
+    """What ``_one_line`` was given."""
+
+    def broken(part: Column) -> Column:
+        part = F.replace(part, F.lit("\\n"), F.lit("\n"))
+        return F.replace(part, F.lit("\\r"), F.lit("\r"))
+
+    return F.array_join(F.transform(F.split(text, r"\\\\"), broken), "\\")
+
+
+def _each_text(df: DataFrame, change) -> DataFrame:
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    return df.withColumns({c: change(F.col(f"`{c}`")).alias(c) for c in texts})
 
 
 def read_table(
@@ -49,15 +80,27 @@ def read_table(
 def append_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Append rows to a Parquet table, e.g. filtered rows to the clean table.
 
-    With ``partition_by=['yearpd']`` a later year range prunes directories.
+    With ``partition_by=['yearpd']`` a later year range prunes directories. A
+    directory cannot tell empty text from NULL, so a text column stays in the
+    files and its directories are named by a copy, ``part_<column>``: the text
+    behind a ``=``. Rows of a partition meet before they are written, which keeps
+    files few; a large partition is still written by several tasks.
     """
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
+    copies = {f"part_{c}": F.concat(F.lit("="), c) for c in partition_by if c in texts}
+    if copies:
+        df = df.withColumns(copies)
+    folders = [f"part_{c}" if c in texts else c for c in partition_by]
+    if folders:
+        df = df.hint("rebalance", *folders)
+    df.write.mode("append").partitionBy(*folders).parquet(path)
 
 
 def write_report(df: DataFrame, path: str, index_column: str | None = None) -> None:
     """Write a report as headed CSV part files, with no row-number column."""
     if index_column is not None:
         df = df.drop(index_column)
+    df = _each_text(df, _one_line)
     df.write.mode("overwrite").option("header", True).options(**_CSV_WRITE).csv(path)
 
 
@@ -72,19 +115,20 @@ def read_report(
         .options(**_CSV_READ)
         .csv(path)
     )
+    df = _each_text(df, _as_it_was)
     return df.select(*columns) if columns else df
 
 
 def write_key_values(df: DataFrame, path: str) -> None:
     """Write ``key TAB value`` lines without a header."""
-    df.select("key", "value").write.mode("overwrite").options(
-        sep="\t", **_CSV_WRITE
-    ).csv(path)
+    rows = _each_text(df.select("key", "value"), _one_line)
+    rows.write.mode("overwrite").options(sep="\t", **_CSV_WRITE).csv(path)
 
 
 def read_key_values(spark: SparkSession, path: str) -> DataFrame:
     """Read every part of a ``key TAB value`` result."""
-    return spark.read.schema(KEY_VALUE).options(sep="\t", **_CSV_READ).csv(path)
+    rows = spark.read.schema(KEY_VALUE).options(sep="\t", **_CSV_READ).csv(path)
+    return _each_text(rows, _as_it_was)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -93,14 +137,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared one named by ``spark.checkpoint.dir``.
-
-    Where that setting is missing, a folder of this machine serves only a local
-    master: executors on other machines could not see it.
-    """
+    """A fresh folder under the shared one named by ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="run-")
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
