@@ -168,7 +168,7 @@ def line_dedup(docs, radius: int = 3, similarity: float = 0.8) -> list[tuple]:
             if words:
                 places.append((doc, text, at, nodes.setdefault(words, len(nodes))))
     lines = list(nodes)
-    prints = [majority([xxhash.xxh64_intdigest(w.encode(), 42) for w in x]) for x in lines]
+    prints = [majority([xxhash.xxh64_intdigest(w.encode(), 42) for w in set(x)]) for x in lines]
     links = []
     for i, j in close_pairs(prints, radius):
         a, b = lines[i], lines[j]
