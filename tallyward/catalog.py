@@ -403,19 +403,20 @@ def batch_crime_race(spark, folder):
 def _like(column, pattern):
     def run(spark, folder):
         return _completed(
-            spark, folder, [column], lambda rows: lookup.find_like(rows, column, pattern, *ID_ORDER)
+            spark, folder, [column], 10,
+            lambda rows: lookup.find_like(rows, column, pattern, *ID_ORDER, limit=10),
         )
 
     return run
 
 
-def _completed(spark, folder, columns, search):
-    """Search study complaints by some columns, and look the others up for those
+def _completed(spark, folder, columns, n, search):
+    """Search ``n`` study complaints by some columns, and look the others up for those
     found: parts, nations and regions meet a few rows instead of all."""
     needed = list(dict.fromkeys([*ID_ORDER, "SUSP_RACE", *columns]))
     rows = adapters.keyed_incidents(spark, folder, needed, (FIRST_YEAR, LAST_YEAR))
     found = search(rows.filter(names_race()))
-    return adapters.complete_incidents(spark, folder, found).orderBy(*ID_ORDER)
+    return lookup.limited(adapters.complete_incidents(spark, folder, found), n, *ID_ORDER)
 
 
 _QUERIES["lookup_regex_borough"] = _like("BORO_NM", "bro")
@@ -449,7 +450,7 @@ def lookup_id(spark, folder):
 
 @query
 def incident_preview(spark, folder):
-    return _completed(spark, folder, [], lambda rows: lookup.preview(rows, *ID_ORDER))
+    return _completed(spark, folder, [], 20, lambda rows: lookup.preview(rows, *ID_ORDER))
 
 
 # -- shootings ---------------------------------------------------------------

@@ -86,17 +86,29 @@ def test_crosstab_forms_agree(spark, pairs):
     assert all(math.isclose(s, 1) for s in shares.values())
 
 
-def test_wide_shares_and_discovered_labels(spark, rows):
-    df = pairs_frame(spark, [("x", "a"), ("x", "b.1"), ("x", "b.1"), ("y", "a")])
-    wide = crosstab.crosstab_wide(df, "r", "c")
-    assert wide.columns == ["r", "a", "b.1"]
-    assert rows(wide) == [("x", 1, 2), ("y", 1, 0)]
-    assert rows(crosstab.crosstab_wide_share(wide, "r")) == [("x", 1 / 3, 2 / 3), ("y", 1.0, 0.0)]
+def test_unlisted_labels_share_a_column(spark, rows):
+    df = pairs_frame(spark, [("x", "a"), ("x", "b.1"), ("x", "b.1"), ("y", "a"), ("x", "z")])
+    wide = crosstab.crosstab_wide(df, "r", "c", ["b.1"])
+    assert wide.columns == ["r", "b.1", crosstab.REST]
+    assert rows(wide) == [("x", 2, 2), ("y", 0, 1)]
+    assert rows(crosstab.crosstab_wide_share(wide, "r")) == [("x", 0.5, 0.5), ("y", 0.0, 1.0)]
+    long = crosstab.crosstab(df, "r", "c").groupBy("r").sum("count")
+    assert sorted(rows(long)) == [("x", 4), ("y", 1)]
 
 
 def test_unstack_keeps_gaps(spark, rows):
     df = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "y int, k string, count long")
-    assert rows(crosstab.unstack(df, "y", "k", ["a", "b"])) == [(1, 5, None), (2, None, 6)]
+    assert rows(crosstab.unstack(df, "y", "k", ["a", "b"])) == [
+        (1, 5, None, None), (2, None, 6, None),
+    ]
+    assert rows(crosstab.unstack(df, "y", "k", ["a"])) == [(1, 5, None), (2, None, 6)]
+    assert rows(crosstab.pivot_mean(df, "y", "k", ["a"], "count")) == [(1, 5.0, None), (2, None, 6.0)]
+
+
+def test_density_of_large_values(spark):
+    df = spark.createDataFrame([(2_000_000_000 + i,) for i in range(9)], "v long")
+    curve = distribution.density_curve(df, "v", 10).collect()
+    assert all(0 < r.density < 1 for r in curve)
 
 
 def test_trend_of_a_line(spark):

@@ -9,7 +9,11 @@ from tallyward.operators.counting import count_by
 from tallyward.sources import adapters
 
 DATA = "/root/testdata/sf0.001"
-EAGER = {"race_classifier", "csv_roundtrip", "mr_text_files", "table_append"}
+EAGER = {
+    name
+    for name in catalog.queries()
+    if name.startswith(("batch_", "csv_", "table_append", "mr_", "classifier_", "race_classifier"))
+}
 
 
 def initial_plan(df):
@@ -146,6 +150,20 @@ def test_lines_combine_on_their_key_before_the_join(spark):
     assert "keys=[l_partkey], functions=[partial_count(1)]" in join
 
 
-def test_counts_need_columns_of_one_key(spark):
-    with pytest.raises(ValueError):
-        adapters.incident_counts(spark, DATA, ["BORO_NM", "OFNS_DESC"])
+@pytest.mark.parametrize(
+    "name",
+    ["cross_districts", "cross_crime_race", "crimes_severity", "crimes_day_night", "cross_age_race"],
+)
+def test_line_items_combine_before_any_join(spark, no_broadcast, name):
+    plan = re.sub(r"#\d+L?", "", initial_plan(catalog.queries()[name](spark, DATA)))
+    # Nothing but grouped rows is dealt out by an order or a part.
+    for exchange in re.finditer(r"Exchange hashpartitioning\(l_(?:order|part)key[^\n]*\n([^\n]*)", plan):
+        assert "partial_" in exchange[1], exchange[0]
+
+
+def test_lookups_join_late(spark):
+    plan = initial_plan(catalog.queries()["lookup_regex_sex"](spark, DATA))
+    below = plan[plan.index("TakeOrderedAndProject", plan.index("TakeOrderedAndProject") + 1) :]
+    assert "part.parquet" not in below and "nation.parquet" not in below
+    plan = initial_plan(catalog.lookup_id(spark, DATA))
+    assert "EqualTo(l_orderkey,0)" in plan

@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as contract
 import check
+import oracles
+from tallyward import catalog
 
 DATA = "/root/testdata/sf0.01"
 
@@ -18,7 +20,8 @@ def con():
 
 
 def test_only_the_classifier_has_no_twin():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"race_classifier"}
+    assert set(catalog.queries()) - set(oracles.oracle_sql()) == {"race_classifier"}
+    assert set(oracles.oracle_sql()) <= set(catalog.queries())
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
@@ -27,9 +30,9 @@ def test_entry(spark):
     assert rows and rows[0].asDict().keys() >= {"yearpd", "count", "trend"}
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
     said = check.compare(
-        spark, con, DATA, name, contract.queries()[name], contract.oracle_sql()[name]
+        spark, con, DATA, name, catalog.queries()[name], oracles.oracle_sql()[name]
     )
     assert said.startswith("ok"), said

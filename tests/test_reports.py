@@ -37,6 +37,14 @@ def clean(raw):
     return incidents.clean_incidents(raw)
 
 
+def districts_wide(table, weight=None):
+    return incidents.cross_districts_wide(table, ["THEFT"], weight)
+
+
+def district_races_wide(table, weight=None):
+    return incidents.cross_district_races_wide(table, ["BLACK"], weight)
+
+
 REPORTS = [
     incidents.crimes_trend,
     incidents.crimes_top,
@@ -48,10 +56,10 @@ REPORTS = [
     incidents.crimes_ages,
     incidents.cross_districts,
     incidents.cross_districts_share,
-    incidents.cross_districts_wide,
+    districts_wide,
     incidents.cross_district_races,
     incidents.cross_district_races_share,
-    incidents.cross_district_races_wide,
+    district_races_wide,
     incidents.cross_age_race,
     incidents.cross_crime_race,
     incidents.cross_crime_race_share,
@@ -144,6 +152,18 @@ def test_filter_incidents(raw):
         "01/02/2009", "12/31/2019", "13/45/2019",
     }
     assert {r[0] for r in kept.select("SUSP_RACE").distinct().collect()} == {"BLACK", "WHITE"}
+    first = incidents.filter_incidents(raw, limit=1).collect()
+    assert first == kept.orderBy(*kept.columns).take(1)
+    assert incidents.filter_incidents(raw, limit=0).count() == kept.count()
+
+
+def test_wide_tables_lose_nothing(clean):
+    long = {
+        r.BORO_NM: r.n
+        for r in incidents.cross_districts(clean).groupBy("BORO_NM").agg(F.sum("count").alias("n")).collect()
+    }
+    for row in districts_wide(clean).collect():
+        assert sum(row[1:]) == long[row.BORO_NM]
 
 
 @pytest.fixture(scope="module")
@@ -278,7 +298,7 @@ def test_incidence(spark, people):
     assert got[("BROOKLYN", "BLACK")].incidence is None
     assert got[("BRONX", "WHITE")].ratio_x == 1.0
     assert plain(metrics.incidence_wide(long, ["BLACK", "WHITE"])) == [
-        ("BRONX", None, None), ("BROOKLYN", None, round(0.57 * 0.26, 9)),
+        ("BRONX", None, None, None), ("BROOKLYN", None, round(0.57 * 0.26, 9), None),
     ]
 
 

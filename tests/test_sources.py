@@ -20,6 +20,49 @@ def test_scratch_is_under_the_shared_folder(spark, path):
     assert path("a") != path("a")
 
 
+def test_scratch_needs_the_shared_folder(spark):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    bare = type("Bare", (), {"conf": type("Conf", (), {"get": lambda self, k, d=None: d})()})()
+    assert shared
+    with pytest.raises(ValueError):
+        tables.scratch_path(bare, "a")
+
+
+HARD = [
+    "", " ", "  ", None, " S01", "S02 ", "a\nb", "a\r\nb", "\n", "a\tb", 'say "x"', '"', "\\",
+    "\\n", "a\\\nb", "a,b", "'", "é", "false", "=", "a/b:c", "%41",
+]
+
+
+def test_hard_texts_survive_every_file(spark, path, rows):
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(HARD)], "k string, count long")
+    report, parts = path("report"), path("parts")
+    tables.write_report(df, report)
+    assert sorted(rows(tables.read_report(spark, report, df.schema)), key=repr) == sorted(
+        rows(df), key=repr
+    )
+    assert tables.read_lines(spark, report).count() == len(HARD) + len(
+        {r[0] for r in tables.read_report(spark, report, df.schema).select(F.input_file_name()).collect()}
+    )
+    pairs = spark.createDataFrame([(t, i) for i, t in enumerate(HARD)], schemas.KEY_VALUE)
+    where = path("kv")
+    tables.write_key_values(pairs, where)
+    assert sorted(rows(tables.read_key_values(spark, where)), key=repr) == sorted(
+        rows(pairs), key=repr
+    )
+    tables.append_table(df, parts, ["k"])
+    back = tables.read_table(spark, parts, df.schema, columns=["k", "count"])
+    assert sorted(rows(back), key=repr) == sorted(rows(df), key=repr)
+
+
+def test_partitions_have_few_files(spark, path):
+    df = spark.range(0, 4000, 1, 40).selectExpr("id", "string(id % 7) AS k")
+    where = path("few")
+    tables.append_table(df, where, ["k"])
+    files = tables.read_table(spark, where).select(F.input_file_name()).distinct().count()
+    assert files <= 2 * 7
+
+
 def test_report_keeps_empty_and_null_apart(spark, path, rows):
     df = spark.createDataFrame(
         [("a", 1), ("", 2), (None, 3), ('q"uote, comma', 4)], "k string, count long"
@@ -135,7 +178,8 @@ def test_rows_of_a_view_do_not_depend_on_its_columns(spark):
 def test_shuffle_partitions_grow_with_the_input():
     assert session.shuffle_partitions(0, 8) == 8
     assert session.shuffle_partitions(1024**4, 8) == 8192
-    assert session.shuffle_partitions(100 * 1024**4, 8) == 20_000
+    assert session.shuffle_partitions(100 * 1024**4, 8) == 819_200
+    assert int(session.SETTINGS["spark.sql.adaptive.coalescePartitions.initialPartitionNum"]) > 4096
 
 
 def test_open_session_hands_back_the_running_one(spark):
