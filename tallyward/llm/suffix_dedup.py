@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +76,15 @@ def _signed(number: int) -> int:
     return number - (1 << 64) if number >> 63 else number
 
 
+def packed(texts: pd.Series) -> pd.Series:
+    """UTF-8 bytes, compressed: they are the most that is shuffled."""
+    return pd.Series(list(map(zstandard.compress, (t.encode() for t in texts))), dtype=object)
+
+
+def _raw(rows: pd.DataFrame) -> list[bytes]:
+    return [zstandard.decompress(p) for p in rows["packed"]]
+
+
 def _texts(rows: pd.DataFrame, copies: pd.DataFrame) -> list[tuple[bytes, list[int]]]:
     """Distinct texts of a block with their documents, in a fixed order.
 
@@ -84,8 +94,7 @@ def _texts(rows: pd.DataFrame, copies: pd.DataFrame) -> list[tuple[bytes, list[i
     gone = set(zip(copies["doc"].tolist(), copies["text_key"].tolist()))
     docs_gone = {doc for doc, _ in gone}
     found: dict[bytes, list[int]] = {}
-    for doc, text in zip(rows["doc"].tolist(), rows["text"].tolist()):
-        raw = text.encode()
+    for doc, raw in zip(rows["doc"].tolist(), _raw(rows)):
         if doc in docs_gone and (doc, _signed(xxhash.xxh64_intdigest(raw, 42))) in gone:
             continue
         found.setdefault(raw, []).append(doc)
@@ -303,8 +312,7 @@ def block_results(rows: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
             spans_of[doc, raw] = removed_spans(found, own, doc)
     whole = {(d, raw) for raw, docs in texts for d in docs}
     out_doc, out_kept, out_spans = [], [], []
-    for doc, text in zip(rows["doc"].tolist(), rows["text"].tolist()):
-        raw = text.encode()
+    for doc, raw in zip(rows["doc"].tolist(), _raw(rows)):
         spans = spans_of.get((doc, raw), [])
         if (doc, raw) not in whole and len(raw) >= LENGTH:
             spans = [0, len(raw)]  # a copy of a smaller document
@@ -364,13 +372,15 @@ def remove_repeats(
     def block_of(doc: str) -> Column:
         return F.pmod(F.xxhash64(doc), F.lit(blocks)).cast("int").alias("block")
 
-    rows = docs.select(
+    texts = docs.select(
         F.coalesce("doc_id", F.lit(_LAST)).alias("doc"),
         F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("block", block_of("doc"))
+    )
+    pack = F.pandas_udf(packed, "binary")
+    rows = texts.select("doc", pack("text").alias("packed"), block_of("doc"))
 
     # A text that a smaller document has as a whole needs no search.
-    keyed = rows.select(
+    keyed = texts.select(
         "doc", F.xxhash64("text").alias("text_key"), F.xxhash64(F.lit(7), "text").alias("other")
     )
     firsts = keyed.groupBy("text_key", "other").agg(F.min("doc").alias("first"))
