@@ -149,6 +149,10 @@ def repeats(docs, length: int = 50) -> list[tuple]:
 
 
 def edit_distance(a, b) -> int:
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[same:], b[same:]
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         now = [i]

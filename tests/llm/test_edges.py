@@ -22,7 +22,7 @@ from tallyward.llm import (
 
 from . import brute
 
-LONG = " ".join(f"word{i * i % 4999}" for i in range(20_000))
+LONG = " ".join(f"word{i * i % 4999}" for i in range(6_000))
 SHARED = "a passage of sixty bytes or a little more that several documents hold"
 ITEM = "these ten words in a row make one whole window here ok and more"
 ROWS = [
@@ -42,9 +42,9 @@ ROWS = [
     (None, f"{SHARED} and no number", "src2"),
     (None, f"{SHARED} and no number", "src2"),
     (12, "de de de de de de de de de de de de de de de de de de de de de", "src0"),
-    (13, "home | about | contact | help\n" + "some plain words of a sentence. " * 6, "src0"),
+    (13, "home | about | contact | help\n" + " ".join(f"plain{i}" for i in range(40)), "src0"),
 ]
-ITEMS = [(1, ITEM), (2, "these ten words"), (None, "plain words"), (3, None), (4, ""), (2, "one")]
+ITEMS = [(1, ITEM), (2, "these ten words"), (None, "plain7 plain8"), (3, None), (4, ""), (2, "one")]
 CLASHES = ["fp", "node", "block", "row", "size", "target", "found", "spans", "kept", "words", "n"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -173,7 +173,7 @@ def test_secrets(spark, docs, none):
 
 
 def test_ownership_tells_examples_from_live_secrets(spark):
-    live, copied = "Bearer aB3dE6gH9jK2mN5pQ8", "Bearer zY7xW4vU1tS8rQ5pO2"
+    live, copied = "Bearer aB3dE6gH9jK2mN5pQ8rS7t", "Bearer zY7xW4vU6tS8rQ5pO2nM9l"
     data = [(1, f"header {live} here", "a"), (2, "nothing", "a")]
     data += [(10 + i, f"docs say {copied} always", f"s{i}") for i in range(5)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
@@ -242,7 +242,7 @@ def test_quality(docs, none):
     assert (by[1].n_words, by[1].kept, by[2].base_failed) == (0, False, True)
     assert by[12].n_repeat_words == 21 and by[12].base_failed
     assert by[13].kept and by[13].n_failed_lines == 1
-    assert by[7].n_words == 20_000
+    assert by[7].n_words == 6_000
     clean = {r.doc_id: r.text for r in quality.clean(docs).collect()}
     assert "home |" not in clean[13]
     assert quality.quality(none).count() == 0
