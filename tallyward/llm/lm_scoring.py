@@ -9,7 +9,8 @@ Spark counts the words of the whole corpus for the vocabulary, every partition
 trains a network on all its tokens from the same start, the networks are
 averaged by their tokens, and every text is scored with the average. What moves
 are word counts and networks of fixed size, one a partition, averaged in two
-steps so that no task meets all of them.
+steps so that no task meets all of them, and the words outside the vocabulary,
+which meet their counts: each has its own part of its bucket's probability.
 """
 
 from __future__ import annotations
@@ -137,6 +138,12 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
+def _bucket(word: bytes, buckets: int) -> int:
+    """The bucket of a word outside the vocabulary, as ``word_shares`` counts it."""
+    h = xxhash.xxh64_intdigest(word, 42)
+    return (h - (1 << 64) if h >> 63 else h) % buckets
+
+
 @dataclass
 class Vocabulary:
     numbers: dict[bytes, int]
@@ -147,10 +154,14 @@ class Vocabulary:
         number, first, buckets = self.numbers.get, len(self.numbers), self.shape.buckets
         first = self.shape.tokens - buckets
         return [
-            i if (i := number(w, -1)) >= 0 else first + xxhash.xxh64_intdigest(w) % buckets
+            i if (i := number(w, -1)) >= 0 else first + _bucket(w, buckets)
             for w in text.encode().lower().split()
         ]
 
+    def rare(self, text: str) -> list[str]:
+        """The words outside the vocabulary, each as often as it occurs."""
+        return [w.decode() for w in text.encode().lower().split() if w not in self.numbers]
+
     def line_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All tokens in a row with gaps between texts, the places of tokens,
         and the tokens of each text."""
@@ -170,14 +181,34 @@ def count_words(docs: DataFrame) -> DataFrame:
     )
 
 
-def train(docs: DataFrame, shape: Shape | None = None, rate: float = 0.05, groups: int = 64):
+def word_shares(counted: DataFrame, words: Vocabulary) -> DataFrame:
+    """``word, log_share`` of every counted word outside the vocabulary: the
+    logarithm of its part of its bucket's occurrences."""
+    spark = counted.sparkSession
+    known = spark.createDataFrame([(w.decode(),) for w in words.numbers], "word string")
+    rare = counted.join(known, "word", "left_anti").withColumn(
+        "bucket", F.pmod(F.xxhash64("word"), F.lit(words.shape.buckets))
+    )
+    totals = rare.groupBy("bucket").agg(F.sum("n").alias("total"))
+    return rare.join(F.broadcast(totals), "bucket").select(
+        "word", F.log(F.col("n") / F.col("total")).alias("log_share")
+    )
+
+
+def train(
+    docs: DataFrame,
+    shape: Shape | None = None,
+    rate: float = 0.05,
+    groups: int = 64,
+    counted: DataFrame | None = None,
+):
     """``(vocabulary, network)`` from every token of ``docs``.
 
     The vocabulary has the most frequent words; ties go by the word. Partitions
     train alone and their networks are averaged by their numbers of tokens.
     """
     shape = shape or Shape()
-    counted = count_words(docs)
+    counted = count_words(docs) if counted is None else counted
     top = counted.orderBy(F.desc("n"), "word").limit(shape.tokens - shape.buckets).collect()
     total = counted.agg(F.sum("n")).first()[0] or 0
     words = Vocabulary({r.word.encode(): i for i, r in enumerate(top)}, shape)
@@ -236,32 +267,54 @@ def score(docs: DataFrame, shape: Shape | None = None, rate: float = 0.05) -> Da
     """``doc_id, n_tokens, log_prob, mean_log_prob`` of every row of ``docs``.
 
     ``log_prob`` is the sum of the natural logarithms of each token's
-    probability given its neighbours. Null, empty and wordless texts have no
+    probability given its neighbours; a word outside the vocabulary has its
+    part, by its count, of its bucket's probability. Null, empty and wordless texts have no
     tokens, the sum 0 and a null mean. Repeated rows get equal scores; an empty
     table gives an empty one. Only ``doc_id`` and ``text`` are read.
     """
     docs = docs.select("doc_id", "text")
-    words, net = train(docs, shape, rate)
+    counted = settled(count_words(docs), "counts")
+    words, net = train(docs, shape, rate, counted=counted)
+    shares = word_shares(counted, words)
     sent = docs.sparkSession.sparkContext.broadcast((words, net.values))
 
-    @F.pandas_udf("n_tokens long, log_prob double")
+    @F.pandas_udf("n_tokens long, log_prob double, rare array<string>")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words, values = sent.value
         net = Network(words.shape, values)
         for batch in texts:
             parts = []
             for at in range(0, len(batch), 256):
-                ids, places, sizes = words.line_up([t or "" for t in batch.iloc[at : at + 256]])
+                texts_ = [t or "" for t in batch.iloc[at : at + 256]]
+                ids, places, sizes = words.line_up(texts_)
                 logs = [
                     net.step(ids, places[i : i + _BATCH]) for i in range(0, len(places), _BATCH)
                 ]
                 sums = np.concatenate([[0.0], np.cumsum(np.concatenate([[], *logs]))])
                 ends = np.cumsum(sizes)
                 parts.append(
-                    pd.DataFrame({"n_tokens": sizes, "log_prob": sums[ends] - sums[ends - sizes]})
+                    pd.DataFrame(
+                        {
+                            "n_tokens": sizes,
+                            "log_prob": sums[ends] - sums[ends - sizes],
+                            "rare": [words.rare(t) for t in texts_],
+                        }
+                    )
                 )
-            yield pd.concat(parts) if parts else pd.DataFrame({"n_tokens": [], "log_prob": []})
+            none = {"n_tokens": [], "log_prob": [], "rare": []}
+            yield pd.concat(parts) if parts else pd.DataFrame(none)
 
-    found = docs.withColumn("_scored", scored("text"))
+    found = docs.select("doc_id", scored("text").alias("_scored")).select(
+        F.monotonically_increasing_id().alias("_row"), "doc_id", "_scored.*"
+    )
+    found = settled(found, "scored")
+    rare = found.select("_row", F.explode("rare").alias("word")).join(shares, "word")
+    # Decimals add up to the same in any order.
+    rare = rare.groupBy("_row").agg(
+        F.sum(F.col("log_share").cast("decimal(28,12)")).cast("double").alias("_shares")
+    )
+    found = found.drop("rare").join(rare, "_row", "left").withColumn(
+        "log_prob", F.col("log_prob") + F.coalesce("_shares", F.lit(0.0))
+    )
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
-    return found.select("doc_id", "_scored.*").withColumn("mean_log_prob", mean)
+    return found.select("doc_id", "n_tokens", "log_prob").withColumn("mean_log_prob", mean)
