@@ -101,8 +101,9 @@ def find_secrets(
     ``spans`` has ``kind_no, kind, start, end, base, value_hash, n_owners,
     n_repositories, live``, in code points, end exclusive, by start and then
     kind as in KINDS: the certain spans, and live proposals that overlap none.
-    A value is live if it looks random, fewer than ``example_owners`` owners and
-    ``example_repositories`` repositories hold it. Null is an owner (repository)
+    A value is live if it looks random and has one owner, or fewer than
+    ``example_owners`` owners and ``example_repositories`` repositories. Equal
+    texts of one owner are one repository. Null is an owner (repository)
     like any other. Null and empty texts have no spans. Repeated rows give
     repeated rows, and count as one repository. Only the four named columns are
     read.
@@ -132,24 +133,32 @@ def find_secrets(
         "doc_id",
         F.col(owner).alias("owner"),
         F.col(repository).alias("repository"),
+        F.xxhash64("text").alias("copy"),
         find("text").alias("found"),
     )
     rows = settled(rows, "secrets")
-    places = rows.select("row", "owner", "repository", F.inline("found"))
+    places = rows.select("row", "owner", "repository", "copy", F.inline("found"))
+    own = places.select("value_hash", "owner", "repository", "copy").distinct()
+    # Equal texts are one repository, and so are texts of one.
+    distinct = [
+        own.select("value_hash", "owner", c).distinct().groupBy("value_hash", "owner").agg(
+            F.count(F.lit(1)).alias(f"n_{c}")
+        )
+        for c in ("repository", "copy")
+    ]
+    by_owner = distinct[0].withColumn("n_copy", F.lit(None).cast("long")).unionByName(
+        distinct[1].withColumn("n_repository", F.lit(None).cast("long"))
+    )
     held = (
-        places.select("value_hash", "owner", "repository")
-        .distinct()
-        .groupBy("value_hash", "owner")
-        .agg(F.count(F.lit(1)).alias("n"))
+        by_owner.groupBy("value_hash", "owner")
+        .agg(F.least(F.max("n_repository"), F.max("n_copy")).alias("n"))
         .groupBy("value_hash")
         .agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
     )
     base = F.col("kind_no") < len(BASE_KINDS)
-    live = (
-        F.col("random")
-        & (F.col("n_owners") < example_owners)
-        & (F.col("n_repositories") < example_repositories)
-    )
+    # What has one owner is that owner's, in however many repositories.
+    few = (F.col("n_owners") < example_owners) & (F.col("n_repositories") < example_repositories)
+    live = F.col("random") & ((F.col("n_owners") == 1) | few)
     kinds = F.array(*[F.lit(k) for k in KINDS])
     judged = (
         places.join(held, "value_hash")
