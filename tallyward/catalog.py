@@ -857,12 +857,11 @@ def _classified(spark, folder):
 
 
 def _trained(rows):
-    training = classifier.bounded_rows(rows.filter(F.col("split") == "train"))
-    return classifier.train(training)
+    return classifier.train(rows.filter(F.col("split") == "train"))
 
 
 def _prepared(rows):
-    training = classifier.bounded_rows(rows.filter(F.col("split") == "train"))
+    training = rows.filter(F.col("split") == "train")
     return Pipeline(stages=[classifier.features()]).fit(training)
 
 

@@ -22,8 +22,8 @@ CATEGORIES = [
 TRAIN_SHARE = 0.8
 MAX_ITERATIONS, TOLERANCE = 10, 1e-6
 
-# A model is fitted on about this many rows at most, chosen by the split's hash;
-# that also bounds the labels the indexer brings to the driver.
+# The regression is fitted on about this many rows at most, chosen by a hash of the
+# id; categories are counted over all rows.
 MOST_TRAINING_ROWS = 1_000_000
 
 _BUCKETS = 10_000
@@ -81,12 +81,17 @@ def features() -> Pipeline:
     )
 
 
-def train(rows: DataFrame) -> PipelineModel:
-    """Fit the features and the classifier on the given (training) rows only."""
+def train(rows: DataFrame, most: int = MOST_TRAINING_ROWS) -> PipelineModel:
+    """Fit the features on all given (training) rows, and the classifier on them
+    or about ``most`` of them."""
     base = LogisticRegression(
         maxIter=MAX_ITERATIONS, tol=TOLERANCE, featuresCol="features", labelCol="label"
     )
-    return Pipeline(stages=[features(), OneVsRest(classifier=base, parallelism=2)]).fit(rows)
+    encoded = features().fit(rows)
+    fitted = OneVsRest(classifier=base, parallelism=2).fit(
+        encoded.transform(bounded_rows(rows, most=most))
+    )
+    return PipelineModel(stages=[encoded, fitted])
 
 
 def index_rows(model: PipelineModel) -> DataFrame:
