@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyward.llm import (
     decontaminate,
+    lexical_search,
     line_dedup,
     lm_scoring,
     mixing,
@@ -22,6 +23,8 @@ from tallyward.llm import (
     simhash,
     suffix_dedup,
     toxicity,
+    url_filter,
+    whitening,
 )
 from tallyward.llm.shared import read
 
@@ -133,6 +136,58 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=4)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10
+    )
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages")).select(
+        "page_id", "host", "path", "rule", "verdict", "score"
+    )
+
+
+SEARCH_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, r, len(w) AS n, w FROM (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents)
+  WHERE len(w) > 0
+), items AS (
+  SELECT item_id, term, count(*) AS q FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term
+), size AS (
+  SELECT count(*) AS nn, sum(n)::HUGEINT AS ll FROM docs
+), tfs AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(w) AS term FROM docs)
+  WHERE term IN (SELECT term FROM items) GROUP BY r, doc_id, n, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * nn + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), size
+), gains AS (
+  SELECT r, doc_id, term,
+         w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + ((75 * n::HUGEINT * nn) // ll))::BIGINT)) AS gain
+  FROM tfs JOIN weights USING (term), size
+), scored AS (
+  SELECT item_id, r, doc_id, sum(gain * q)::BIGINT AS score
+  FROM items JOIN gains USING (term) GROUP BY item_id, r, doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score,
+         row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+  FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
+
 QUALITY_SQL = r"""
 WITH split AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
@@ -197,8 +252,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_whitening": op11_whitening,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_url_filter": op13_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality": QUALITY_SQL}
+    return {"op9_quality": QUALITY_SQL, "op12_lexical_search": SEARCH_SQL}
