@@ -283,9 +283,8 @@ def search(
     n_docs, n_terms = vectors.where("n > 0").agg(F.count("n"), F.sum("n")).first()
     out = f"item_id {kinds['item'].simpleString()}, doc_id {kinds['doc'].simpleString()}, score long"
     if not n_docs:
-        return spark.createDataFrame([], out).select(
-            "item_id", F.lit(1).alias("rank"), "doc_id", "score"
-        )
+        none = spark.createDataFrame([], out)
+        return none.select("item_id", F.lit(1).alias("rank"), "doc_id", "score")
     share = (2 * F.lit(float(n_docs)) + 2) / (2 * F.col("df") + 1)
     weighted = asked.join(terms, "term").join(_document_counts(vectors), "number")
     weighted = settled(
@@ -297,10 +296,8 @@ def search(
     if blocks > 1:
         found = settled(found, "classes")
 
-    def scored(own: DataFrame) -> DataFrame:
-        sent = spark.sparkContext.broadcast(
-            Block([tuple(r) for r in own.select("item_id", "number", "q", "w").toLocalIterator()])
-        )
+    def scored(rows: list[tuple]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(Block(rows))
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = best_of(batches, sent.value, k, most_pairs)
@@ -313,11 +310,12 @@ def search(
 
         return found.select("m", "vector", "members").mapInPandas(best, out)
 
-    whole = None
+    whole = spark.createDataFrame([], out)
     for block in range(blocks):
         own = weighted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        part = scored(own)
-        whole = part if whole is None else whole.unionAll(part)
+        rows = [tuple(r) for r in own.select("item_id", "number", "q", "w").toLocalIterator()]
+        if rows:
+            whole = whole.unionAll(scored(rows))
     place = F.row_number().over(
         Window.partitionBy("item_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     )

@@ -72,8 +72,8 @@ def squared_values(diagonal: np.ndarray, upper: np.ndarray) -> np.ndarray:
     top = float(max(np.abs(diagonal).max(initial=0), np.abs(upper).max(initial=0)))
     if top == 0:
         return np.zeros(len(diagonal))
-    # An exact nought would divide; 1e-40 of the largest square is far below rounding.
-    q = np.maximum((diagonal / top) ** 2, 1e-40).tolist()
+    # An exact nought would divide; 1e-200 of the largest square is far below rounding.
+    q = np.maximum((diagonal / top) ** 2, 1e-200).tolist()
     blocks = [(q, ((upper / top) ** 2).tolist(), 0.0)]
     found = []
     while blocks:
@@ -166,9 +166,11 @@ def right_vectors(
 ) -> np.ndarray:
     """Unit right singular vectors of a bidiagonal matrix for the first ``count``
     of its squared singular values, as rows."""
-    top = np.sqrt(squares[0]) if len(squares) and squares[0] > 0 else 1.0
+    if not len(squares) or squares[0] == 0:
+        return np.eye(count, len(diagonal))
+    top = np.sqrt(squares[0])
     a, b = diagonal / top, upper / top
-    a = np.where(np.abs(a) < 1e-20, 1e-20, a)
+    a = np.where(np.abs(a) < 1e-100, 1e-100, a)
     known: list[np.ndarray] = []
     for j in range(count):
         value = float(squares[j] / top**2)
