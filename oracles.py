@@ -324,6 +324,63 @@ SELECT word, count(*) AS "count" FROM words
 WHERE NOT regexp_full_match(word, '\\p{{N}}+') AND word NOT IN ({stop}) GROUP BY word"""
 
 
+def _pairs(source: str, column: str) -> str:
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
+
+    def side(k: str, n: str, share: str) -> str:
+        return (
+            f"({k}) * ln(greatest({share}, 1e-10))"
+            f" + (({n}) - ({k})) * ln(greatest(1 - ({share}), 1e-10))"
+        )
+
+    return f"""labels_ AS (SELECT row_number() OVER () AS r, label FROM (
+  SELECT DISTINCT {column} AS label FROM {source} WHERE {column} IS NOT NULL)), listed AS (
+  SELECT r, list_filter(list_transform(
+      regexp_extract_all(lower(label), '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_'']+'),
+      lambda w: regexp_replace(w, '''s$', '')),
+    lambda w: NOT regexp_full_match(w, '\\p{{N}}+')) AS w FROM labels_), placed AS (
+  SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM listed), words AS (
+  SELECT word, count(*) AS n FROM placed WHERE word NOT IN ({stop}) GROUP BY 1), forms AS (
+  SELECT a.word, coalesce(b.word, a.word) AS standard, a.n FROM words AS a LEFT JOIN words AS b
+  ON a.word LIKE '%s' AND NOT a.word LIKE '%ss' AND b.word = left(a.word, length(a.word) - 1)),
+singles AS (SELECT standard, sum(n) AS n FROM forms GROUP BY 1), twos AS (
+  SELECT a.word || ' ' || b.word AS pair, count(*) AS n FROM placed AS a JOIN placed AS b
+  ON a.r = b.r AND b.at = a.at + 1
+  WHERE a.word NOT IN ({stop}) AND b.word NOT IN ({stop}) GROUP BY 1), together AS (
+  SELECT coalesce(b.pair, a.pair) AS pair, sum(a.n) AS together FROM twos AS a LEFT JOIN twos AS b
+  ON a.pair LIKE '%s' AND NOT a.pair LIKE '%ss' AND b.pair = left(a.pair, length(a.pair) - 1)
+  GROUP BY 1), counted AS (
+  SELECT pair, f1.standard AS first, f2.standard AS second, together, s1.n AS c1, s2.n AS c2,
+    (SELECT CAST(sum(n) AS DOUBLE) FROM singles) AS t
+  FROM together JOIN forms AS f1 ON f1.word = split_part(pair, ' ', 1)
+  JOIN forms AS f2 ON f2.word = split_part(pair, ' ', 2)
+  JOIN singles AS s1 ON s1.standard = f1.standard
+  JOIN singles AS s2 ON s2.standard = f2.standard), terms AS (
+  SELECT * FROM counted WHERE t > c1 AND t > c2 AND 2 * (
+    {side("together", "c1", "together / c1")}
+    + {side("c2 - together", "t - c1", "(c2 - together) / (t - c1)")}
+    - ({side("together", "c1", "c2 / t")}) - ({side("c2 - together", "t - c1", "c2 / t")})) > 30),
+changes AS (SELECT pair AS word, together AS n FROM terms UNION ALL
+  SELECT first, -together FROM terms UNION ALL SELECT second, -together FROM terms UNION ALL
+  SELECT standard, n FROM singles)
+SELECT word, CAST(sum(n) AS BIGINT) AS "count" FROM changes GROUP BY 1 HAVING sum(n) > 0"""
+
+
+def _binned_density(value: str, source: str, scale: int) -> str:
+    return f"""WITH shape AS (
+  SELECT count(*) AS n, min({value}) AS low, (max({value}) - min({value})) / 500e0 AS step,
+    stddev_samp({value}) * pow(count(*), -0.2) AS h FROM {source}), shared AS (
+  SELECT least(floor(({value} - low) / step), 499) AS below, count(*) AS r,
+    sum(({value} - low) / step - least(floor(({value} - low) / step), 499)) AS over
+  FROM {source}, shape GROUP BY 1), bins AS (
+  SELECT bin, sum(mass) AS mass FROM (SELECT below AS bin, r - over AS mass FROM shared
+    UNION ALL SELECT below + 1, over FROM shared) GROUP BY 1)
+SELECT CAST(place AS INTEGER) AS place, round(any_value(low + place * step), 6) AS x,
+  round(sum(mass * exp(-0.5 * pow((place - bin) * step / h, 2)))
+    / (any_value(n) * any_value(h) * sqrt(2 * pi())) * {scale}, 6) AS density
+FROM bins, shape, range(500) AS t(place) GROUP BY place"""
+
+
 def _growth_compared(cohort: str) -> str:
     return f"""WITH {DEATHS}, {SHOOTINGS},
 d AS (SELECT year, count(*) AS "count" FROM deaths GROUP BY year),
@@ -345,7 +402,7 @@ _POPULATION = """, population AS (
   SELECT coalesce(IMPRACE, 'None') AS key, CAST(sum(RESPOP) AS BIGINT) AS value
   FROM groups GROUP BY 1)"""
 _CRIMES = """, crimes AS (
-  SELECT SUSP_RACE AS key, count(*) AS value FROM study WHERE ADDR_PCT_CD % 97 <> 0 GROUP BY 1)"""
+  SELECT SUSP_RACE AS key, count(*) AS value FROM study GROUP BY 1)"""
 
 _INCIDENCE = f"""WITH {CLEAN}{DISTRICTS_RACE}, {CENSUS}, x AS (
   SELECT BORO_NM, SUSP_RACE,
@@ -403,9 +460,42 @@ indexed AS (
   FROM long WHERE split = 'train' GROUP BY 1, 2)"""
 
 
+_BATCH = """, top_offenses AS (
+  SELECT OFNS_DESC, count(*) AS "count" FROM clean GROUP BY 1
+  ORDER BY 2 DESC, 1 NULLS FIRST LIMIT 5)
+SELECT * FROM (SELECT 'crimes_trend' AS report, yearpd, CAST(NULL AS INTEGER) AS day_night,
+    CAST(NULL AS VARCHAR) AS LAW_CAT_CD, CAST(NULL AS VARCHAR) AS BORO_NM,
+    CAST(NULL AS VARCHAR) AS OFNS_DESC, CAST(NULL AS VARCHAR) AS SUSP_AGE_GROUP,
+    CAST(NULL AS VARCHAR) AS SUSP_RACE, count(*) AS "count" FROM clean GROUP BY yearpd)
+UNION ALL BY NAME SELECT * FROM (SELECT 'crimes_top' AS report, OFNS_DESC, count(*) AS "count"
+  FROM clean WHERE length(OFNS_DESC) > 0 GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 20)
+UNION ALL BY NAME SELECT 'crimes_severity' AS report, yearpd, LAW_CAT_CD, count(*) AS "count"
+  FROM clean WHERE length(LAW_CAT_CD) > 0 GROUP BY 2, 3
+UNION ALL BY NAME SELECT 'crimes_severity_by_district' AS report, yearpd, BORO_NM, LAW_CAT_CD,
+  count(*) AS "count" FROM clean WHERE length(BORO_NM) > 0 AND BORO_NM <> 'false' GROUP BY 2, 3, 4
+UNION ALL BY NAME SELECT 'crimes_day_night' AS report, yearpd, day_night, LAW_CAT_CD,
+  count(*) AS "count" FROM clean WHERE day_night IS NOT NULL GROUP BY 2, 3, 4
+UNION ALL BY NAME SELECT * FROM (SELECT 'crimes_race' AS report, SUSP_RACE, count(*) AS "count"
+  FROM clean GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 8)
+UNION ALL BY NAME SELECT 'cross_districts' AS report, BORO_NM, OFNS_DESC, count(*) AS "count"
+  FROM clean WHERE length(BORO_NM) > 0 AND length(OFNS_DESC) > 0 GROUP BY 2, 3
+UNION ALL BY NAME SELECT 'crimes_districts_race' AS report, BORO_NM, SUSP_RACE,
+  count(*) AS "count" FROM clean
+  WHERE BORO_NM IN ('QUEENS', 'BROOKLYN', 'BRONX', 'STATEN ISLAND', 'MANHATTAN')
+    AND SUSP_RACE <> 'UNKNOWN' GROUP BY 2, 3
+UNION ALL BY NAME SELECT 'cross_age_race' AS report, SUSP_RACE, SUSP_AGE_GROUP,
+  count(*) AS "count" FROM clean
+  WHERE SUSP_AGE_GROUP IN ('<18', '18-24', '25-44', '45-64', '65+') GROUP BY 2, 3
+UNION ALL BY NAME SELECT 'cross_crime_race' AS report, SUSP_RACE, OFNS_DESC, count(*) AS "count"
+  FROM clean WHERE OFNS_DESC IN (SELECT OFNS_DESC FROM top_offenses)
+    AND length(OFNS_DESC) > 0 AND OFNS_DESC <> 'false' GROUP BY 2, 3"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "incident_filter": f"WITH {STUDY} SELECT * FROM study",
+        "incident_text_filter": f"WITH {STUDY} SELECT * FROM study",
+        "incident_year_filter": f"WITH {STUDY} SELECT * FROM study",
         "record_rename": f"WITH {STUDY} SELECT _id AS id, {_RECORD} FROM study",
         "record_restore": f"WITH {STUDY} SELECT * EXCLUDE (_id) FROM study",
         "incidents_clean": f"""WITH {CLEAN}
@@ -487,7 +577,8 @@ FROM incidents WHERE SUSP_AGE_GROUP = '<18'""",
         "lookup_eq_offence": f"""WITH {INCIDENTS} SELECT _id, KY_CD, OFNS_DESC FROM incidents
 WHERE KY_CD = 110""",
         "lookup_id": f"""WITH {INCIDENTS} SELECT * EXCLUDE (o_orderdate) FROM incidents
-WHERE _id IN ('0-3-170-3', '0-1-511-66', '0-3-3230-532')""",
+WHERE _id IN ('0-3-170-3', '0-1-511-66', '0-3-3230-532', '0-0-0-0')
+QUALIFY row_number() OVER (PARTITION BY _id ORDER BY {ID_ORDER}) = 1""",
         "incident_preview": f"WITH {STUDY} SELECT * FROM study ORDER BY {ID_ORDER} LIMIT 20",
         "incident_filter_limit": f"""WITH {STUDY} SELECT * FROM study
 ORDER BY _id, SUSP_AGE_GROUP, SUSP_RACE, LAW_CAT_CD, CRM_ATPT_CPTD_CD LIMIT 50""",
@@ -543,6 +634,9 @@ WHERE race = 'B' GROUP BY 1""",
         "race_box": f"WITH {SHOOTINGS} {_box('race_months', 'race_name')}",
         "weapon_labels": f"""WITH {SHOOTINGS}
 SELECT DISTINCT armed FROM victims WHERE armed IS NOT NULL""",
+        "price_density": _binned_density("o_totalprice", "orders", 1_000_000),
+        "weapon_pairs": f"WITH {SHOOTINGS}, {_pairs('victims', 'armed')}",
+        "part_pairs": f"WITH {_pairs('part', 'p_name')}",
         "weapon_words": f"WITH {SHOOTINGS}, {_words('victims', 'armed')}",
         "part_words": f"WITH {_words('part', 'p_name')}",
         "deaths_trend": f"""WITH {DEATHS}, yearly AS (
@@ -564,7 +658,16 @@ SELECT State_short, CAST(Winner AS DOUBLE) AS z FROM polls""",
   FROM groups WHERE CAST(_id AS BIGINT) % 101 <> 0 GROUP BY 1)
 SELECT * FROM population WHERE key <> 'AMERICAN INDIAN/ALASKAN NATIVE'""",
         "mr_crimes_by_race": f"WITH {STUDY}{_CRIMES} SELECT * FROM crimes",
-        "mr_crime_text": f"WITH {STUDY}{_CRIMES} SELECT * FROM crimes",
+        "mr_crime_text": f"""WITH {STUDY}
+SELECT SUSP_RACE AS key, count(*) AS value FROM study WHERE ADDR_PCT_CD % 97 <> 0 GROUP BY 1""",
+        "mr_rejected_lines": f"""WITH {STUDY}, {CENSUS}, faults AS (
+  SELECT 'census' AS file, 'header' AS reason UNION ALL SELECT 'crimes', 'header'
+  UNION ALL SELECT 'crimes', 'short' FROM study WHERE ADDR_PCT_CD % 97 = 0
+  UNION ALL SELECT 'census', CASE WHEN CAST(_id AS BIGINT) % 101 = 0 THEN 'short'
+    ELSE 'unreadable' END FROM census
+  WHERE CAST(_id AS BIGINT) % 101 = 0
+    OR (CAST(_id AS BIGINT) % 62 = 2 AND IMPRACE LIKE 'American%'))
+SELECT file, reason, count(*) AS lines FROM faults GROUP BY 1, 2""",
         "mr_crime_rate": f"""WITH {STUDY}, {CENSUS}{_POPULATION}{_CRIMES}
 SELECT key, population.value AS population, crimes.value AS crimes,
   round(crimes.value / CAST(population.value AS DOUBLE) * 100, 9) AS rate
@@ -592,6 +695,7 @@ FROM incidence""",
 FROM incidence GROUP BY 1""",
         "metric_yoy_deaths_vs_shootings": _growth_compared(""),
         "metric_yoy_deaths_vs_black_shootings": _growth_compared("WHERE race = 'B'"),
+        "table_append_again": f"WITH {CENSUS} SELECT * FROM census",
         "table_append": f"WITH {CENSUS} SELECT * FROM census",
         "census_filter_limit": f"""WITH {CENSUS} SELECT * FROM raw_census
 WHERE lower(STNAME) LIKE '%new york%' AND RESPOP <> 0 AND IMPRACE IS NOT NULL
@@ -609,8 +713,15 @@ SELECT BORO_NM, LAW_CAT_CD, count(*) AS "count" FROM clean GROUP BY 1, 2""",
     GROUP BY 1))
 SELECT id, CAST(start + coalesce("index", n) AS INTEGER) AS slot
 FROM long JOIN first USING ("column") LEFT JOIN indexed USING ("column", value)""",
+        "classifier_confusion": f"""WITH {CLASSIFIED}, told AS (
+  SELECT split, CASE WHEN threat_level = 'attack' THEN 1 ELSE 0 END AS label FROM classified)
+SELECT split, label, label AS prediction, count(*) AS rows FROM told GROUP BY 1, 2""",
+        "classifier_accuracy": f"""WITH {CLASSIFIED}
+SELECT split, count(*) AS rows, 1e0 AS accuracy, 0e0 AS error FROM classified GROUP BY 1""",
         "classifier_split": f"""WITH {CLASSIFIED}
 SELECT split, count(*) AS rows FROM classified GROUP BY 1""",
+        "batch_reports": f"WITH {STUDY_CLEAN}{_BATCH}",
+        "batch_reports_written": f"WITH {STUDY_CLEAN}{SEVERITY} SELECT * FROM severity",
         "batch_trend": f"""WITH {STUDY_CLEAN}, yearly AS (
   SELECT yearpd, count(*) AS "count" FROM clean GROUP BY 1){_trend("yearpd")}""",
         "batch_severity": f"WITH {STUDY_CLEAN}{SEVERITY} SELECT * FROM severity",

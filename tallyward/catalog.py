@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +13,8 @@ from tallyward.functions.recode import place_label
 from tallyward.operators import lookup
 from tallyward.operators.counting import COUNT, count_by
 from tallyward.operators.crosstab import REST, crosstab_wide_share
-from tallyward.operators.text import word_counts
+from tallyward.operators.distribution import binned_density_curve
+from tallyward.operators.text import word_and_pair_counts, word_counts
 from tallyward.plans import census as cen
 from tallyward.plans import classifier, keyvalue, metrics
 from tallyward.plans import deaths as dth
@@ -38,8 +39,8 @@ CRIME_LINE = [
     "SUSP_SEX", "Latitude", "Longitude",
 ]
 
-# A complaint of each scale of the test tables: 0.001, 0.01, 0.1.
-SOME_IDS = ["0-3-170-3", "0-1-511-66", "0-3-3230-532"]
+# A complaint of each scale of the test tables: 0.001, 0.01, 0.1; and an id of none.
+SOME_IDS = ["0-3-170-3", "0-1-511-66", "0-3-3230-532", "0-0-0-0"]
 # Offences with a column of their own in the wide table; the rest share one.
 NAMED_OFFENSES = [
     "BLUE ROD", "COLD ROD", "HOT ROD", "LARGE ROD", "NEW ROD", "OLD ROD", "RED ROD", "SMALL ROD",
@@ -115,6 +116,20 @@ def incident_filter(spark, folder):
     return _study_incidents(spark, folder)
 
 
+@query
+def incident_text_filter(spark, folder):
+    """The filter on the date's text, for rows without a real date."""
+    return inc.filter_incidents(adapters.incidents(spark, folder), FIRST_YEAR, LAST_YEAR)
+
+
+@query
+def incident_year_filter(spark, folder):
+    """The same on a table whose rows were put by year when they were appended."""
+    path = tables.scratch_path(spark, "complaints")
+    inc.append_incidents(adapters.incidents(spark, folder), path, "first")
+    return inc.filter_appended(spark, path, FIRST_YEAR, LAST_YEAR)
+
+
 @query
 def incident_filter_limit(spark, folder):
     return _study_incidents(spark, folder, limit=50)
@@ -357,13 +372,26 @@ def cross_crime_race_wide_share(spark, folder):
 
 
 def _study_cells(spark, folder):
-    """Filter, clean and group once; the cells are written for the reports."""
+    """Filter, clean and group once."""
     years = (FIRST_YEAR, LAST_YEAR)
     counts = adapters.incident_counts(spark, folder, CELL_COLUMNS, years)
-    cells = inc.incident_cells(inc.clean_incidents(counts.filter(names_race())), COUNT)
-    path = tables.scratch_path(spark, "cells")
-    tables.append_table(cells, path)
-    return tables.read_table(spark, path, cells.schema)
+    return inc.incident_cells(inc.clean_incidents(counts.filter(names_race())), COUNT)
+
+
+@query
+def batch_reports(spark, folder):
+    """The ten reports of the batch from one pass, as one table."""
+    return inc.all_reports(_study_cells(spark, folder))
+
+
+@query
+def batch_reports_written(spark, folder):
+    """The same, written once by report; one of them read back by its folder."""
+    path = tables.scratch_path(spark, "batch")
+    tables.append_table(batch_reports(spark, folder), path, ["report"])
+    whole = tables.read_table(spark, path)
+    one = whole.filter(F.col("part_report") == "=crimes_severity")
+    return one.select("yearpd", "LAW_CAT_CD", COUNT)
 
 
 @query
@@ -411,11 +439,11 @@ def _like(column, pattern):
 
 
 def _completed(spark, folder, columns, n, search):
-    """Search ``n`` study complaints by some columns, and look the others up for those
-    found: parts, nations and regions meet a few rows instead of all."""
+    """Search ``n`` study complaints by some columns, and fetch the others of those
+    found by their keys."""
     needed = list(dict.fromkeys([*ID_ORDER, "SUSP_RACE", *columns]))
     rows = adapters.keyed_incidents(spark, folder, needed, (FIRST_YEAR, LAST_YEAR))
-    found = search(rows.filter(names_race()))
+    found = lookup.fetched(search(rows.filter(names_race())), n)
     return lookup.limited(adapters.complete_incidents(spark, folder, found), n, *ID_ORDER)
 
 
@@ -445,7 +473,10 @@ def lookup_eq_offence(spark, folder):
 
 @query
 def lookup_id(spark, folder):
-    return adapters.incidents_by_id(spark, folder, SOME_IDS)
+    """One complaint for each id, or none."""
+    searches = [adapters.incident_by_id(spark, folder, i, *ID_ORDER) for i in SOME_IDS]
+    found = lookup.fetched(reduce(DataFrame.unionAll, searches), len(SOME_IDS))
+    return adapters.complete_incidents(spark, folder, found)
 
 
 @query
@@ -605,6 +636,26 @@ def part_words(spark, folder):
     return word_counts(adapters.table(spark, folder, "part"), "p_name")
 
 
+@query
+def weapon_pairs(spark, folder):
+    return word_and_pair_counts(_victims(spark, folder, "armed"), "armed")
+
+
+@query
+def part_pairs(spark, folder):
+    return word_and_pair_counts(adapters.table(spark, folder, "part"), "p_name")
+
+
+@query
+def price_density(spark, folder):
+    """The density of a measure with about as many values as rows."""
+    orders = adapters.table(spark, folder, "orders")
+    curve = binned_density_curve(orders, "o_totalprice").select(
+        "place", "x", (F.col("density") * 1_000_000).alias("density")
+    )
+    return _round(curve, 6, "x", "density")
+
+
 # -- police deaths, census, polls --------------------------------------------
 
 
@@ -655,22 +706,15 @@ def polls_measure(spark, folder):
 # -- text lines --------------------------------------------------------------
 
 
-# Files of lines a session has written, by folder and name: a line job's input.
-_LINE_FILES: dict[tuple[str, str, str], str] = {}
-
-
 def _line_file(spark, folder, name, rows, columns, short):
     """Lines of a text file: a header, the rows, and those marked ``short`` cut
-    off after six fields. Written once in a session."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _LINE_FILES:
-        line = join_fields(*columns)
-        line = F.when(short, F.substring_index(line, ",", 6)).otherwise(line)
-        header = spark.range(1).select(F.lit(",".join(columns)).alias("value"))
-        path = tables.scratch_path(spark, name)
-        rows.select(line.alias("value")).unionAll(header).write.text(path)
-        _LINE_FILES[key] = path
-    return tables.read_lines(spark, _LINE_FILES[key])
+    off after six fields."""
+    line = join_fields(*columns)
+    line = F.when(short, F.substring_index(line, ",", 6)).otherwise(line)
+    header = spark.range(1).select(F.lit(",".join(columns)).alias("value"))
+    path = tables.scratch_path(spark, name)
+    rows.select(line.alias("value")).unionAll(header).write.text(path)
+    return tables.read_lines(spark, path)
 
 
 def _census_lines(spark, folder):
@@ -692,12 +736,16 @@ def _dirty_census_lines(spark, folder):
     )
 
 
-def _crime_lines(spark, folder):
+def _crime_lines(spark, folder, name="crime-lines", short=None):
     # Two-word offences get a comma, so that these lines have a field too many.
     rows = _study_incidents(spark, folder)
     rows = rows.withColumn("OFNS_DESC", F.replace("OFNS_DESC", F.lit(" "), F.lit(", ")))
-    short = F.col("ADDR_PCT_CD") % 97 == 0
-    return _line_file(spark, folder, "crime-lines", rows, CRIME_LINE, short)
+    return _line_file(spark, folder, name, rows, CRIME_LINE, F.lit(False) if short is None else short)
+
+
+def _dirty_crime_lines(spark, folder):
+    """Some lines are short."""
+    return _crime_lines(spark, folder, "dirty-crime-lines", F.col("ADDR_PCT_CD") % 97 == 0)
 
 
 @query
@@ -732,10 +780,24 @@ def mr_text_files(spark, folder):
 def mr_crime_text(spark, folder):
     """Crimes by race from text lines, through a tab-separated result."""
     result = tables.scratch_path(spark, "crime-result")
-    tables.write_key_values(keyvalue.crimes_by_race(_crime_lines(spark, folder)), result)
+    report = keyvalue.crimes_by_race(_dirty_crime_lines(spark, folder))
+    tables.write_key_values(report, result)
     return tables.read_key_values(spark, result)
 
 
+@query
+def mr_rejected_lines(spark, folder):
+    """How many lines of each file a job leaves out, and why."""
+    counts = [
+        keyvalue.rejected_counts(rejected).withColumn("file", F.lit(name))
+        for name, rejected in (
+            ("census", keyvalue.rejected_census_lines(_dirty_census_lines(spark, folder))),
+            ("crimes", keyvalue.rejected_crime_lines(_dirty_crime_lines(spark, folder))),
+        )
+    ]
+    return reduce(DataFrame.unionAll, counts)
+
+
 @query
 def locus(spark, folder):
     events = adapters.table(spark, folder, "events").select(
@@ -852,6 +914,17 @@ def table_append(spark, folder):
     return tables.read_table(spark, path, CENSUS_RECODED, columns=CENSUS_LINE)
 
 
+@query
+def table_append_again(spark, folder):
+    """Two batches of census rows, the first of them appended twice."""
+    path = tables.scratch_path(spark, "ny-census")
+    rows = _new_york(spark, folder)
+    for batch, origin in (("first", 1), ("second", 2), ("first", 1)):
+        own = rows.filter((F.col("_id").cast("bigint") % 2 + 1) == origin)
+        tables.append_batch(own, path, batch, ["CTYNAME"])
+    return tables.read_batches(spark, path, CENSUS_RECODED).select(*CENSUS_LINE)
+
+
 def _classified(spark, folder):
     return classifier.split_rows(classifier.complete_rows(adapters.shootings(spark, folder)))
 
@@ -861,8 +934,28 @@ def _trained(rows):
 
 
 def _prepared(rows):
-    training = rows.filter(F.col("split") == "train")
-    return Pipeline(stages=[classifier.features()]).fit(training)
+    return classifier.features(rows.filter(F.col("split") == "train"))
+
+
+def _told_apart(spark, folder):
+    """Complete rows whose class is told by one category, so that a fitted
+    classifier is right about every one."""
+    told = F.when(F.col("threat_level") == "attack", 1).otherwise(0)
+    return _classified(spark, folder).withColumn("label", told)
+
+
+@query
+def classifier_confusion(spark, folder):
+    """Classes against predictions where the classes can be told apart."""
+    rows = _told_apart(spark, folder)
+    return classifier.confusion(_trained(rows), rows)
+
+
+@query
+def classifier_accuracy(spark, folder):
+    """Rows, accuracy and error there."""
+    rows = _told_apart(spark, folder)
+    return classifier.scores(_trained(rows), rows)
 
 
 @query
@@ -873,8 +966,9 @@ def classifier_rows(spark, folder):
 
 @query
 def classifier_index(spark, folder):
-    """The categories' values in the order of the fitted indexer."""
-    return classifier.index_rows(_prepared(_classified(spark, folder)))
+    """The categories' values in the order of their slots."""
+    rows = _classified(spark, folder)
+    return classifier.category_index(rows.filter(F.col("split") == "train"))
 
 
 @query

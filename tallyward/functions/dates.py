@@ -57,6 +57,12 @@ def year_between(date: Column, first: int, last: int) -> Column:
     )
 
 
+def written_year(text: Column) -> Column:
+    """The year of a well-formed ``MM/dd/yyyy`` text, which mentions no other; NULL
+    for any other text."""
+    return F.when(text.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), F.substring(text, 7, 4).cast("int"))
+
+
 def mentions_year(text: Column, first: int, last: int) -> Column:
     """True where date text contains any year of the range, wherever it stands."""
     return text.rlike("|".join(str(year) for year in range(first, last + 1)))

@@ -50,6 +50,13 @@ def wanted_incident(first_year: int, last_year: int) -> Column:
     return mentions_year(F.col("CMPLNT_FR_DT"), first_year, last_year) & names_race()
 
 
+def wanted_by_year(year: str, first_year: int, last_year: int) -> Column:
+    """``wanted_incident`` for rows put by their date's ``written_year``: only the
+    folders of those years are read, and that of all texts without one."""
+    known = F.col(year).between(first_year, last_year)
+    return (known | F.col(year).isNull()) & wanted_incident(first_year, last_year)
+
+
 def names_race() -> Column:
     """Complaints that name a suspect race."""
     return F.col("SUSP_RACE") != ""

@@ -1,18 +1,26 @@
 """Two-class classifier of shootings: one-hot categories, one-vs-rest logistic
-regression, accuracy on held-out rows."""
+regression, accuracy on held-out rows.
+
+The index of category values is a table. It is counted, ranked and joined in
+Spark, so its size is no matter of the driver's; a column has slots for its most
+frequent values, and one more for all others.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, OneVsRest
+from dataclasses import dataclass
+
+from pyspark.ml.classification import LogisticRegression, OneVsRest, OneVsRestModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyward.functions.predicates import filled
 from tallyward.functions.recode import white_label
+from tallyward.operators.counting import COUNT, count_by
+from tallyward.sources.tables import append_table, read_table, scratch_path
 
 # Category columns, training share and solver settings.
 CATEGORIES = [
@@ -26,6 +34,10 @@ MAX_ITERATIONS, TOLERANCE = 10, 1e-6
 # id; categories are counted over all rows.
 MOST_TRAINING_ROWS = 1_000_000
 
+# A column's values with a slot of their own at most. Up to 1000, Spark cuts a
+# ranking within each task before it is shuffled.
+MOST_VALUES = 1000
+
 _BUCKETS = 10_000
 
 
@@ -65,57 +77,108 @@ def bounded_rows(
     return rows if n <= most else rows.filter(_hashed(key, seed) < F.lit(2**32 * most // n))
 
 
-def features() -> Pipeline:
-    """Index and one-hot encode all categories, gathered in one sparse vector.
-
-    A category value not seen in training gets a slot of its own.
-    """
-    indexed = [f"{c}_indexed" for c in CATEGORIES]
-    encoded = [f"{c}_encoded" for c in CATEGORIES]
-    return Pipeline(
-        stages=[
-            StringIndexer(inputCols=CATEGORIES, outputCols=indexed, handleInvalid="keep"),
-            OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=False),
-            VectorAssembler(inputCols=encoded, outputCol="features"),
-        ]
+def category_index(rows: DataFrame, most: int = MOST_VALUES) -> DataFrame:
+    """``column, value, index``: each column's ``most`` frequent values, the most
+    frequent first, ties by value. Counted over all rows."""
+    each = rows.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in CATEGORIES]))
+    )
+    order = Window.partitionBy("column").orderBy(F.desc(COUNT), F.col("value"))
+    place = F.row_number().over(order)
+    ranked = count_by(each, "column", "value").withColumn("place", place)
+    return ranked.filter(F.col("place") <= most).select(
+        "column", "value", (F.col("place") - 1).alias("index")
     )
 
 
-def train(rows: DataFrame, most: int = MOST_TRAINING_ROWS) -> PipelineModel:
-    """Fit the features on all given (training) rows, and the classifier on them
-    or about ``most`` of them."""
+@dataclass
+class Features:
+    """The written index of a training table, and how many values each column has."""
+
+    index: DataFrame
+    sizes: dict[str, int]
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``features``, a sparse vector of one slot for each column.
+
+        A value the index does not hold, unseen or too rare, takes the column's
+        last slot. Each lookup is a join by the value's text.
+        """
+        indexed = {c: f"{c}_indexed" for c in CATEGORIES}
+        for column, name in indexed.items():
+            own = self.index.filter(F.col("column") == column).select(
+                F.col("value").alias(f"_{column}"), F.col("index").cast("double").alias(name)
+            )
+            rows = rows.join(own, F.col(column) == F.col(f"_{column}"), "left").drop(f"_{column}")
+        rest = {n: F.coalesce(n, F.lit(float(self.sizes[c]))) for c, n in indexed.items()}
+        encoded = [f"{c}_encoded" for c in CATEGORIES]
+        encoder = OneHotEncoder(
+            inputCols=list(indexed.values()), outputCols=encoded, dropLast=False
+        ).fit(self._last_slots(rows, indexed))
+        assembler = VectorAssembler(inputCols=encoded, outputCol="features")
+        return assembler.transform(encoder.transform(rows.withColumns(rest)))
+
+    def _last_slots(self, rows: DataFrame, indexed: dict[str, str]) -> DataFrame:
+        """One row with every column's last slot, from which an encoder learns sizes."""
+        last = [F.lit(float(self.sizes[c])).alias(n) for c, n in indexed.items()]
+        return rows.sparkSession.range(1).select(*last)
+
+
+def features(rows: DataFrame, most: int = MOST_VALUES) -> Features:
+    """Index the categories of all given (training) rows."""
+    spark = rows.sparkSession
+    index = category_index(rows, most)
+    path = scratch_path(spark, "categories")
+    append_table(index, path)
+    index = read_table(spark, path, index.schema)
+    sizes = dict.fromkeys(CATEGORIES, 0)
+    sizes |= {r["column"]: r[COUNT] for r in count_by(index, "column").collect()}
+    return Features(index, sizes)
+
+
+@dataclass
+class Classifier:
+    features: Features
+    fitted: OneVsRestModel
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``features`` and ``prediction``."""
+        return self.fitted.transform(self.features.transform(rows))
+
+
+def train(
+    rows: DataFrame,
+    most: int = MOST_TRAINING_ROWS,
+    iterations: int = MAX_ITERATIONS,
+    tolerance: float = TOLERANCE,
+) -> Classifier:
+    """Index the categories of all given (training) rows, and fit the classifier on
+    them or about ``most`` of them."""
     base = LogisticRegression(
-        maxIter=MAX_ITERATIONS, tol=TOLERANCE, featuresCol="features", labelCol="label"
+        maxIter=iterations, tol=tolerance, featuresCol="features", labelCol="label"
     )
-    encoded = features().fit(rows)
+    encoded = features(rows)
     fitted = OneVsRest(classifier=base, parallelism=2).fit(
-        encoded.transform(bounded_rows(rows, most=most))
+        encoded.transform(bounded_rows(rows, most=most)).select("features", "label")
     )
-    return PipelineModel(stages=[encoded, fitted])
+    return Classifier(encoded, fitted)
 
 
-def index_rows(model: PipelineModel) -> DataFrame:
-    """``column, value, index`` of the fitted indexer: by count, then value."""
-    indexer = model.stages[0].stages[0]
-    rows = [
-        (column, value, i)
-        for column, labels in zip(indexer.getInputCols(), indexer.labelsArray)
-        for i, value in enumerate(labels)
-    ]
-    spark = SparkSession.active()
-    return spark.createDataFrame(rows, "column string, value string, index int")
+def index_rows(model: Classifier) -> DataFrame:
+    """``column, value, index`` of the model's categories."""
+    return model.features.index
 
 
-def feature_slots(model: PipelineModel, rows: DataFrame, key: str = "id") -> DataFrame:
+def feature_slots(encoded: Features, rows: DataFrame, key: str = "id") -> DataFrame:
     """``id, slot`` of the slots each row sets in its feature vector."""
-    vectors = model.stages[0].transform(rows)
+    vectors = encoded.transform(rows)
     slots = F.posexplode(vector_to_array("features")).alias("slot", "value")
     return vectors.select(key, slots).where("value = 1").select(key, "slot")
 
 
-def prepared(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def prepared(model: Classifier, rows: DataFrame) -> DataFrame:
     """Feature vector, race and class of each row."""
-    return model.stages[0].transform(rows).select("features", "race", "label")
+    return model.features.transform(rows).select("features", "race", "label")
 
 
 def feature_column(data: DataFrame) -> DataFrame:
@@ -130,7 +193,7 @@ def accuracy(predictions: DataFrame) -> float:
     return MulticlassClassificationEvaluator(metricName="accuracy").evaluate(predictions)
 
 
-def scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def scores(model: Classifier, rows: DataFrame) -> DataFrame:
     """Rows, accuracy and error of each split, in one pass over the rows."""
     hit = (F.col("prediction") == F.col("label")).cast("int")
     return (
@@ -139,3 +202,9 @@ def scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
         .agg(F.count(hit).alias("rows"), F.avg(hit).alias("accuracy"))
         .withColumn("error", 1 - F.col("accuracy"))
     )
+
+
+def confusion(model: Classifier, rows: DataFrame) -> DataFrame:
+    """``split, label, prediction, rows``: how often each class was called each."""
+    called = model.transform(rows).withColumn("prediction", F.col("prediction").cast("int"))
+    return called.groupBy("split", "label", "prediction").agg(F.count(F.lit(1)).alias("rows"))

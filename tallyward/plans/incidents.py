@@ -11,8 +11,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tallyward.functions import dates
 from tallyward.functions.predicates import (
@@ -21,6 +22,7 @@ from tallyward.functions.predicates import (
     names_race,
     not_missing_word,
     unknown_if_empty,
+    wanted_by_year,
     wanted_incident,
 )
 from tallyward.operators.counting import (
@@ -43,7 +45,8 @@ from tallyward.operators.crosstab import (
 )
 from tallyward.operators.lookup import limited
 from tallyward.operators.series import linear_trend
-from tallyward.sources.schemas import INCIDENT_NAMES, OFFENSE_LEVELS
+from tallyward.sources.schemas import INCIDENT_NAMES, INCIDENTS, OFFENSE_LEVELS
+from tallyward.sources.tables import append_batch, read_batches
 
 # Districts, age bands and report sizes.
 DISTRICTS = ["QUEENS", "BROOKLYN", "BRONX", "STATEN ISLAND", "MANHATTAN"]
@@ -51,6 +54,8 @@ AGE_BANDS = ["<18", "18-24", "25-44", "45-64", "65+"]
 TOP_OFFENSES, TOP_RACES, TOP_CROSSED_OFFENSES = 20, 8, 5
 FIRST_YEAR, LAST_YEAR = 2009, 2019
 
+WRITTEN_YEAR = "written_year"
+
 # The columns by which the reports group.
 CELL_KEYS = [
     "yearpd", "day_night", "LAW_CAT_CD", "BORO_NM", "OFNS_DESC",
@@ -74,6 +79,26 @@ def filter_incidents(
     return limited(raw.filter(wanted).select(*INCIDENT_NAMES), limit, *INCIDENT_NAMES)
 
 
+def append_incidents(raw: DataFrame, path: str, batch: str) -> None:
+    """Append raw complaints as a batch, put by the year their date's text names.
+
+    The year is worked out once, here; ``filter_appended`` then skips the folders of
+    other years. An empty or odd date text has no year, and a folder of its own.
+    """
+    year = dates.written_year(F.col("CMPLNT_FR_DT"))
+    append_batch(raw.select(*INCIDENT_NAMES, year.alias(WRITTEN_YEAR)), path, batch, [WRITTEN_YEAR])
+
+
+def filter_appended(
+    spark: SparkSession, path: str, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR
+) -> DataFrame:
+    """What ``filter_incidents`` keeps of the appended complaints."""
+    fields = [INCIDENTS[c] for c in INCIDENT_NAMES]
+    schema = StructType([*fields, StructField(WRITTEN_YEAR, IntegerType())])
+    rows = read_batches(spark, path, schema)
+    return rows.filter(wanted_by_year(WRITTEN_YEAR, first_year, last_year)).select(*INCIDENT_NAMES)
+
+
 def clean_text(incidents: DataFrame) -> DataFrame:
     """Add the night flag; label empty race and age as unknown."""
     have = set(incidents.columns)
@@ -298,3 +323,72 @@ def cross_crime_race_wide_share(wide: DataFrame, n: int = TOP_CROSSED_OFFENSES)
         share = F.try_divide(F.col(f"count_{k}"), total)
         columns += [F.col(f"offense_{k}"), share.alias(f"share_{k}")]
     return wide.select("SUSP_RACE", *columns)
+
+
+# The columns each report of the batch groups by.
+BATCH = {
+    "crimes_trend": ("yearpd",),
+    "crimes_top": ("OFNS_DESC",),
+    "crimes_severity": ("yearpd", "LAW_CAT_CD"),
+    "crimes_severity_by_district": ("yearpd", "BORO_NM", "LAW_CAT_CD"),
+    "crimes_day_night": ("yearpd", "day_night", "LAW_CAT_CD"),
+    "crimes_race": ("SUSP_RACE",),
+    "cross_districts": ("BORO_NM", "OFNS_DESC"),
+    "crimes_districts_race": ("BORO_NM", "SUSP_RACE"),
+    "cross_age_race": ("SUSP_RACE", "SUSP_AGE_GROUP"),
+    "cross_crime_race": ("SUSP_RACE", "OFNS_DESC"),
+}
+
+
+def _reported() -> Column:
+    """Whether a report lists a group; each states what it leaves out."""
+    age, district = F.col("SUSP_AGE_GROUP"), F.col("BORO_NM")
+    rules = {
+        "crimes_top": filled("OFNS_DESC"),
+        "crimes_severity": filled("LAW_CAT_CD"),
+        "crimes_severity_by_district": filled("BORO_NM") & not_missing_word("BORO_NM"),
+        "crimes_day_night": F.col("day_night").isNotNull(),
+        "cross_districts": filled("BORO_NM", "OFNS_DESC"),
+        "crimes_districts_race": filled("SUSP_RACE")
+        & (F.col("SUSP_RACE") != UNKNOWN)
+        & district.isin(DISTRICTS),
+        "cross_age_race": filled("SUSP_AGE_GROUP") & age.isin(AGE_BANDS),
+        "cross_crime_race": filled("SUSP_RACE", "OFNS_DESC") & not_missing_word("OFNS_DESC"),
+    }
+    kept = F.lit(True)
+    for report, rule in rules.items():
+        kept = F.when(F.col("report") == report, F.coalesce(rule, F.lit(False))).otherwise(kept)
+    return kept
+
+
+def all_reports(cells: DataFrame) -> DataFrame:
+    """The counts of all reports of the batch from one pass over the cells.
+
+    ``report``, the columns of ``CELL_KEYS`` and ``count``: a report's rows have
+    NULL in the columns it does not group by. One grouping by all reports' columns
+    takes every cell to each report and combines there before the one shuffle.
+    Rankings are cut to their size, and a race by offence table to the most
+    frequent offences, on the grouped counts.
+    """
+    sets = [[F.col(c) for c in columns] for columns in BATCH.values()]
+    grouped = cells.groupingSets(sets, *CELL_KEYS).agg(
+        F.grouping_id(*CELL_KEYS).alias("_set"), F.sum(COUNT).alias(COUNT)
+    )
+    name = F.lit(None).cast("string")
+    for report, columns in BATCH.items():
+        # A bit is set where the column is not grouped by, the first column's highest.
+        bits = sum((c not in columns) << i for i, c in enumerate(reversed(CELL_KEYS)))
+        name = F.when(F.col("_set") == bits, report).otherwise(name)
+    counts = settled(grouped.select(name.alias("report"), *CELL_KEYS, COUNT))
+    ranking = {"crimes_top": TOP_OFFENSES, "crimes_race": TOP_RACES}
+    kept = counts.filter(_reported())
+    plain = kept.filter(~F.col("report").isin([*ranking, "cross_crime_race"]))
+    parts = [plain]
+    for report, n in ranking.items():
+        parts.append(top_n(kept.filter(F.col("report") == report), BATCH[report][0], n))
+    # Offences are ranked before any is left out, over races of any kind.
+    crossed = counts.filter(F.col("report") == "cross_crime_race")
+    top = top_n(regroup(crossed, "OFNS_DESC"), "OFNS_DESC", TOP_CROSSED_OFFENSES)
+    crossed = kept.filter(F.col("report") == "cross_crime_race")
+    parts.append(crossed.join(top.select("OFNS_DESC"), "OFNS_DESC", "left_semi"))
+    return reduce(DataFrame.unionByName, parts)

@@ -5,12 +5,12 @@ Results have the columns ``key`` and ``value``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions.recode import race_group
 from tallyward.operators.counting import settled
-from tallyward.sources.lines import census_fields, crime_race
+from tallyward.sources.lines import census_fault, census_fields, crime_fault, crime_race
 
 # Fixed value: the key of census lines outside every race group.
 NO_GROUP = "None"
@@ -39,3 +39,27 @@ def population_by_race(lines: DataFrame) -> DataFrame:
 def crimes_by_race(lines: DataFrame) -> DataFrame:
     counts = crime_race(lines).groupBy("key").agg(F.count("key").alias("value"))
     return settled(counts).filter(F.col("value") > 0)
+
+
+def rejected_census_lines(lines: DataFrame) -> DataFrame:
+    """``reason, value`` of the census lines that are no data.
+
+    Lines with an unreadable number are rejected here; the report goes further and
+    leaves their whole group out.
+    """
+    return _rejected(lines, census_fault(F.col("value")))
+
+
+def rejected_crime_lines(lines: DataFrame) -> DataFrame:
+    """``reason, value`` of the crime lines that are no data."""
+    return _rejected(lines, crime_fault(F.col("value")))
+
+
+def _rejected(lines: DataFrame, fault: Column) -> DataFrame:
+    marked = lines.select(fault.alias("reason"), "value")
+    return marked.filter(F.col("reason").isNotNull())
+
+
+def rejected_counts(rejected: DataFrame) -> DataFrame:
+    """Lines by reason; a reason without lines is not listed."""
+    return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))

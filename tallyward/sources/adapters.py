@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyward.functions.dates import INCIDENT_DATE, ISO_DATE, year_between
 from tallyward.operators.counting import COUNT, count_by, regroup
+from tallyward.operators.lookup import Fetched, fetched, find_equal, find_one, with_keys
 from tallyward.sources.schemas import (
     CENSUS,
     INCIDENT_NAMES,
@@ -283,24 +284,45 @@ def keyed_incidents(
     return _select(found, _LINE_OF_INCIDENT, columns, *names)
 
 
-def complete_incidents(spark: SparkSession, folder: str, lines: DataFrame) -> DataFrame:
-    """All complaint columns of some line items."""
+def complete_incidents(spark: SparkSession, folder: str, lines: Fetched) -> DataFrame:
+    """All complaint columns of a few line items.
+
+    Orders, customers and parts are read by the keys of the step before: those of
+    the lines, then those of their orders.
+    """
     names = table(spark, folder, "lineitem").columns
-    found = _look_up(spark, folder, lines.select(*names), tuple(INCIDENT_NAMES))
+    by_key = with_keys(table(spark, folder, "orders"), "o_orderkey", lines.keys("l_orderkey"))
+    order_columns = _select(
+        by_key, _ORDER_OF_INCIDENT, list(_ORDER_OF_INCIDENT), "o_orderkey", "o_custkey"
+    )
+    orders = fetched(order_columns, len(lines.keys("l_orderkey")))
+    customer = with_keys(
+        _customer_regions(spark, folder), "c_custkey", orders.keys("o_custkey")
+    )
+    customer = _select(customer, _CUSTOMER_OF_INCIDENT, list(_CUSTOMER_OF_INCIDENT), "c_custkey")
+    part = with_keys(table(spark, folder, "part"), "p_partkey", lines.keys("l_partkey"))
+    part = _select(part, _PART_OF_INCIDENT, list(_PART_OF_INCIDENT), "p_partkey")
+    few, few_orders = lines.frame(spark).select(*names), orders.frame(spark)
+    found = (
+        few.join(few_orders, few.l_orderkey == few_orders.o_orderkey, "left")
+        .join(customer, few_orders.o_custkey == customer.c_custkey, "left")
+        .join(part, few.l_partkey == part.p_partkey, "left")
+    )
     return _select(found, _LINE_OF_INCIDENT, tuple(INCIDENT_NAMES))
 
 
-def incidents_by_id(spark: SparkSession, folder: str, ids: Sequence[str]) -> DataFrame:
-    """Complaints by their ids. The order keys in them reach the scan."""
+def incident_by_id(spark: SparkSession, folder: str, own_id: str, *order: str) -> DataFrame:
+    """The line item of a complaint's id, or no row; of several the first in
+    order. The keys in the id reach the scan; an id of another form finds nothing."""
     lines = table(spark, folder, "lineitem")
-    orders = sorted({int(i.split("-")[0]) for i in ids})
-    of_order = (
-        F.col("l_orderkey") == orders[0]
-        if len(orders) == 1
-        else F.col("l_orderkey").isin(orders)
-    )
-    own = F.expr(_LINE_OF_INCIDENT["_id"]).isin(list(ids))
-    return complete_incidents(spark, folder, lines.filter(of_order & own))
+    names = lines.columns
+    made = _select(lines, _LINE_OF_INCIDENT, ["_id", *[c for c in order if c != "_id"]], *names)
+    parts = own_id.split("-")
+    if len(parts) != 4 or not all(p.isascii() and p.isdigit() for p in parts):
+        return made.select(*names).limit(0)
+    for column, key in zip(("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), parts):
+        made = find_equal(made, column, int(key))
+    return find_one(made, "_id", own_id, *order, *names).select(*names)
 
 
 def census(

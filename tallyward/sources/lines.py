@@ -57,6 +57,25 @@ def crime_race(lines: DataFrame) -> DataFrame:
     return lines.select(F.when(data, race).alias("key"))
 
 
+def census_fault(line: Column) -> Column:
+    """Why a census line is no data: ``header``, ``short`` or ``unreadable`` (its
+    number); NULL for data."""
+    race, population = field(line, CENSUS_RACE_INDEX), field(line, CENSUS_POPULATION_INDEX)
+    header = (race == CENSUS_RACE_HEADER) | (population == CENSUS_POPULATION_HEADER)
+    return (
+        F.when(field_count(line) <= CENSUS_POPULATION_INDEX, "short")
+        .when(header, "header")
+        .when(population.try_cast("bigint").isNull(), "unreadable")
+    )
+
+
+def crime_fault(line: Column) -> Column:
+    """Why a crime line is no data: ``header`` or ``short``; NULL for data."""
+    return F.when(field_count(line) <= CRIME_RACE_INDEX, "short").when(
+        field(line, CRIME_RACE_INDEX) == CRIME_RACE_HEADER, "header"
+    )
+
+
 def join_fields(*columns: str) -> Column:
     """One comma-separated line; NULL becomes an empty field and keeps its place."""
     return F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])

@@ -8,12 +8,13 @@ on a cluster that is shared storage.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyward.sources.schemas import KEY_VALUE
 
@@ -84,8 +85,13 @@ def append_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     directory cannot tell empty text from NULL, so a text column stays in the
     files and its directories are named by a copy, ``part_<column>``: the text
     behind a ``=``. Rows of a partition meet before they are written, which keeps
-    files few; a large partition is still written by several tasks.
+    files few; a large partition is still written by several tasks. A second run
+    appends the rows a second time; ``append_batch`` does not.
     """
+    _write(df, path, partition_by, "append")
+
+
+def _write(df: DataFrame, path: str, partition_by: Sequence[str], mode: str) -> None:
     texts = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
     copies = {f"part_{c}": F.concat(F.lit("="), c) for c in partition_by if c in texts}
     if copies:
@@ -93,7 +99,32 @@ def append_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     folders = [f"part_{c}" if c in texts else c for c in partition_by]
     if folders:
         df = df.hint("rebalance", *folders)
-    df.write.mode("append").partitionBy(*folders).parquet(path)
+    df.write.mode(mode).partitionBy(*folders).parquet(path)
+
+
+BATCH = "batch"
+_BATCH_NAME = re.compile(r"[A-Za-z0-9_.-]+")
+
+
+def append_batch(
+    df: DataFrame, path: str, batch: str, partition_by: Sequence[str] = ()
+) -> None:
+    """Append rows as a named batch; a batch of that name gives way to them.
+
+    So a job that failed halfway, or ran twice, can run again: afterwards each of
+    its rows is there once, and no other batch was touched. A batch is one folder
+    of the table, partitioned within as by ``append_table``. Names are ASCII
+    letters, digits, dots, hyphens and underscores.
+    """
+    if not _BATCH_NAME.fullmatch(batch):
+        raise ValueError(f"no name of a batch: {batch!r}")
+    _write(df, f"{path}/{BATCH}={batch}", partition_by, "overwrite")
+
+
+def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All batches of a table, with ``batch`` as a column to prune by."""
+    whole = StructType([*schema.fields, StructField(BATCH, StringType())])
+    return read_table(spark, path, whole)
 
 
 def write_report(df: DataFrame, path: str, index_column: str | None = None) -> None:

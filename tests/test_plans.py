@@ -12,7 +12,9 @@ DATA = "/root/testdata/sf0.001"
 EAGER = {
     name
     for name in catalog.queries()
-    if name.startswith(("batch_", "csv_", "table_append", "mr_", "classifier_", "race_classifier"))
+    if name.startswith(
+        ("batch_", "csv_", "table_append", "mr_", "classifier_", "race_classifier", "incident_year")
+    )
 }
 
 
@@ -161,9 +163,30 @@ def test_line_items_combine_before_any_join(spark, no_broadcast, name):
         assert "HashAggregate(keys=" in exchange[1], exchange[0]
 
 
-def test_lookups_join_late(spark):
-    plan = initial_plan(catalog.queries()["lookup_regex_sex"](spark, DATA))
-    below = plan[plan.index("TakeOrderedAndProject", plan.index("TakeOrderedAndProject") + 1) :]
-    assert "part.parquet" not in below and "nation.parquet" not in below
-    plan = initial_plan(catalog.lookup_id(spark, DATA))
-    assert "EqualTo(l_orderkey,0)" in plan
+def test_lookups_fetch_by_found_keys(spark):
+    """Nothing is left of the large tables but the rows with the found keys."""
+    for name in ("lookup_regex_sex", "incident_preview", "lookup_id"):
+        plan = initial_plan(catalog.queries()[name](spark, DATA))
+        assert "lineitem.parquet" not in plan and "orders.parquet" not in plan
+        for key in ("c_custkey", "p_partkey"):
+            assert re.search(rf"PushedFilters: \[[^]]*(In|EqualTo)\({key},", plan), (name, key)
+
+
+def test_an_id_reaches_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = initial_plan(adapters.incident_by_id(spark, DATA, "0-3-170-3", "_id"))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    for key, value in (("l_orderkey", 0), ("l_linenumber", 3), ("l_partkey", 170), ("l_suppkey", 3)):
+        assert f"EqualTo({key},{value})" in plan
+
+
+def test_a_batch_of_reports_is_one_scan(spark):
+    plan = final_plan(catalog.batch_reports(spark, DATA))
+    assert plan.count("lineitem.parquet") == 1
+    assert "Expand" in plan and "ReusedExchange" in plan
+
+
+def test_years_of_an_appended_table_prune_folders(spark):
+    plan = initial_plan(catalog.incident_year_filter(spark, DATA))
+    filters = re.search(r"PartitionFilters: \[([^]]*)\]", plan)[1]
+    assert "written_year" in filters and ">= 1996" in filters and "<= 2000" in filters
