@@ -162,8 +162,9 @@ def edit_distance(a, b) -> int:
     return row[-1]
 
 
-def line_dedup(docs, radius: int = 3, similarity: float = 0.8) -> list[tuple]:
-    """Texts without repeated lines; rows with one id and text are one document."""
+def line_dedup(docs, similarity: float = 0.8) -> list[tuple]:
+    """Texts without repeated and similar lines, by all pairs of lines; rows with one
+    id and text are one document."""
     word, nodes, places = re.compile(r"[^\x00-/:-`{-\x7F]+"), {}, []
     distinct = sorted({(LAST if d is None else d, t or "") for d, t in docs})
     for doc, text in distinct:
@@ -171,13 +172,18 @@ def line_dedup(docs, radius: int = 3, similarity: float = 0.8) -> list[tuple]:
             words = tuple(word.findall(line.lower()))
             if words:
                 places.append((doc, text, at, nodes.setdefault(words, len(nodes))))
-    lines = list(nodes)
-    prints = [majority([xxhash.xxh64_intdigest(w.encode(), 42) for w in set(x)]) for x in lines]
-    links = []
-    for i, j in close_pairs(prints, radius):
-        a, b = lines[i], lines[j]
-        if edit_distance(a, b) <= int(max(len(a), len(b)) * (1 - similarity) + 1e-9):
-            links.append((i, j))
+    lines, links = list(nodes), []
+    bags = [collections.Counter(x) for x in lines]
+    order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
+    for at, i in enumerate(order):
+        a, most = lines[i], int(len(lines[i]) * (1 - similarity) + 1e-9)
+        for j in reversed(order[:at]):
+            b = lines[j]
+            if len(a) - len(b) > most:
+                break
+            # Fewer words in common than that, and no edits are enough.
+            if (bags[i] & bags[j]).total() >= len(a) - most and edit_distance(a, b) <= most:
+                links.append((i, j))
     root = roots(len(lines), links)
     owner: dict[int, int] = {}
     seen, gone = set(), collections.defaultdict(set)

@@ -196,7 +196,7 @@ def test_near_lines_go(spark):
     near = [*words[:60], "other", *words[61:]]
     data = [(2, " ".join(near)), (1, " ".join(words)), (3, "quite another line")]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, radius=12).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
     assert got == {1: " ".join(words), 2: "", 3: "quite another line"}
 
 
