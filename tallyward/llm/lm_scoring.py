@@ -10,13 +10,16 @@ trains a network on all its tokens from the same start, the networks are
 averaged by their tokens, and every text is scored with the average. What moves
 are word counts and networks of fixed size, one a partition, averaged in two
 steps so that no task meets all of them, and the words outside the vocabulary,
-which meet their counts: each has its own part of its bucket's probability.
+which meet their counts: each has its own part of its bucket's probability. The
+most frequent of those words are sent along with the network, a fixed number of
+them; the others are joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -93,8 +96,7 @@ class Network:
         seen = self.embed[near]
         hidden = np.tanh(np.einsum("bpd,pd->bd", seen, self.place))
         rows = np.arange(len(at))
-        top = _softmax(hidden @ self.top.T + self.top_bias)
-        logs = np.log(top[rows, group] + 1e-30)
+        logs, top = _choice(hidden @ self.top.T + self.top_bias, group)
         order = np.argsort(group, kind="stable")
         ends = np.searchsorted(group[order], np.arange(self.shape.classes + 1))
         back = np.zeros_like(hidden)
@@ -103,15 +105,17 @@ class Network:
             own = order[ends[c] : ends[c + 1]]
             if not len(own):
                 continue
-            low = _softmax(hidden[own] @ self.low[c].T + self.low_bias[c])
-            k = np.arange(len(own))
-            logs[own] += np.log(low[k, member[own]] + 1e-30)
+            inner, goals = hidden[own], member[own]
+            picked, low = _choice(inner @ self.low[c].T + self.low_bias[c], goals)
+            logs[own] += picked
             if rate:
-                low[k, member[own]] -= 1
+                low /= low.sum(axis=1, keepdims=True)
+                low[np.arange(len(own)), goals] -= 1
                 back[own] = low @ self.low[c]
-                self.low[c] -= rate * (low.T @ hidden[own]) / _spread(len(own))
+                self.low[c] -= rate * (low.T @ inner) / _spread(len(own))
                 self.low_bias[c] -= rate * low.sum(axis=0) / _spread(len(own))
         if rate:
+            top /= top.sum(axis=1, keepdims=True)
             top[rows, group] -= 1
             back += top @ self.top
             self.top -= rate * (top.T @ hidden) / _spread(len(at))
@@ -133,9 +137,13 @@ def _spread(n: int) -> float:
     return float(np.sqrt(n))
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+def _choice(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of the columns ``goal`` and, in place of ``x``, numbers
+    in proportion to the probabilities of all columns."""
+    x -= x.max(axis=1, keepdims=True)
+    picked = x[np.arange(len(x)), goal]
+    np.exp(x, out=x)
+    return picked - np.log(x.sum(axis=1)), x
 
 
 def _bucket(word: bytes, buckets: int) -> int:
@@ -146,28 +154,50 @@ def _bucket(word: bytes, buckets: int) -> int:
 
 @dataclass
 class Vocabulary:
+    """Numbers of the words a network knows; for further, listed words their
+    bucket's number and the logarithm of their part of it."""
+
     numbers: dict[bytes, int]
     shape: Shape
+    slots: dict[bytes, int] = field(default_factory=dict)
+    tokens: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    shares: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def ids(self, text: str) -> list[int]:
-        """Numbers of the lower-cased words between ASCII blanks."""
-        number, first, buckets = self.numbers.get, len(self.numbers), self.shape.buckets
-        first = self.shape.tokens - buckets
-        return [
-            i if (i := number(w, -1)) >= 0 else first + _bucket(w, buckets)
-            for w in text.encode().lower().split()
-        ]
-
-    def rare(self, text: str) -> list[str]:
-        """The words outside the vocabulary, each as often as it occurs."""
-        return [w.decode() for w in text.encode().lower().split() if w not in self.numbers]
+    @classmethod
+    def of(cls, known: list[bytes], listed: list[tuple[bytes, float]], shape: Shape) -> Vocabulary:
+        first = shape.tokens - shape.buckets
+        words = [*known, *(w for w, _ in listed)]
+        tokens = [*range(len(known)), *(first + _bucket(w, shape.buckets) for w, _ in listed)]
+        shares = [*([0.0] * len(known)), *(s for _, s in listed)]
+        return cls(
+            {w: i for i, w in enumerate(known)},
+            shape,
+            {w: i for i, w in enumerate(words)},
+            np.array(tokens, dtype=np.int64),
+            np.array(shares, dtype=np.float64),
+        )
 
-    def line_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look_up(self, text: str) -> tuple[np.ndarray, float, list[bytes]]:
+        """Numbers of the lower-cased words between ASCII blanks, the sum of the
+        listed words' logarithms, and the words not listed, repeats included."""
+        words = text.encode().lower().split()
+        slots = np.fromiter(map(self.slots.get, words, repeat(-1)), np.int64, len(words))
+        others = np.flatnonzero(slots < 0).tolist()
+        if not others:
+            return self.tokens[slots], float(self.shares[slots].sum()), []
+        rare = [words[i] for i in others]
+        first, buckets = self.shape.tokens - self.shape.buckets, self.shape.buckets
+        ids = np.empty(len(words), dtype=np.int64)
+        inside = slots >= 0
+        ids[inside] = self.tokens[slots[inside]]
+        ids[others] = [first + _bucket(w, buckets) for w in rare]
+        return ids, float(self.shares[slots[inside]].sum()), rare
+
+    def line_up(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All tokens in a row with gaps between texts, the places of tokens,
         and the tokens of each text."""
-        gap = [self.shape.tokens] * self.shape.reach
-        rows = [self.ids(t) for t in texts]
-        ids = np.array([i for r in rows for i in (*gap, *r)] + gap, dtype=np.int64)
+        gap = np.full(self.shape.reach, self.shape.tokens, dtype=np.int64)
+        ids = np.concatenate([part for row in rows for part in (gap, row)] + [gap])
         return ids, np.flatnonzero(ids < self.shape.tokens), np.array([len(r) for r in rows])
 
 
@@ -181,17 +211,17 @@ def count_words(docs: DataFrame) -> DataFrame:
     )
 
 
-def word_shares(counted: DataFrame, words: Vocabulary) -> DataFrame:
-    """``word, log_share`` of every counted word outside the vocabulary: the
+def word_shares(counted: DataFrame, known: list[bytes], buckets: int) -> DataFrame:
+    """``word, n, log_share`` of every counted word but the ``known``: the
     logarithm of its part of its bucket's occurrences."""
     spark = counted.sparkSession
-    known = spark.createDataFrame([(w.decode(),) for w in words.numbers], "word string")
-    rare = counted.join(known, "word", "left_anti").withColumn(
-        "bucket", F.pmod(F.xxhash64("word"), F.lit(words.shape.buckets))
+    names = spark.createDataFrame([(w.decode(),) for w in known], "word string")
+    rare = counted.join(names, "word", "left_anti").withColumn(
+        "bucket", F.pmod(F.xxhash64("word"), F.lit(buckets))
     )
     totals = rare.groupBy("bucket").agg(F.sum("n").alias("total"))
     return rare.join(F.broadcast(totals), "bucket").select(
-        "word", F.log(F.col("n") / F.col("total")).alias("log_share")
+        "word", "n", F.log(F.col("n") / F.col("total")).alias("log_share")
     )
 
 
@@ -201,17 +231,23 @@ def train(
     rate: float = 0.05,
     groups: int = 64,
     counted: DataFrame | None = None,
+    listed: int = 200_000,
 ):
     """``(vocabulary, network)`` from every token of ``docs``.
 
-    The vocabulary has the most frequent words; ties go by the word. Partitions
+    The vocabulary has the most frequent words; ties go by the word. The next
+    ``listed`` words have their parts of their buckets listed with it. Partitions
     train alone and their networks are averaged by their numbers of tokens.
     """
     shape = shape or Shape()
     counted = count_words(docs) if counted is None else counted
     top = counted.orderBy(F.desc("n"), "word").limit(shape.tokens - shape.buckets).collect()
     total = counted.agg(F.sum("n")).first()[0] or 0
-    words = Vocabulary({r.word.encode(): i for i, r in enumerate(top)}, shape)
+    known = [r.word.encode() for r in top]
+    next_ = word_shares(counted, known, shape.buckets).orderBy(F.desc("n"), "word").limit(listed)
+    words = Vocabulary.of(
+        known, [(r.word.encode(), r.log_share) for r in next_.toLocalIterator()], shape
+    )
     counts = np.zeros(shape.tokens)
     counts[: len(top)] = [r.n for r in top]
     counts[-shape.buckets :] = (total - counts.sum()) / shape.buckets
@@ -223,8 +259,8 @@ def train(
         net, tokens = Network(words.shape, values.copy()), 0
         for batch in batches:
             for at in range(0, len(batch), 256):
-                texts = [t or "" for t in batch["text"].iloc[at : at + 256]]
-                ids, places, _ = words.line_up(texts)
+                texts = batch["text"].iloc[at : at + 256]
+                ids, places, _ = words.line_up([words.look_up(t or "")[0] for t in texts])
                 for i in range(0, len(places), _BATCH):
                     net.step(ids, places[i : i + _BATCH], rate)
                 tokens += len(places)
@@ -263,19 +299,23 @@ def train(
     )
 
 
-def score(docs: DataFrame, shape: Shape | None = None, rate: float = 0.05) -> DataFrame:
+def score(
+    docs: DataFrame, shape: Shape | None = None, rate: float = 0.05, listed: int = 200_000
+) -> DataFrame:
     """``doc_id, n_tokens, log_prob, mean_log_prob`` of every row of ``docs``.
 
     ``log_prob`` is the sum of the natural logarithms of each token's
     probability given its neighbours; a word outside the vocabulary has its
-    part, by its count, of its bucket's probability. Null, empty and wordless texts have no
+    part, by its count, of its bucket's probability. ``listed`` of these words, the
+    most frequent, are sent to all tasks; the others are joined, so the number
+    changes what is moved and no score. Null, empty and wordless texts have no
     tokens, the sum 0 and a null mean. Repeated rows get equal scores; an empty
     table gives an empty one. Only ``doc_id`` and ``text`` are read.
     """
     docs = docs.select("doc_id", "text")
     counted = settled(count_words(docs), "counts")
-    words, net = train(docs, shape, rate, counted=counted)
-    shares = word_shares(counted, words)
+    words, net = train(docs, shape, rate, counted=counted, listed=listed)
+    shares = word_shares(counted, list(words.numbers), words.shape.buckets)
     sent = docs.sparkSession.sparkContext.broadcast((words, net.values))
 
     @F.pandas_udf("n_tokens long, log_prob double, rare array<string>")
@@ -285,8 +325,8 @@ def score(docs: DataFrame, shape: Shape | None = None, rate: float = 0.05) -> Da
         for batch in texts:
             parts = []
             for at in range(0, len(batch), 256):
-                texts_ = [t or "" for t in batch.iloc[at : at + 256]]
-                ids, places, sizes = words.line_up(texts_)
+                looked = [words.look_up(t or "") for t in batch.iloc[at : at + 256]]
+                ids, places, sizes = words.line_up([found for found, _, _ in looked])
                 logs = [
                     net.step(ids, places[i : i + _BATCH]) for i in range(0, len(places), _BATCH)
                 ]
@@ -296,8 +336,8 @@ def score(docs: DataFrame, shape: Shape | None = None, rate: float = 0.05) -> Da
                     pd.DataFrame(
                         {
                             "n_tokens": sizes,
-                            "log_prob": sums[ends] - sums[ends - sizes],
-                            "rare": [words.rare(t) for t in texts_],
+                            "log_prob": sums[ends] - sums[ends - sizes] + [s for _, s, _ in looked],
+                            "rare": [[w.decode() for w in rare] for _, _, rare in looked],
                         }
                     )
                 )
