@@ -3,9 +3,11 @@
 Formats find the certain spans, which always stay. Generators of high recall
 propose further, overlapping candidates: numbers in groups, addresses written
 out or spaced. Trees boosted on format and context features of the candidates
-of a bounded sample of documents learn which candidates are personal data; the
-sample's other half calibrates the score and sets a threshold per kind. A
-candidate above it that touches no certain or better span is added.
+of a bounded sample of documents learn which candidates are personal data: the
+certain spans rewritten in loose forms, where they stand, are, and candidates
+that touch no certain span are not. The sample's other half calibrates the score
+and sets a threshold per kind. A candidate above it that touches no certain or
+better span is added.
 
 Each text is read by one task; the model and its thresholds are the only thing
 sent to all.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,6 +41,11 @@ _LOOSE_EMAIL = re.compile(
     r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}"
     r"(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63})*"
 )
+_SPOKEN_EMAIL = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63})+"
+)
+_AT = re.compile(r" ?(?:\(at\)|\[at\]|@| at ) ?")
+_DOT = re.compile(r" ?(?:\(dot\)|\[dot\]| dot ) ?| \. | \.|\. ")
 _LOOSE_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?[.-] ?[0-9]{1,3}){3}(?![0-9.])")
 _LOOSE_CARD = re.compile(r"(?<![0-9])[0-9](?:[ .-]{0,2}[0-9]){12,18}(?![0-9])")
 _LOOSE_PHONE = re.compile(r"\(?[0-9](?:[ ().-]{0,3}[0-9]){6,14}(?![0-9])")
@@ -103,15 +111,74 @@ def candidates(text: str) -> list[Span]:
     found = set(base_spans(text))
     if "@" in text or "(at)" in text or "[at]" in text:
         found.update((m.start(), 0, m.end()) for m in _LOOSE_EMAIL.finditer(text))
+    if " dot " in text:
+        found.update((m.start(), 0, m.end()) for m in _SPOKEN_EMAIL.finditer(text))
     for stretch in _STRETCH.finditer(text):
         start, end = stretch.span()
         if end - start < 7:
             continue
+        start -= text[start - 1 : start] == "("
         for kind, loose in ((1, _LOOSE_IP), (2, _LOOSE_CARD), (3, _LOOSE_PHONE)):
             found.update((m.start(), kind, m.end()) for m in loose.finditer(text, start, end))
     return sorted(found)
 
 
+def loosened(text: str, base: list[Span]) -> tuple[str, list[Span]]:
+    """``text`` with its certain spans in loose forms, and where those stand.
+
+    A form is chosen by the span's own characters. Of overlapping spans the first
+    is rewritten.
+    """
+    parts, at, size, forms = [], 0, 0, []
+    for start, kind, end in base:
+        if start < at:
+            continue
+        new = _loose_form(text[start:end], kind)
+        parts += [text[at:start], new]
+        size += start - at
+        forms.append((size, kind, size + len(new)))
+        size, at = size + len(new), end
+    return "".join([*parts, text[at:]]), forms
+
+
+def _loose_form(body: str, kind: int) -> str:
+    pick = zlib.crc32(body.encode())
+    if kind == 0:
+        at, dot = ((" (at) ", " (dot) "), (" [at] ", "."), (" @ ", " . "), (" at ", " dot "))[pick % 4]
+        local, _, domain = body.rpartition("@")
+        return local + at + domain.replace(".", dot)
+    if kind == 1:
+        return body.replace(".", (" . ", "-", ". ")[pick % 3])
+    digits = _digits(body)
+    if kind == 2:
+        gap = (".", "  ", " - "[:2])[pick % 3]
+        return gap.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    first, rest = digits[: len(digits) - 7], digits[-7:]
+    return (
+        f"({first}) {rest[:3]}-{rest[3:]}",
+        f"{first} {rest[:3]} {rest[3:]}",
+        f"{first}-{rest[:3]}-{rest[3:]}",
+        f"{first}.{rest[:3]}.{rest[3:]}",
+    )[pick % 4]
+
+
+def examples(text: str) -> list[tuple[float, list[float]]]:
+    """Labels and features a text teaches: 1 for the candidates that are certain
+    spans in loose form, 0 for those of the text as it is that touch no certain
+    span. All others are left out."""
+    base = base_spans(text)
+    rows = [
+        (0.0, features(text, s))
+        for s in candidates(text)
+        if all(s[2] <= a or b <= s[0] for a, _, b in base)
+    ]
+    if base:
+        new, forms = loosened(text, base)
+        proposed = set(candidates(new)) - set(base_spans(new))
+        rows += [(1.0, features(new, s)) for s in forms if s in proposed]
+    return rows
+
+
 def _side(c: str) -> int:
     return 0 if not c or c.isspace() else 1 if c.isalpha() else 2 if c.isdigit() else 3
 
@@ -126,7 +193,8 @@ def features(text: str, span: Span) -> list[float]:
     before = [w.strip(".,:;()[]=\"'") for w in before]
     counts = Counter(body)
     spread = -sum(n / len(body) * math.log2(n / len(body)) for n in counts.values())
-    domain = body.rpartition("@")[2] if "@" in body else ""
+    plain = _DOT.sub(".", _AT.sub("@", body)) if kind == 0 else ""
+    domain = plain.rpartition("@")[2]
     return [
         *(float(kind == k) for k in range(len(KINDS))),
         len(body), len(digits), len(groups), max(groups), min(groups),
@@ -137,6 +205,7 @@ def features(text: str, span: Span) -> list[float]:
         _side(text[start - 1 : start]), _side(text[end : end + 1]),
         *(float(any(w in hints for w in before)) for hints in _HINTS),
         counts["@"], domain.count("."), len(domain.rpartition(".")[2]), spread,
+        float(len(groups) == 4 and max(parts) <= 255),
     ]
 
 
@@ -189,8 +258,7 @@ def select(
 
 def fit_on(docs: DataFrame, sample_docs: int = 50_000, sample_rows: int = 20_000) -> Model:
     """A model from the candidates of about ``sample_docs`` documents, chosen by
-    a hash of their id; ``sample_rows`` candidates at most. A candidate is
-    labelled personal data if it is a certain span."""
+    a hash of their id; ``sample_rows`` of their ``examples`` at most."""
     n = docs.count()
     part = docs.where(
         F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000))
@@ -200,14 +268,7 @@ def fit_on(docs: DataFrame, sample_docs: int = 50_000, sample_rows: int = 20_000
     @F.pandas_udf("array<array<float>>")
     def rows_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            out = []
-            for text in batch:
-                text = text or ""
-                sure = set(base_spans(text))
-                out.append(
-                    [[float(s in sure), *features(text, s)] for s in candidates(text)]
-                )
-            yield pd.Series(out)
+            yield pd.Series([[[y, *x] for y, x in examples(t or "")] for t in batch])
 
     found = part.select("doc_id", F.posexplode(rows_of("text")).alias("at", "row"))
     found = found.orderBy(F.xxhash64(F.lit(12), "doc_id", "at"), "row").limit(sample_rows)
@@ -224,7 +285,8 @@ def find_personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame
     """``doc_id, text, base, spans`` of every row of ``docs``.
 
     Spans are ``(kind, start, end)`` in code points, end exclusive, by start and
-    then kind as in KINDS; ``spans`` holds ``base`` and what the model adds. Null
+    then kind as in KINDS; ``spans`` holds ``base`` and what the model adds, the
+    same kinds in other forms (``ann (at) site (dot) org``, phones without a plus). Null
     and empty texts have none. Repeated rows give repeated rows; without enough
     labelled candidates nothing is added. Only ``doc_id`` and ``text`` are read.
     """
@@ -262,7 +324,8 @@ def find_personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame
 def redact(found: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` with every span replaced by its kind in brackets.
 
-    Overlapping spans are replaced by the kind of the first of them.
+    Overlapping spans are replaced by the kind of the first of them. A null text
+    stays null, an empty one empty; repeated rows give repeated rows.
     """
 
     @F.pandas_udf("string")

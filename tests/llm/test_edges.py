@@ -134,31 +134,6 @@ def test_personal_data(docs, none):
     assert pii.find_personal_data(none).count() == 0
 
 
-def test_boosted_trees_add_announced_numbers():
-    """Numbers in a format of their own are learned from their announcements."""
-    texts = []
-    for i in range(600):
-        n = f"{i:03d}"
-        texts.append(f"call phone +1 ({n}) 555-{i:04d} today")
-        texts.append(f"order part {n}-{n}-{i:04d} again")
-    x, y = [], []
-    for text in texts:
-        sure = set(pii.base_spans(text))
-        for span in pii.candidates(text):
-            x.append(pii.features(text, span))
-            y.append(float(span in sure))
-    import numpy as np
-
-    model = pii.fit(np.array(x), np.array(y))
-    assert model.trees is not None and model.thresholds[3] < 1
-    score = lambda t: [
-        float(model.trees.probability(np.array([pii.features(t, s)]))[0])
-        for s in pii.candidates(t) if s[1] == 3
-    ]
-    assert max(score("call phone +1 (222) 555-0199 today")) > max(
-        score("order part 222-333-0199 again")
-    )
-
 
 def test_secrets(spark, docs, none):
     found = secret_scan.find_secrets(docs).collect()
