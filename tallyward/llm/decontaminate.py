@@ -187,7 +187,7 @@ def _joined(blocks: list[list[int]]) -> list[int]:
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, length: int = 10, block_bytes: int = 64 << 20
+    docs: DataFrame, benchmark: DataFrame, length: int = 10, block_bytes: int = 32 << 20
 ) -> DataFrame:
     """``doc_id, text, n_words, spans, items`` of every row of ``docs``.
 
@@ -233,7 +233,7 @@ def _items(benchmark: DataFrame) -> Iterator[tuple[object, str | None]]:
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, length: int = 10, block_bytes: int = 64 << 20
+    docs: DataFrame, benchmark: DataFrame, length: int = 10, block_bytes: int = 32 << 20
 ) -> DataFrame:
     """``docs`` without the rows that hold any window of the benchmark.
 
@@ -268,7 +268,7 @@ def cut_spans(text: str | None, spans: list[int]) -> str | None:
 
 
 def remove_spans(
-    docs: DataFrame, benchmark: DataFrame, length: int = 10, block_bytes: int = 64 << 20
+    docs: DataFrame, benchmark: DataFrame, length: int = 10, block_bytes: int = 32 << 20
 ) -> DataFrame:
     """``doc_id`` and ``text`` of all documents, the hit words taken out.
 
