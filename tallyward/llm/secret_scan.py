@@ -65,20 +65,27 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def more_spans(text: str) -> list[tuple[int, int, int, str]]:
-    """Proposed spans by further formats."""
+    """Proposed spans by further formats. Of overlapping ones the leftmost stays,
+    at one start the longest, and of equal ones the later, narrower kind."""
     lower = text.lower()
-    return sorted(
-        (m.start(1), kind, m.end(1), m[1])
+    found = sorted(
+        (m.start(1), -m.end(1), -kind, m[1])
         for word, kind, pattern in _MORE
         if word in lower
         for m in pattern.finditer(text)
     )
-
-
-def looks_live(value: str) -> bool:
-    """Random-looking: 12 characters or more, 2.5 bits each, of two classes, and
-    no word of a placeholder."""
-    if len(value) < 12 or _PLACEHOLDER.search(value):
+    kept, done = [], 0
+    for start, end, kind, value in found:
+        if start >= done:
+            kept.append((start, -kind, -end, value))
+            done = -end
+    return kept
+
+
+def looks_live(value: str, kind: int = 0) -> bool:
+    """Random-looking: 12 characters or more (6 where a login's place tells what it
+    is), 2.5 bits each, of two classes, and no word of a placeholder."""
+    if len(value) < (6 if KINDS[kind] == "login" else 12) or _PLACEHOLDER.search(value):
         return False
     n = len(value)
     bits = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
@@ -120,7 +127,7 @@ def find_secrets(
                             "start": start,
                             "end": end,
                             "value_hash": hashlib.sha256(value.encode()).hexdigest()[:32],
-                            "random": looks_live(value),
+                            "random": looks_live(value, kind),
                         }
                         for start, kind, end, value in base_spans(t) + more_spans(t)
                     ]

@@ -1,7 +1,9 @@
 """Deep-shallow sorting of suffixes, up to a depth that counts as equal.
 
-Multikey quicksort with eight bytes as a symbol orders suffixes down to a
-shallow depth: sort a group by its symbol, go on with the groups of equal ones.
+Rounds of multikey sorting with eight bytes as a symbol order suffixes down to a
+shallow depth: sort a group by its symbol, go on with the groups of equal ones. As
+in multikey quicksort, no symbol of a suffix is read twice; but all groups of a round
+are sorted by symbol in one call of numpy, not split in three around pivots.
 What is still tied has a long common prefix, and a blind trie orders it: its
 nodes hold only the place of a branching and the bytes there, so a suffix is led
 to one leaf, compared with that alone, and put in where the two part.
