@@ -2,7 +2,7 @@
 
 Two words are similar by the weighted number of letter sequences they share,
 where gaps cost but do not break a sequence: spellings with other endings,
-inserted characters or punctuation stay close to the insult they hide. Landmark
+inserted characters, punctuation or blanks stay close to the insult they hide. Landmark
 words come from toxic training texts; a text is described by its greatest
 similarity to each landmark, mapped by the inverse root of the landmarks' own
 kernel matrix, and a linear SVM with a calibrated score is fitted to that.
@@ -13,9 +13,11 @@ one task; words are compared once per task and remembered.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,17 +28,18 @@ from tallyward.llm.boosting import calibrate
 from tallyward.llm.shared import settled
 
 _EDGES = " \t\n.,;:!?\"'()[]{}<>|*#$%&-_/\\…«»“”’"
-# Letters set apart one by one: "i d i o t".
-_SPACED = re.compile(r"(?<!\S)(?:\w[ .*_-]){3,}\w(?!\S)")
+# Three or more characters set apart by blanks: "i d i o t" is one word, blanks included.
+_APART = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 _MOST_CHARS, _STEP = 24, 12
 _TEXTS = 128  # described at a time
+_CELLS = 4_000_000  # of a dense table of words by sequences
 
 
 def words_of(text: str) -> set[str]:
-    """Distinct blank-separated words in lower case, spaced-out words joined."""
+    """Distinct blank-separated words in lower case, and runs of single characters."""
     text = text.lower()
     words = set(text.split())
-    words.update(re.sub(r"[ .*_-]", "", m[0]) for m in _SPACED.finditer(text))
+    words.update(m[0] for m in _APART.finditer(text))
     return words
 
 
@@ -50,42 +53,40 @@ def pieces(word: str) -> list[str]:
 
 def codes(words: list[str], pad: int) -> np.ndarray:
     """Code points, a row for each word."""
-    table = np.full((len(words), _MOST_CHARS), pad, dtype=np.int32)
+    width = max(map(len, words), default=0)
+    table = np.full((len(words), width), pad, dtype=np.int32)
     for i, word in enumerate(words):
-        table[i, : len(word)] = np.frombuffer(word.encode("utf-32-le"), dtype=np.int32)
+        table[i, : len(word)] = np.frombuffer(
+            word.encode("utf-32-le", "surrogatepass"), dtype=np.int32
+        )
     return table
 
 
-def subsequence_kernel(a: np.ndarray, b: np.ndarray, length: int, decay: float) -> np.ndarray:
-    """Row by row, the weighted common subsequences of ``length`` characters;
-    each character spanned, gaps included, costs a factor ``decay`` a side."""
+def subsequence_kernel(
+    a: np.ndarray, b: np.ndarray, length: int, decay: tuple | float, worth: np.ndarray | float = 1.0
+) -> np.ndarray:
+    """Row by row, the weighted common subsequences of ``length`` characters.
+
+    Each character spanned, gaps included, costs its ``decay`` (one number, or a
+    table for each side); each one matched counts ``worth`` (of ``a``) on both sides.
+    """
     n, rows, cols = len(a), a.shape[1], b.shape[1]
-    before = np.ones((rows + 1, cols + 1, n), dtype=np.float32)
+    left, right = decay if isinstance(decay, tuple) else (decay, decay)
+    left, right = np.broadcast_to(left, a.shape), np.broadcast_to(right, b.shape)
+    worth = np.broadcast_to(worth, a.shape)
+    match = np.empty((rows, cols, n))
+    for i in range(rows):
+        match[i] = ((a[:, i : i + 1] == b) * right * (left * worth**2)[:, i : i + 1]).T
+    before = np.ones((rows + 1, cols + 1, n))
     for _ in range(length - 1):
         now = np.zeros_like(before)
-        for i in range(1, rows + 1):
-            run = np.zeros(n, dtype=np.float32)
-            for j in range(1, cols + 1):
-                same = a[:, i - 1] == b[:, j - 1]
-                run = decay * run + np.where(same, decay**2 * before[i - 1, j - 1], 0)
-                now[i, j] = decay * now[i - 1, j] + run
+        for i in range(rows):
+            run = np.zeros(n)
+            for j in range(cols):
+                run = right[:, j] * run + match[i, j] * before[i, j]
+                now[i + 1, j + 1] = left[:, i] * now[i, j + 1] + run
         before = now
-    total = np.zeros(n, dtype=np.float32)
-    for i in range(1, rows + 1):
-        for j in range(1, cols + 1):
-            total += np.where(a[:, i - 1] == b[:, j - 1], decay**2 * before[i - 1, j - 1], 0)
-    return total
-
-
-def letter_pairs(table: np.ndarray) -> np.ndarray:
-    """256 hashed bits a row: pairs of letters with at most one between them."""
-    bits = np.zeros((len(table), 257), dtype=bool)
-    rows = np.arange(len(table))[:, None]
-    for gap in (1, 2):
-        left, right = table[:, :-gap], table[:, gap:]
-        at = np.where((left > 0) & (right > 0), (left * 37 + right * 101) & 255, 256)
-        bits[rows, at] = True
-    return np.packbits(bits[:, :256], axis=1).view(np.uint64)
+    return np.einsum("ijn,ijn->n", match, before[:-1, :-1])
 
 
 @dataclass
@@ -93,64 +94,101 @@ class Landmarks:
     """Landmark words and the similarity of other words to them.
 
     Similarity is a power of the normalised kernel, which sets near spellings
-    apart from words with a few letters in common. It counts as 0 where the kernel
-    is below ``floor``, or for words that share less than ``least_pairs`` of the
-    landmark's letter pairs.
+    apart from words with a few letters in common. A spanned letter costs
+    ``decay``; a character that is no letter or digit costs the milder ``apart``
+    and counts ``aside`` if matched, so that dots or blanks between all letters
+    weigh little. ``floors``, learned from clean texts, are taken off the similarities
+    to each landmark; what is below counts as 0. A character that a word has n times counts an n-th each time, and
+    so does one letter put between all others. Nothing is cut off: the kernel is computed in full for every
+    word, from the weights of the subsequences that the landmarks have.
     """
 
     words: list[str]
     length: int = 3
-    decay: float = 0.6
-    floor: float = 0.3
-    least_pairs: float = 0.5
+    decay: float = 0.8
+    apart: float = 0.98
+    aside: float = 0.2
     power: float = 3.0
+    floors: np.ndarray | float = 0.0
 
     def __post_init__(self) -> None:
-        self.table = codes(self.words, -2)
-        self.pairs = letter_pairs(self.table)
-        self.own = self._with_itself(self.table)
-        self.least = np.maximum(
-            2, self.least_pairs * np.bitwise_count(self.pairs).sum(axis=1)
-        )
-
-    def _with_itself(self, table: np.ndarray) -> np.ndarray:
-        other = np.where(table < 0, -3, table)  # padding equals no padding
-        return subsequence_kernel(table, other, self.length, self.decay)
+        letters = sorted({ord(c) for w in self.words for c in w})
+        self.letters = np.array(letters, dtype=np.int32)
+        self.features = np.zeros(0, dtype=np.int64)
+        parts = [(i, *self._sequences(codes([w], -1))) for i, w in enumerate(self.words)]
+        self.features = np.unique(np.concatenate([k.ravel() for _, k, _ in parts] or [[]]))
+        self.features = self.features.astype(np.int64)
+        self.weights = np.zeros((len(self.features), len(self.words)), dtype=np.float32)
+        for i, keys, value in parts:
+            at = np.searchsorted(self.features, keys[0])
+            np.add.at(self.weights[:, i], at, value[0])
+            self.weights[:, i] /= max(float(self._own(codes([self.words[i]], -1))[0]) ** 0.5, 1e-12)
+
+    def _costs(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each character costs if spanned, and counts if matched."""
+        kinds, back = np.unique(table, return_inverse=True)
+        plain = np.array([chr(c).isalnum() for c in kinds])[back].reshape(table.shape)
+        times = sum((table == column[:, None]).astype(np.int32) for column in table.T)
+        worth = np.where(plain, 1.0, self.aside) / times
+        return np.where(plain, self.decay, self.apart), worth
+
+    def _own(self, table: np.ndarray) -> np.ndarray:
+        """The kernel of words of one length with themselves."""
+        decay, worth = self._costs(table)
+        return subsequence_kernel(table, table, self.length, (decay, decay), worth)
+
+    def _sequences(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All subsequences of words of one length: their keys (-1 with a character
+        of no landmark) and weights."""
+        decay, worth = self._costs(table)
+        spans = np.cumsum(np.log(decay), axis=1)
+        starts = spans - np.log(decay)
+        at = np.searchsorted(self.letters, table)
+        at = np.minimum(at, len(self.letters) - 1)
+        at = np.where(self.letters[at] == table, at, -1)
+        picked = np.array(list(combinations(range(table.shape[1]), self.length)))
+        key = np.zeros((len(table), len(picked)), dtype=np.int64)
+        weight = np.exp(spans[:, picked[:, -1]] - starts[:, picked[:, 0]])
+        known = np.ones(key.shape, dtype=bool)
+        for column in picked.T:
+            known &= at[:, column] >= 0
+            key = key * len(self.letters) + at[:, column]
+            weight *= worth[:, column]
+        return np.where(known, key, -1), weight
 
     def similarity(self, words: list[str]) -> np.ndarray:
         """A row for each word, a column for each landmark."""
         found = np.zeros((len(words), len(self.words)), dtype=np.float32)
-        for at in range(0, len(words), 8192):
-            self._fill(found[at : at + 8192], codes(words[at : at + 8192], -1))
+        sizes = np.array([len(w) for w in words])
+        for size in range(self.length, int(sizes.max(initial=0)) + 1):
+            rows = np.flatnonzero(sizes == size)
+            step = max(1, _CELLS // max(len(self.features), math.comb(size, self.length)))
+            for i in range(0, len(rows), step):
+                part = rows[i : i + step]
+                found[part] = self._compared(codes([words[j] for j in part], -1))
         return found
 
-    def _fill(self, found: np.ndarray, table: np.ndarray) -> None:
-        pairs = letter_pairs(table)
-        near = [
-            np.flatnonzero(np.bitwise_count(pairs & own).sum(axis=1) >= least)
-            for own, least in zip(self.pairs, self.least)
-        ]
-        left = np.concatenate(near)
-        right = np.repeat(np.arange(len(near)), [len(x) for x in near])
-        rows, back = np.unique(left, return_inverse=True)
-        own = np.empty(len(rows), dtype=np.float32)
-        for i in range(0, len(rows), 4096):
-            own[i : i + 4096] = self._with_itself(table[rows[i : i + 4096]])
-        for i in range(0, len(left), 4096):
-            x, y = left[i : i + 4096], right[i : i + 4096]
-            width = int((self.table[y] >= 0).sum(axis=1).max())
-            both = subsequence_kernel(table[x], self.table[y][:, :width], self.length, self.decay)
-            norm = np.sqrt(own[back[i : i + 4096]] * self.own[y])
-            value = both / np.maximum(norm, 1e-12)
-            found[x, y] = np.where(value >= self.floor, value**self.power, 0)
+    def _compared(self, table: np.ndarray) -> np.ndarray:
+        keys, weight = self._sequences(table)
+        at = np.minimum(np.searchsorted(self.features, keys), len(self.features) - 1)
+        row, column = np.nonzero(self.features[at] == keys)
+        cell = row * len(self.features) + at[row, column]
+        shared = np.bincount(cell, weight[row, column], len(table) * len(self.features))
+        shared = shared.reshape(len(table), -1).astype(np.float32)
+        norm = np.sqrt(np.maximum(self._own(table), 1e-24))[:, None]
+        return self.above(np.minimum(shared @ self.weights / norm, 1.0) ** self.power)
+
+    def above(self, similar: np.ndarray) -> np.ndarray:
+        """Similarities less the floors, from 0 to 1 again."""
+        return np.maximum(similar - self.floors, 0) / (1 - np.minimum(self.floors, 0.999))
 
     def describe(self, texts: list[str], known: dict[str, int], kept: list[np.ndarray]):
         """Greatest similarity to each landmark over the words of each text.
 
-        ``known`` maps words to rows of ``kept``, -1 for words like no landmark;
-        it is emptied when it has grown past 200,000 words.
+        ``known`` maps words to rows of ``kept``, -1 for words like no landmark; both
+        are emptied past 400,000 words or 50,000 rows and then filled anew.
         """
-        if len(known) > 200_000:
+        if len(known) > 400_000 or len(kept) > 50_000:
             known.clear()
             kept.clear()
         sets = [words_of(t) for t in texts]
@@ -168,8 +206,9 @@ class Landmarks:
                     kept[at] = np.maximum(kept[at], row)
         out = np.zeros((len(texts), len(self.words)), dtype=np.float32)
         for i, words in enumerate(sets):
-            for at in {known[w] for w in words} - {-1}:
-                np.maximum(out[i], kept[at], out=out[i])
+            near = [at for at in map(known.__getitem__, words) if at >= 0]
+            if near:
+                out[i] = np.max([kept[at] for at in near], axis=0)
         return out
 
 
@@ -185,7 +224,8 @@ def choose_landmarks(
 
     Greedy cover: the next word is like a word of the most toxic texts not yet
     covered, less ``clean_cost`` for each clean text, at the best of ``bars``.
-    Every toxic text is covered up to ``rounds`` times.
+    Every toxic text is covered up to ``rounds`` times. A word has to gain more
+    than one text, and a fiftieth of the toxic ones: a wrong label is no insult.
     """
     weight = np.where(y > 0, 1.0, -clean_cost)
     covered = np.zeros(len(y))
@@ -196,7 +236,7 @@ def choose_landmarks(
         gain = np.einsum("bnm,n->bm", hits, worth)
         gain[:, chosen] = -np.inf
         bar, word = np.unravel_index(gain.argmax(), gain.shape)
-        if gain[bar, word] < 0.75:
+        if gain[bar, word] < max(1.5, 0.02 * y.sum()):
             break
         chosen.append(int(word))
         covered += hits[bar, :, word]
@@ -248,8 +288,9 @@ def train(
     """A model from the labelled rows outside the held-out third.
 
     Of each class the ``sample_each`` labels with the smallest hash of their id
-    are used. Candidates for landmarks are frequent words of toxic texts with
-    the ``candidates`` beginnings that most tell toxic from clean texts. Several labels of a document count as toxic if any is; null labels
+    are used. Candidates for landmarks are the four most frequent words of toxic
+    texts with each of the ``candidates`` beginnings that most tell toxic from clean
+    texts, and are in two toxic texts or more. Several labels of a document count as toxic if any is; null labels
     and ids count as none. With one class only the model knows no landmark.
     """
     ids = (
@@ -288,7 +329,7 @@ def train(
         )
     )
     stems = words.select("toxic", F.explode(F.array_distinct(begun)).alias("stem"))
-    stems = counted(stems.where("length(stem) >= 4"), "stem").where("bad > 4 * good")
+    stems = counted(stems.where("length(stem) >= 4"), "stem").where("bad > 1 AND bad > 4 * good")
     stems = stems.orderBy(F.expr("4 * good - bad"), "stem").limit(candidates).collect()
     seen = counted(words.select("toxic", F.explode("words").alias("word")), "word")
     seen = seen.where("bad > 4 * good").orderBy(F.desc("bad"), "word").limit(50 * candidates)
@@ -304,11 +345,14 @@ def train(
     rows = rows.collect()
     x = np.array([r.similar for r in rows], dtype=np.float64)
     y = np.array([r.toxic for r in rows], dtype=np.float64)
+    # What a tenth of the clean texts have, some by wrong labels, is like no insult.
+    marks.floors = np.quantile(x[y == 0], 0.9, axis=0) if (y == 0).any() else 0.0
+    x = marks.above(x)
     chosen = choose_landmarks(x, y)
     if not chosen:
         return Model(None)
     x, words = x[:, chosen], [words[i] for i in chosen]
-    marks = Landmarks(words)
+    marks = Landmarks(words, floors=np.broadcast_to(marks.floors, len(marks.words))[chosen])
     values, vectors = np.linalg.eigh(marks.similarity(words).astype(np.float64))
     values = np.maximum(values, 1e-2)
     root = vectors @ np.diag(values**-0.5) @ vectors.T

@@ -1,5 +1,7 @@
 """The numpy and Spark parts that operators are built from."""
 
+import itertools
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -135,6 +137,44 @@ def test_similarity_bears_inserted_characters():
     assert hidden > 0.4 and near > 0.1 and other < 0.05
 
 
+def test_similarity_equals_a_sum_over_subsequences():
+    def weights(word, marks):
+        found = {}
+        for at in itertools.combinations(range(len(word)), 3):
+            value = 1.0
+            for c in word[at[0] : at[2] + 1]:
+                value *= marks.decay if c.isalnum() else marks.apart
+            for i in at:
+                value *= (1 if word[i].isalnum() else marks.aside) / word.count(word[i])
+            key = "".join(word[i] for i in at)
+            found[key] = found.get(key, 0) + value
+        return found
+
+    landmarks = ["idiot", "scum", "a-hole"]
+    marks = toxicity.Landmarks(landmarks, floors=np.array([0.0, 0.01, 0.1]))
+    words = ["i.d.i.o.t", "s c u m", "hole", "ünïdiot", "xyz", "scumscum", "idioms-hole-a"]
+    got = marks.similarity(words)
+    for word, row in zip(words, got):
+        for mark, floor, value in zip(landmarks, marks.floors, row):
+            a, b = weights(word, marks), weights(mark, marks)
+            norm = sum(x * x for x in a.values()) * sum(x * x for x in b.values())
+            want = (sum(x * b.get(k, 0) for k, x in a.items()) / norm**0.5) ** marks.power
+            assert value == pytest.approx(max(want - floor, 0) / (1 - floor), abs=1e-5)
+
+
+def test_insertions_between_all_letters():
+    marks = toxicity.Landmarks(["idiot"])
+    hidden = ["i.d.i.o.t", "i**d**i**o**t", "i d i o t", "ixdxixoxt", "idxxiot", "idixxot"]
+    clean = ["radio", "patriot", "edition", "idiom", "audition", "ration", "video", "dioxide"]
+    found = marks.similarity(hidden)[:, 0]
+    assert found[:3].min() > 0.9 and found[3:].min() > 0.1
+    # "idiom" and "dioxide" share most of the letters, in order; others stay far below.
+    rest = [w for w in clean if w not in ("idiom", "dioxide")]
+    assert marks.similarity(rest)[:, 0].max() < found.min() / 2
+    assert {"i d i o t"} <= toxicity.words_of("You i d i o t !!")
+    assert not marks.similarity(["it", "id", ""]).any()
+
+
 def test_network_gradient():
     shape = lm_scoring.Shape(classes=2, members=3, buckets=2, size=4, reach=1)
     rng = np.random.default_rng(0)
