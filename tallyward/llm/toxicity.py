@@ -54,12 +54,10 @@ def pieces(word: str) -> list[str]:
 def codes(words: list[str], pad: int) -> np.ndarray:
     """Code points, a row for each word."""
     width = max(map(len, words), default=0)
-    table = np.full((len(words), width), pad, dtype=np.int32)
-    for i, word in enumerate(words):
-        table[i, : len(word)] = np.frombuffer(
-            word.encode("utf-32-le", "surrogatepass"), dtype=np.int32
-        )
-    return table
+    text = "".join(word.ljust(width, "\0") for word in words)
+    table = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.int32)
+    sizes = np.array([len(word) for word in words], dtype=np.int64)
+    return np.where(np.arange(width) < sizes[:, None], table.reshape(len(words), width), pad)
 
 
 def subsequence_kernel(
@@ -175,8 +173,17 @@ class Landmarks:
         cell = row * len(self.features) + at[row, column]
         shared = np.bincount(cell, weight[row, column], len(table) * len(self.features))
         shared = shared.reshape(len(table), -1).astype(np.float32)
-        norm = np.sqrt(np.maximum(self._own(table), 1e-24))[:, None]
-        return self.above(np.minimum(shared @ self.weights / norm, 1.0) ** self.power)
+        shared = shared @ self.weights
+        # A word's own kernel is the sum of squares of its distinct sequences' weights,
+        # no less than that of all of them apart: most words need no more than this bound.
+        most = np.sqrt(np.einsum("nk,nk->n", weight, weight))[:, None]
+        near = np.flatnonzero(
+            ((shared / most * (1 + 1e-5)) ** self.power > self.floors).any(axis=1)
+        )
+        found = np.zeros_like(shared)
+        norm = np.sqrt(self._own(table[near]))[:, None]
+        found[near] = self.above(np.minimum(shared[near] / norm, 1.0) ** self.power)
+        return found
 
     def above(self, similar: np.ndarray) -> np.ndarray:
         """Similarities less the floors, from 0 to 1 again."""
@@ -196,14 +203,14 @@ class Landmarks:
         parts = [(w, p) for w in fresh for p in pieces(w)]
         rows = self.similarity([p for _, p in parts])
         known.update(dict.fromkeys(fresh, -1))
-        for (word, _), row in zip(parts, rows):
-            if row.any():
-                at = known[word]
-                if at < 0:
-                    known[word] = len(kept)
-                    kept.append(row)
-                else:
-                    kept[at] = np.maximum(kept[at], row)
+        for i in np.flatnonzero(rows.any(axis=1)):
+            word = parts[i][0]
+            at = known[word]
+            if at < 0:
+                known[word] = len(kept)
+                kept.append(rows[i].copy())
+            else:
+                kept[at] = np.maximum(kept[at], rows[i])
         out = np.zeros((len(texts), len(self.words)), dtype=np.float32)
         for i, words in enumerate(sets):
             near = [at for at in map(known.__getitem__, words) if at >= 0]

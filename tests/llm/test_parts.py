@@ -172,7 +172,8 @@ def test_insertions_between_all_letters():
     rest = [w for w in clean if w not in ("idiom", "dioxide")]
     assert marks.similarity(rest)[:, 0].max() < found.min() / 2
     assert {"i d i o t"} <= toxicity.words_of("You i d i o t !!")
-    assert not marks.similarity(["it", "id", ""]).any()
+    assert not marks.similarity(["it", "id", "", "a\0b", "\0\0\0"]).any()
+    assert marks.similarity([]).shape == (0, 1)
 
 
 def test_network_gradient():
