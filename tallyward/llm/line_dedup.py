@@ -19,10 +19,12 @@ of each group the occurrence in the smallest document, at its first place, is ke
 
 All of it is Spark expressions. A frequent line is one row from the first
 aggregation on, and its many occurrences meet one row of its group in a join
-whose large side Spark splits. Of a large key's lines each is compared with the most
-frequent one, by words also with the most frequent of its own length, so neither
-copies nor lines around a common phrase pair up. Only among few lines, or lines
-within ``radius`` bits in several components, are all pairs compared.
+whose large side Spark splits. Of a large key's lines each is first compared with the
+most frequent one, by words also with the most frequent of its own length. Those still
+in different components then meet within ``radius`` bits, or by their rarest words: of
+two lines of similarity J the rarest word they share is among the rarest ``1 - J`` of
+each, and one more. So neither copies nor lines around a common phrase pair up, and no
+partner of a large key is left out.
 """
 
 from __future__ import annotations
@@ -106,8 +108,9 @@ def _word_hashes(lines: DataFrame) -> DataFrame:
     return words.select("doc", "text_key", "at", hashes.alias("hashes"))
 
 
-def run_keys(hashes: Column) -> Column:
-    """Keys by which similar lines meet, from the hashes of a line's words."""
+def run_keys(hashes: Column, twos: Column) -> Column:
+    """Keys by which similar lines meet, from the hashes of a line's words, and of two
+    words in a row."""
     n = F.size(hashes)
     without = F.transform(
         F.sequence(F.lit(1), n),
@@ -116,8 +119,7 @@ def run_keys(hashes: Column) -> Column:
         ),
     )
     without = F.concat(F.array(F.xxhash64(F.lit(1), hashes)), without)
-    # Hashes of two words in a row, then of two such pairs: runs of RUN_WORDS words.
-    twos = F.zip_with(hashes, F.slice(hashes, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+    # Two pairs of words in a row are a run of RUN_WORDS words.
     fours = F.zip_with(twos, F.slice(twos, F.lit(3), n), lambda a, b: F.xxhash64(a, b))
     runs = F.sort_array(F.slice(fours, F.lit(1), n - (RUN_WORDS - 1)))
     least = F.slice(runs, 1, RUNS)
@@ -131,7 +133,13 @@ def run_keys(hashes: Column) -> Column:
 
 def line_prints(docs: DataFrame) -> DataFrame:
     """``doc, text_key, at, n_words, k1, k2, fp, keys`` of every line."""
-    hashed = _word_hashes(_lines(docs)).withColumn("distinct", F.array_distinct("hashes"))
+    after = F.slice("hashes", F.lit(2), F.size("hashes"))
+    # What is used several times is a column: lambdas are not shared within one.
+    hashed = _word_hashes(_lines(docs)).select(
+        "*",
+        F.array_distinct("hashes").alias("distinct"),
+        F.zip_with("hashes", after, lambda a, b: F.xxhash64(a, b)).alias("twos"),
+    )
     return hashed.select(
         "doc",
         "text_key",
@@ -140,7 +148,7 @@ def line_prints(docs: DataFrame) -> DataFrame:
         F.xxhash64("hashes").alias("k1"),
         F.xxhash64(F.lit(7), "hashes").alias("k2"),
         line_print(F.col("distinct")).alias("fp"),
-        run_keys(F.col("hashes")).alias("keys"),
+        run_keys(F.col("hashes"), F.col("twos")).alias("keys"),
     )
 
 
@@ -161,12 +169,13 @@ def block_masks(n: int, radius: int = 3) -> list[int]:
     return masks
 
 
-def _crowded(prints: DataFrame, radius: int) -> DataFrame:
-    """``key, fp`` of the distinct fingerprints that share a key with another.
+def _near_prints(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """``fp_a, fp_b`` of fingerprints within ``radius`` that share a key with few
+    others, and ``key, fp`` of the keys that more than ``FEW`` share.
 
     A key is a hash of the kept blocks and which they are. Most that meet by
-    chance meet in twos, the least and the greatest of their key, and are told
-    apart at once; the rest later.
+    chance meet in twos or threes, which the least, the greatest and the exclusive or
+    of a key's fingerprints tell apart at once; only larger keys are looked up again.
     """
     masks = block_masks(prints.count(), radius)
     key = F.xxhash64("key_no", F.col("fp").bitwiseAND(F.col("mask")))
@@ -174,13 +183,63 @@ def _crowded(prints: DataFrame, radius: int) -> DataFrame:
         "fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("key_no", "mask")
     ).select(key.alias("key"), "fp")
     met = keyed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("sharers"), F.min("fp").alias("low"), F.max("fp").alias("high")
+        F.count(F.lit(1)).alias("sharers"),
+        F.min("fp").alias("low"),
+        F.max("fp").alias("high"),
+        F.bit_xor("fp").alias("all"),
+    )
+    third = F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
+    met = met.where("sharers > 1").withColumn(
+        "third", F.when(F.col("sharers") == 3, third).otherwise(F.col("high"))
+    )
+    near = _within(radius, "low", "high")
+    near = near | _within(radius, "low", "third") | (
+        (F.col("sharers") == 3) & _within(radius, "third", "high")
+    )
+    met = settled(met.where((F.col("sharers") > 3) | near).drop("all"), "met")
+
+    def pair(a: str, b: str) -> Column:
+        return F.struct(F.col(a).alias("fp_a"), F.col(b).alias("fp_b"))
+
+    of_three = F.array(pair("low", "high"), pair("low", "third"), pair("third", "high"))
+    pairs = met.where("sharers <= 3").select(F.inline(of_three))
+    crowd = settled(keyed.join(met.where("sharers > 3").select("key", "sharers"), "key"), "crowd")
+    few = crowd.where(F.col("sharers") <= FEW).select("key", F.col("fp").alias("fp_a"))
+    few = few.join(few.withColumnRenamed("fp_a", "fp_b"), "key")
+    pairs = pairs.unionAll(few.where(F.col("fp_a") < F.col("fp_b")).where(_within(radius, "fp_a", "fp_b")).select("fp_a", "fp_b"))
+    pairs = pairs.where("fp_a != fp_b").where(_within(radius, "fp_a", "fp_b"))
+    pairs = pairs.select(
+        F.least("fp_a", "fp_b").alias("fp_a"), F.greatest("fp_a", "fp_b").alias("fp_b")
+    )
+    return pairs.distinct(), crowd.where(F.col("sharers") > FEW).select("key", "fp")
+
+
+def _by_prints(nodes: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """``a, b`` of lines with fingerprints within ``radius``, and ``key, node, fp,
+    n_words, n`` of the lines of keys that are too large to pair up."""
+    prints = nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("lines"))
+    prints = settled(prints, "prints")
+    pairs, crowd = _near_prints(prints.select("fp"), radius)
+    several = prints.where("lines > 1")
+    own = several.select(F.col("fp").alias("fp_a"), F.col("fp").alias("fp_b"))
+    for side in ("a", "b"):
+        lines = several.select(
+            F.col("fp").alias(f"fp_{side}"), F.col("lines").alias(f"lines_{side}")
+        )
+        pairs = pairs.unionAll(own) if side == "a" else pairs
+        pairs = pairs.join(lines, f"fp_{side}", "left")
+    many = F.coalesce(F.greatest("lines_a", "lines_b"), F.lit(1)) > FEW
+    pairs = settled(pairs.select("fp_a", "fp_b", many.alias("many")), "near")
+    packed = F.explode(F.array_distinct(F.array("fp_a", "fp_b"))).alias("fp")
+    crowd = crowd.unionAll(
+        pairs.where("many").select(F.xxhash64("fp_a", "fp_b").alias("key"), packed)
     )
-    near = (F.col("sharers") == 2) & _within(radius, "low", "high")
-    # Twos are complete; only the keys of more are looked up again.
-    met = settled(met.where((F.col("sharers") > 2) | near), "met")
-    twos = met.where("sharers = 2").select("key", F.explode(F.array("low", "high")).alias("fp"))
-    return twos.unionAll(keyed.join(met.where("sharers > 2").select("key"), "key"))
+    ends = pairs.select(packed).unionAll(crowd.select("fp")).distinct()
+    held = settled(nodes.select("node", "fp", "n_words", "n").join(ends, "fp"), "held")
+    pairs = pairs.where("NOT many")
+    for side in ("a", "b"):
+        pairs = pairs.join(held.select(F.col("fp").alias(f"fp_{side}"), F.col("node").alias(side)), f"fp_{side}")
+    return pairs.where("a != b").select("a", "b"), settled(crowd.join(held, "fp"), "blocks")
 
 
 def _within(radius: int, a: str, b: str) -> Column:
@@ -206,8 +265,10 @@ def _coded(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     lines = _lines(docs)
     sieve = nodes.select(slot().alias("slot")).distinct()
     near = lines.join(F.broadcast(sieve), slot() == F.col("slot"), "left_semi")
-    found = near.join(nodes.select("node", "doc", "text_key", "at"), ["doc", "text_key", "at"])
-    found = found.groupBy("node").agg(F.min("line").alias("line"))
+    place = ["doc", "text_key", "at"]
+    found = near.join(nodes.select("node", *place), place)
+    # Repeated rows: the join has sorted by place already.
+    found = found.groupBy(*place).agg(F.first("node").alias("node"), F.first("line").alias("line"))
     hashes = F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))
     points = F.transform(
         hashes, lambda h: F.lpad(F.hex(F.pmod(h, F.lit(1_000_000)) + 0x10000), 8, "0")
@@ -237,23 +298,30 @@ def _verified(pairs: DataFrame, coded: DataFrame, similarity: float) -> DataFram
     )
 
 
-def _by_runs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """``a, b`` of lines that share a run key: every pair of a key with at most ``FEW``
-    lines, so that none meets more than that, and in larger keys each line against
-    the most frequent one and the most frequent one of its own length."""
-    columns = ["node", "fp", "n_words", "n"]
+def _run_sharers(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a, b`` of the lines of run keys that two share, ``key, node, sharers`` of
+    larger keys."""
     keyed = nodes.select(F.explode("keys").alias("key"), "node").repartition("key")
     met = keyed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("sharers"), F.min("node").alias("a"), F.max("node").alias("b")
+        F.count(F.lit(1)).alias("sharers"), F.max("node").alias("a"), F.min("node").alias("b")
     )
-    met = met.where("sharers > 1")
-    crowd = settled(keyed.join(met.select("key", "sharers"), "key"), "runs")
+    met = settled(met.where("sharers > 1"), "met")
+    larger = keyed.join(met.where("sharers > 2").select("key", "sharers"), "key")
+    return met.where("sharers = 2").select("a", "b"), settled(larger, "runs")
+
+
+def _by_runs(
+    nodes: DataFrame, similarity: float, shared: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
+    """``a, b`` of lines that share a run key (``_run_sharers``): every pair of a key
+    with at most ``FEW`` lines, so that none meets more than that, and in larger keys
+    each line against the most frequent one and the most frequent one of its own
+    length. The rest of these meet in ``_by_rare_words``."""
+    columns = ["node", "fp", "n_words", "n"]
+    pairs, crowd = _run_sharers(nodes) if shared is None else shared
     known = nodes.select(*columns)
-    of_two = crowd.where("sharers = 2").groupBy("key").agg(
-        F.max("node").alias("a"), F.min("node").alias("b")
-    )
-    pairs = of_two.select("a", "b").distinct()
-    few = crowd.where(F.col("sharers").between(3, FEW)).select("key", "node")
+    pairs = pairs.distinct()
+    few = crowd.where(F.col("sharers") <= FEW).select("key", "node")
     other = few.select("key", F.col("node").alias("b"))
     few = few.join(other, "key").where("node > b").select(F.col("node").alias("a"), "b")
     pairs = pairs.unionAll(few.distinct())
@@ -270,6 +338,68 @@ def _by_runs(nodes: DataFrame, similarity: float) -> DataFrame:
     return pairs.where(~_apart("n_words_a", "n_words_b", similarity)).select("a", "b")
 
 
+def _mixed(placed: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``placed`` with their ``root`` whose key has several components."""
+    rooted = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    return settled(rooted.join(mixed.where("least != most").select("key"), "key"), "mixed")
+
+
+def _by_rare_words(mixed: DataFrame, coded: DataFrame, similarity: float) -> DataFrame:
+    """``a, b`` of lines of different components that share a key of ``mixed`` (``key,
+    node, root``) and one of their rarest words.
+
+    Words are ranked by how many of these lines have them, then by value. Of similar
+    lines at most ``1 - similarity`` of each one's words are not in the other, so the
+    first word they share is among that many of both, and one more.
+    """
+    lines = coded.join(mixed.select("node").distinct(), "node").select(
+        "node",
+        F.length("coded").alias("n_words"),
+        F.explode(F.array_distinct(F.split("coded", ""))).alias("word"),
+    )
+    counts = lines.groupBy("word").agg(F.count(F.lit(1)).alias("lines"))
+    ranked = lines.join(counts, "word").groupBy("node", "n_words").agg(
+        F.array_sort(F.collect_list(F.struct("lines", "word"))).alias("ranked")
+    )
+    most = F.floor(F.col("n_words") * (1 - similarity) + 1e-9).cast("int")
+    ranked = ranked.select(
+        "node", "n_words", F.explode(F.slice("ranked", F.lit(1), most + 1)).alias("own")
+    )
+    met = mixed.select("key", "node", "root").join(
+        ranked.where("own.lines > 1").select("node", "n_words", "own.word"), "node"
+    )
+    other = met.select(
+        "key",
+        "word",
+        F.col("node").alias("other"),
+        F.col("root").alias("root_b"),
+        F.col("n_words").alias("n_b"),
+    )
+    pairs = met.join(other, ["key", "word"]).where("root < root_b")
+    pairs = pairs.where(~_apart("n_words", "n_b", similarity))
+    return pairs.select(
+        F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")
+    )
+
+
+def _by_distance(mixed: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """``a, b`` of lines of different components that share a key of ``mixed`` and have
+    fingerprints within ``radius``."""
+    other = mixed.select(
+        "key",
+        F.col("node").alias("other"),
+        F.col("fp").alias("fp_b"),
+        F.col("root").alias("root_b"),
+        F.col("n_words").alias("n_b"),
+    )
+    pairs = mixed.join(other, "key").where("root < root_b")
+    pairs = pairs.where(~_apart("n_words", "n_b", similarity)).where(_within(radius, "fp", "fp_b"))
+    return pairs.select(
+        F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")
+    )
+
+
 def line_groups(
     docs: DataFrame, lines: DataFrame, radius: int = 3, similarity: float = 0.8
 ) -> DataFrame:
@@ -287,11 +417,11 @@ def line_groups(
     nodes = nodes.select("k1", "k2", "fp", "n_words", "n", "first.*", "keys")
     nodes = settled(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     linkable = nodes.where(F.col("n_words") >= LEAST_WORDS)
-    prints = settled(linkable.select("fp").distinct(), "prints")
-    blocks = _crowded(prints, radius)
-    placed = settled(blocks.join(linkable.select("node", "fp", "n_words", "n"), "fp"), "blocks")
+    nodes = nodes.drop("keys")
+    near, placed = _by_prints(linkable, radius)
+    shared = _run_sharers(linkable)
 
-    # Each line of a key against the key's most frequent one.
+    # Each line of a large key against the key's most frequent one.
     lead = F.max(F.struct("n", (-F.col("node")).alias("rank"), "fp", "n_words"))
     leads = placed.groupBy("key").agg(lead.alias("lead")).select(
         "key",
@@ -301,41 +431,27 @@ def line_groups(
     )
     star = placed.withColumnRenamed("node", "a").join(leads, "key").where("a != b")
     star = star.where(_within(radius, "fp", "fp_b")).where(~_apart("n_words", "n_b", similarity))
-    star = star.select("a", "b").unionAll(_by_runs(linkable, similarity))
-    star = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    tried = settled(star.distinct(), "pairs")
-    nodes = nodes.drop("keys")
-    ends = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    tried = star.select("a", "b").unionAll(near).unionAll(_by_runs(linkable, similarity, shared))
+    tried = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    tried = settled(tried.distinct(), "pairs")
+    crowd = shared[1].where(F.col("sharers") > FEW).select("key", "node")
+    ends = tried.select(F.explode(F.array("a", "b")).alias("node"))
+    ends = ends.unionAll(crowd.select("node")).unionAll(placed.select("node")).distinct()
     coded = settled(_coded(docs, nodes.join(ends, "node")), "coded")
     links = settled(_verified(tried, coded, similarity), "links")
     roots = connected_components(links)
 
-    # Pairs of different components within the radius that were not compared yet.
-    rooted = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key").agg(
-        F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("sharers")
-    )
-    # Two that share a key have met already.
-    mixed = mixed.where("least != most AND sharers > 2").select("key")
-    left = settled(rooted.join(mixed, "key"), "mixed")
-    if not left.isEmpty():
-        other = left.select(
-            "key",
-            F.col("node").alias("b"),
-            F.col("fp").alias("fp_b"),
-            F.col("root").alias("root_b"),
-            F.col("n_words").alias("n_b"),
-        )
-        more = left.join(other, "key").where("root < root_b AND fp != fp_b")
-        more = more.where(~_apart("n_words", "n_b", similarity))
-        more = more.where(_within(radius, "fp", "fp_b"))
-        more = more.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
-        more = settled(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            ends = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            coded = settled(_coded(docs, nodes.join(ends, "node")), "coded")
-            links = links.unionAll(_verified(more, coded, similarity))
-            roots = connected_components(links)
+    # Lines of large keys in different components that were not compared yet.
+    more = _by_rare_words(_mixed(crowd, roots), coded, similarity)
+    if not placed.isEmpty():
+        more = more.unionAll(_by_distance(_mixed(placed, roots), radius, similarity))
+    more = settled(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        found = settled(_verified(more, coded, similarity), "links")
+        if not found.isEmpty():
+            # Components are links enough: each line with its root.
+            known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = connected_components(known.unionAll(found))
 
     grouped = nodes.join(roots, "node", "left")
     marked = grouped.where("n > 1 OR root IS NOT NULL").withColumn(
