@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +31,8 @@ _EDGES = " \t\n.,;:!?\"'()[]{}<>|*#$%&-_/\\…«»“”’"
 # Three or more characters set apart by blanks: "i d i o t" is one word, blanks included.
 _APART = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 _MOST_CHARS, _STEP = 24, 12
-_TEXTS = 128  # described at a time
-_CELLS = 4_000_000  # of a dense table of words by sequences
+_TEXTS = 128  # taken out of Arrow and described at a time
+_CELLS = 500_000  # of a dense table of words by sequences
 
 
 def words_of(text: str) -> set[str]:
@@ -314,11 +314,11 @@ def train(
     sample = docs.select("doc_id", "text").join(F.broadcast(part[0].unionAll(part[1])), "doc_id")
     sample = settled(sample, "toxicity-sample")
 
-    @F.pandas_udf("array<string>")
-    def tokens(texts: pd.Series) -> pd.Series:
-        return pd.Series(
-            [sorted({p for w in words_of(t or "") for p in pieces(w)}) for t in texts]
-        )
+    @F.arrow_udf("array<string>")
+    def tokens(texts: pa.Array) -> pa.Array:
+        found = (words_of(t.as_py() or "") for t in texts)
+        return pa.array([sorted({p for w in words for p in pieces(w)}) for words in found],
+                        pa.list_(pa.string()))
 
     def counted(rows: DataFrame, column: str) -> DataFrame:
         return rows.groupBy(column).agg(
@@ -348,8 +348,9 @@ def train(
     if not words:
         return Model(None)
     marks = Landmarks(words)
-    rows = _described(sample, marks).select("similar", "toxic").orderBy("doc_id", "text")
-    rows = rows.collect()
+    # Written first: sorting would describe the texts once more to find its ranges.
+    rows = settled(_described(sample, marks), "toxicity-described")
+    rows = rows.orderBy("doc_id", "text").select("similar", "toxic").collect()
     x = np.array([r.similar for r in rows], dtype=np.float64)
     y = np.array([r.toxic for r in rows], dtype=np.float64)
     # What a tenth of the clean texts have, some by wrong labels, is like no insult.
@@ -376,18 +377,23 @@ def train(
     return model
 
 
+def _parts(batch: pa.Array) -> Iterator[list[str]]:
+    """The texts of a batch, a few at a time: only those become Python strings."""
+    for at in range(0, len(batch), _TEXTS):
+        yield [t or "" for t in batch.slice(at, _TEXTS).to_pylist()]
+
+
 def _described(docs: DataFrame, marks: Landmarks) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(marks)
 
-    @F.pandas_udf("array<float>")
-    def similar(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def similar(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known, kept = {}, []
         for batch in texts:
             rows = []
-            for at in range(0, len(batch), _TEXTS):
-                part = [t or "" for t in batch.iloc[at : at + _TEXTS]]
+            for part in _parts(batch):
                 rows.extend(sent.value.describe(part, known, kept))
-            yield pd.Series(rows)
+            yield pa.array(rows, pa.list_(pa.float32()))
 
     return docs.withColumn("similar", similar("text"))
 
@@ -396,18 +402,18 @@ def score(text: Column, model: Model, docs: DataFrame) -> Column:
     """The score of a text column of ``docs``, between 0 and 1."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known, kept, model = {}, [], sent.value
         for batch in texts:
             if model.landmarks is None:
-                yield pd.Series(np.zeros(len(batch)))
+                yield pa.array(np.zeros(len(batch)))
                 continue
-            parts = []
-            for at in range(0, len(batch), _TEXTS):
-                part = [t or "" for t in batch.iloc[at : at + _TEXTS]]
-                parts.append(model.score(model.landmarks.describe(part, known, kept)))
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+            parts = [
+                model.score(model.landmarks.describe(part, known, kept))
+                for part in _parts(batch)
+            ]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return scored(text)
 
