@@ -37,7 +37,12 @@ def fingerprint_of(text: str | None, shingle_words: int = 3) -> int:
     shifted = [words[i:] for i in range(shingle_words)]
     grams = list(map(b" ".join, zip(*shifted))) or [b" ".join(words)]
     seed = 42
-    hashes = np.array([xxhash.xxh64_intdigest(g, seed) for g in grams], dtype="<u8")
+    return majority_bits(np.array([xxhash.xxh64_intdigest(g, seed) for g in grams], dtype="<u8"))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that over half of the unsigned 64-bit ``hashes`` set; 0 of none."""
+    hashes = np.ascontiguousarray(hashes, dtype="<u8")
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 65536):  # long texts: a bounded bit matrix
         part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
