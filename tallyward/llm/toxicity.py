@@ -33,6 +33,7 @@ _APART = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 _MOST_CHARS, _STEP = 24, 12
 _TEXTS = 128  # taken out of Arrow and described at a time
 _CELLS = 500_000  # of a dense table of words by sequences
+_KNOWN, _KEPT = 150_000, 4_000_000  # words remembered, and numbers of their rows
 
 
 def words_of(text: str) -> set[str]:
@@ -193,9 +194,9 @@ class Landmarks:
         """Greatest similarity to each landmark over the words of each text.
 
         ``known`` maps words to rows of ``kept``, -1 for words like no landmark; both
-        are emptied past 400,000 words or 50,000 rows and then filled anew.
+        are emptied past ``_KNOWN`` words or ``_KEPT`` numbers and then filled anew.
         """
-        if len(known) > 400_000 or len(kept) > 50_000:
+        if len(known) > _KNOWN or len(kept) * len(self.words) > _KEPT:
             known.clear()
             kept.clear()
         sets = [words_of(t) for t in texts]
@@ -289,6 +290,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def _tokens(text: Column) -> Column:
+    """The sorted distinct pieces of a text's words."""
+
+    @F.arrow_udf("array<string>")
+    def tokens(texts: pa.Array) -> pa.Array:
+        found = (words_of(t.as_py() or "") for t in texts)
+        return pa.array([sorted({p for w in words for p in pieces(w)}) for words in found],
+                        pa.list_(pa.string()))
+
+    # Else conditions on the result are pushed below it: a task then has two workers
+    # and takes its texts apart twice.
+    return tokens.asNondeterministic()(text)
+
+
 def train(
     docs: DataFrame, labels: DataFrame, sample_each: int = 3000, candidates: int = 150
 ) -> Model:
@@ -314,18 +329,12 @@ def train(
     sample = docs.select("doc_id", "text").join(F.broadcast(part[0].unionAll(part[1])), "doc_id")
     sample = settled(sample, "toxicity-sample")
 
-    @F.arrow_udf("array<string>")
-    def tokens(texts: pa.Array) -> pa.Array:
-        found = (words_of(t.as_py() or "") for t in texts)
-        return pa.array([sorted({p for w in words for p in pieces(w)}) for words in found],
-                        pa.list_(pa.string()))
-
     def counted(rows: DataFrame, column: str) -> DataFrame:
         return rows.groupBy(column).agg(
             F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
         )
 
-    words = sample.select("toxic", tokens("text").alias("words"))
+    words = sample.select("toxic", _tokens(F.col("text")).alias("words"))
     # A text counts once for each beginning of four to eight letters of its words.
     begun = F.flatten(
         F.transform(

@@ -4,6 +4,7 @@ import random
 import tracemalloc
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tallyward.llm import toxicity
 
@@ -25,3 +26,20 @@ def test_texts_leave_arrow_a_few_at_a_time():
     parts = list(toxicity._parts(texts))
     assert max(map(len, parts)) <= 128
     assert sum(parts, []) == ["a", "", "c"] * 100
+
+
+def test_a_task_takes_words_out_of_texts_in_one_worker(spark):
+    df = spark.range(9).select(F.concat(F.lit("some words "), "id").alias("text"))
+    words = df.select(toxicity._tokens(F.col("text")).alias("words"))
+    words = words.select(F.explode("words").alias("word")).where("length(word) >= 4")
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert {r.word for r in words.collect()} == {"some", "words"}
+
+
+def test_remembered_words_are_bounded():
+    marks = toxicity.Landmarks([f"abc{i}defg" for i in range(100, 400)])
+    known, kept = {}, []
+    for at in range(0, 24000, 1000):
+        marks.describe([" ".join(f"abc{i}def" for i in range(at, at + 1000))], known, kept)
+        assert len(known) <= 151_000 and len(kept) * 300 <= 4_300_000
