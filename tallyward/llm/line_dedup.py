@@ -203,7 +203,8 @@ def _near_prints(prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
 
     of_three = F.array(pair("low", "high"), pair("low", "third"), pair("third", "high"))
     pairs = met.where("sharers <= 3").select(F.inline(of_three))
-    crowd = settled(keyed.join(met.where("sharers > 3").select("key", "sharers"), "key"), "crowd")
+    large = met.where("sharers > 3").select("key", "sharers")
+    crowd = settled(_sifted(keyed, large, "key").join(large, "key"), "crowd")
     few = crowd.where(F.col("sharers") <= FEW).select("key", F.col("fp").alias("fp_a"))
     few = few.join(few.withColumnRenamed("fp_a", "fp_b"), "key")
     pairs = pairs.unionAll(few.where(F.col("fp_a") < F.col("fp_b")).where(_within(radius, "fp_a", "fp_b")).select("fp_a", "fp_b"))
@@ -252,20 +253,24 @@ def _apart(a: str, b: str, similarity: float) -> Column:
     return F.abs(F.col(a) - F.col(b)) > most
 
 
+def _sifted(rows: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """The rows whose ``columns`` are among those of ``wanted``, and few others: two
+    tables of at most a million hash values each are sent to all tasks, so that what is
+    in neither is not moved for the join that decides."""
+    for seed in (1, 2):
+        slot = F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(_SIEVE)).cast("int")
+        sieve = wanted.select(slot.alias(f"_slot_{seed}")).distinct()
+        rows = rows.join(F.broadcast(sieve), slot == F.col(f"_slot_{seed}"), "left_semi")
+    return rows
+
+
 def _coded(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, coded``: each node's line at its first place, a character for a word.
 
     A word is one of a million characters beyond the basic plane, by its hash.
-    Lines are sifted by a table of at most a million hash values first.
     """
-
-    def slot() -> Column:
-        return F.pmod(F.xxhash64("doc", "text_key", "at"), F.lit(_SIEVE))
-
-    lines = _lines(docs)
-    sieve = nodes.select(slot().alias("slot")).distinct()
-    near = lines.join(F.broadcast(sieve), slot() == F.col("slot"), "left_semi")
     place = ["doc", "text_key", "at"]
+    near = _sifted(_lines(docs), nodes, *place)
     found = near.join(nodes.select("node", *place), place)
     # Repeated rows: the join has sorted by place already.
     found = found.groupBy(*place).agg(F.first("node").alias("node"), F.first("line").alias("line"))
@@ -358,9 +363,14 @@ def _by_rare_words(mixed: DataFrame, coded: DataFrame, similarity: float) -> Dat
         F.length("coded").alias("n_words"),
         F.explode(F.array_distinct(F.split("coded", ""))).alias("word"),
     )
-    counts = lines.groupBy("word").agg(F.count(F.lit(1)).alias("lines"))
-    ranked = lines.join(counts, "word").groupBy("node", "n_words").agg(
-        F.array_sort(F.collect_list(F.struct("lines", "word"))).alias("ranked")
+    # There are a million words at most, so all tasks can have the counts, and the lines
+    # stay where they are.
+    lines = lines.withColumn("word", F.ascii("word"))
+    counts = lines.groupBy("word").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
+    counted = lines.join(F.broadcast(counts), "word", "left")
+    own = F.struct(F.coalesce("lines", F.lit(1)).alias("lines"), "word")
+    ranked = counted.groupBy("node", "n_words").agg(
+        F.array_sort(F.collect_list(own)).alias("ranked")
     )
     most = F.floor(F.col("n_words") * (1 - similarity) + 1e-9).cast("int")
     ranked = ranked.select(

@@ -15,3 +15,11 @@ def test_partners_beside_the_leads_of_a_key_are_found(spark):
     got = line_dedup.dedup_lines(df).select("doc_id", "text").collect()
     assert sorted(map(tuple, got)) == sorted(brute.line_dedup(rows))
     assert sum(t != "" for _, t in got) == 30
+
+
+def test_sifting_keeps_what_is_wanted_and_few_others(spark):
+    wanted = spark.range(0, 200_000, 4)
+    got = {r.id for r in line_dedup._sifted(spark.range(200_000), wanted, "id").collect()}
+    assert got >= set(range(0, 200_000, 4))
+    # One table of a million values would let one in twenty of the others through.
+    assert len(got) - 50_000 < 150_000 / 100
