@@ -95,8 +95,7 @@ class Network:
         group, member = goal // self.shape.members, goal % self.shape.members
         seen = self.embed[near]
         hidden = np.tanh(np.einsum("bpd,pd->bd", seen, self.place))
-        rows = np.arange(len(at))
-        logs, top = _choice(hidden @ self.top.T + self.top_bias, group)
+        logs, top, whole = _choice(self.top @ hidden.T + self.top_bias[:, None], group)
         order = np.argsort(group, kind="stable")
         ends = np.searchsorted(group[order], np.arange(self.shape.classes + 1))
         back = np.zeros_like(hidden)
@@ -106,27 +105,28 @@ class Network:
             if not len(own):
                 continue
             inner, goals = hidden[own], member[own]
-            picked, low = _choice(inner @ self.low[c].T + self.low_bias[c], goals)
+            picked, low, total = _choice(self.low[c] @ inner.T + self.low_bias[c][:, None], goals)
             logs[own] += picked
             if rate:
-                low /= low.sum(axis=1, keepdims=True)
-                low[np.arange(len(own)), goals] -= 1
-                back[own] = low @ self.low[c]
-                self.low[c] -= rate * (low.T @ inner) / _spread(len(own))
-                self.low_bias[c] -= rate * low.sum(axis=0) / _spread(len(own))
+                low /= total
+                low[goals, np.arange(len(own))] -= 1
+                back[own] = low.T @ self.low[c]
+                self.low[c] -= rate * (low @ inner) / _spread(len(own))
+                self.low_bias[c] -= rate * low.sum(axis=1) / _spread(len(own))
         if rate:
-            top /= top.sum(axis=1, keepdims=True)
-            top[rows, group] -= 1
-            back += top @ self.top
-            self.top -= rate * (top.T @ hidden) / _spread(len(at))
-            self.top_bias -= rate * top.sum(axis=0) / _spread(len(at))
+            top /= whole
+            top[group, np.arange(len(at))] -= 1
+            back += top.T @ self.top
+            self.top -= rate * (top @ hidden) / _spread(len(at))
+            self.top_bias -= rate * top.sum(axis=1) / _spread(len(at))
             back *= 1 - hidden**2
             spread = back[:, None, :] * self.place
             self.place -= rate * np.einsum("bd,bpd->pd", back, seen) / _spread(len(at)) ** 2
             flat, size = near.ravel(), len(self.embed)
             often = np.sqrt(np.bincount(flat, minlength=size) + 1.0)
+            by_size = np.ascontiguousarray(spread.reshape(-1, self.shape.size).T)
             for d in range(self.shape.size):
-                total = np.bincount(flat, spread[:, :, d].ravel(), size)
+                total = np.bincount(flat, by_size[d], size)
                 self.embed[:, d] -= rate * total / often
             self.embed[-1] = 0
         return logs
@@ -137,13 +137,17 @@ def _spread(n: int) -> float:
     return float(np.sqrt(n))
 
 
-def _choice(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of the columns ``goal`` and, in place of ``x``, numbers
-    in proportion to the probabilities of all columns."""
-    x -= x.max(axis=1, keepdims=True)
-    picked = x[np.arange(len(x)), goal]
+def _choice(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probabilities of ``goal``, a choice (row of ``x``) for each column; in place of
+    ``x``, numbers in proportion to the probabilities of all choices, and their sums.
+
+    Columns are the places of a batch, so that numpy takes many of them at once.
+    """
+    x -= x.max(axis=0)
+    picked = x[goal, np.arange(x.shape[1])]
     np.exp(x, out=x)
-    return picked - np.log(x.sum(axis=1)), x
+    total = x.sum(axis=0)
+    return picked - np.log(total), x, total
 
 
 def _bucket(word: bytes, buckets: int) -> int:
