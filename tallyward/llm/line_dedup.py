@@ -254,14 +254,15 @@ def _apart(a: str, b: str, similarity: float) -> Column:
 
 
 def _sifted(rows: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
-    """The rows whose ``columns`` are among those of ``wanted``, and few others: two
-    tables of at most a million hash values each are sent to all tasks, so that what is
-    in neither is not moved for the join that decides."""
-    for seed in (1, 2):
-        slot = F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(_SIEVE)).cast("int")
-        sieve = wanted.select(slot.alias(f"_slot_{seed}")).distinct()
-        rows = rows.join(F.broadcast(sieve), slot == F.col(f"_slot_{seed}"), "left_semi")
-    return rows
+    """The rows whose ``columns`` are among those of ``wanted``, and few others: a table
+    of at most a million hash values is sent to all tasks, so that what is not in it is
+    not moved for the join that decides."""
+
+    def slot() -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(_SIEVE))
+
+    sieve = wanted.select(slot().alias("_slot")).distinct()
+    return rows.join(F.broadcast(sieve), slot() == F.col("_slot"), "left_semi")
 
 
 def _coded(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -376,9 +377,9 @@ def _by_rare_words(mixed: DataFrame, coded: DataFrame, similarity: float) -> Dat
     ranked = ranked.select(
         "node", "n_words", F.explode(F.slice("ranked", F.lit(1), most + 1)).alias("own")
     )
-    met = mixed.select("key", "node", "root").join(
-        ranked.where("own.lines > 1").select("node", "n_words", "own.word"), "node"
-    )
+    # Written: both sides of the join would rank the lines.
+    ranked = settled(ranked.where("own.lines > 1").select("node", "n_words", "own.word"), "ranked")
+    met = mixed.select("key", "node", "root").join(ranked, "node")
     other = met.select(
         "key",
         "word",
