@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,12 @@ def test_scores_equal_a_plain_loop(spark, listed):
     for i, t in texts:
         assert got[i].n_tokens == len((t or "").split())
         assert got[i].log_prob == pytest.approx(plain(t), rel=1e-4, abs=1e-4)
+
+
+def test_choices_are_rows_and_places_columns():
+    x = np.random.default_rng(2).normal(0, 3, (5, 7)).astype(np.float32)
+    goal = np.arange(7) % 5
+    whole = np.exp(x.astype(np.float64)).sum(axis=0)
+    logs, odds, total = lm_scoring._choice(x.copy(), goal)
+    assert logs == pytest.approx(x[goal, np.arange(7)] - np.log(whole), abs=1e-5)
+    assert odds / total == pytest.approx(np.exp(x) / whole, abs=1e-6)
