@@ -357,7 +357,8 @@ def _by_rare_words(mixed: DataFrame, coded: DataFrame, similarity: float) -> Dat
 
     Words are ranked by how many of these lines have them, then by value. Of similar
     lines at most ``1 - similarity`` of each one's words are not in the other, so the
-    first word they share is among that many of both, and one more.
+    first word they share is among that many of both, and one more. Each pair comes
+    once, by the first key and the first word that both have.
     """
     lines = coded.join(mixed.select("node").distinct(), "node").select(
         "node",
@@ -374,23 +375,29 @@ def _by_rare_words(mixed: DataFrame, coded: DataFrame, similarity: float) -> Dat
         F.array_sort(F.collect_list(own)).alias("ranked")
     )
     most = F.floor(F.col("n_words") * (1 - similarity) + 1e-9).cast("int")
-    ranked = ranked.select(
-        "node", "n_words", F.explode(F.slice("ranked", F.lit(1), most + 1)).alias("own")
-    )
+    rare = F.filter(F.slice("ranked", F.lit(1), most + 1), lambda own: own["lines"] > 1)
     # Written: both sides of the join would rank the lines.
-    ranked = settled(ranked.where("own.lines > 1").select("node", "n_words", "own.word"), "ranked")
-    met = mixed.select("key", "node", "root").join(ranked, "node")
-    other = met.select(
-        "key",
-        "word",
-        F.col("node").alias("other"),
-        F.col("root").alias("root_b"),
-        F.col("n_words").alias("n_b"),
-    )
-    pairs = met.join(other, ["key", "word"]).where("root < root_b")
-    pairs = pairs.where(~_apart("n_words", "n_b", similarity))
+    ranked = settled(ranked.select("node", "n_words", rare["word"].alias("rare")), "ranked")
+    held = mixed.groupBy("node", "root").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    held = held.join(ranked, "node")
+
+    def placed(name: str, array: str) -> DataFrame:
+        """``held`` for each entry of an array, with those before it."""
+        each = held.select("*", F.posexplode(array).alias("_at", name))
+        before = F.slice(array, F.lit(1), F.col("_at")).alias(f"before_{name}")
+        return each.select("*", before).drop("_at", array)
+
+    held = placed("key", "keys")
+    held = placed("word", "rare")
+    # Both sides are the same rows, which are shuffled once. Lines that share several
+    # keys or words meet by the first of each only.
+    one, two = held.alias("one"), held.alias("two")
+    pairs = one.join(two, [F.col(f"one.{c}") == F.col(f"two.{c}") for c in ("key", "word")])
+    pairs = pairs.where("one.root < two.root").where(~_apart("one.n_words", "two.n_words", similarity))
+    for before in ("before_key", "before_word"):
+        pairs = pairs.where(~F.arrays_overlap(f"one.{before}", f"two.{before}"))
     return pairs.select(
-        F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")
+        F.greatest("one.node", "two.node").alias("a"), F.least("one.node", "two.node").alias("b")
     )
 
 

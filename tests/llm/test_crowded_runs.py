@@ -23,3 +23,22 @@ def test_sifting_keeps_what_is_wanted_and_few_others(spark):
     assert got >= set(range(0, 200_000, 4))
     # A slot of a million is taken by one wanted value in twenty.
     assert len(got) - 50_000 < 150_000 / 15
+
+
+def test_lines_that_share_several_keys_and_words_meet_once(spark):
+    """As many rows as pairs, whatever number of keys and rare words two lines share."""
+    shared = "abcdefgh"
+    lines = [(i, shared + chr(0x4E00 + i)) for i in range(12)]
+    coded = spark.createDataFrame(lines, "node long, coded string")
+    placed = [(key, i, i) for i in range(12) for key in (5, 6, 7)]
+    mixed = spark.createDataFrame(placed, "key long, node long, root long")
+    pairs = line_dedup._by_rare_words(mixed, coded, 0.5).collect()
+    assert len(pairs) == 12 * 11 / 2
+    assert {(r.a, r.b) for r in pairs} == {(a, b) for a in range(12) for b in range(a)}
+    # Lines of one component, or without a common key, do not meet.
+    apart = [(i % 2, i, i // 4) for i in range(12)]
+    mixed = spark.createDataFrame(apart, "key long, node long, root long")
+    pairs = {(r.a, r.b) for r in line_dedup._by_rare_words(mixed, coded, 0.5).collect()}
+    assert pairs == {
+        (a, b) for a in range(12) for b in range(a) if a % 2 == b % 2 and a // 4 != b // 4
+    }
