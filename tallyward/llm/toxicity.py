@@ -17,6 +17,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +34,7 @@ _APART = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 _MOST_CHARS, _STEP = 24, 12
 _TEXTS = 128  # taken out of Arrow and described at a time
 _CELLS = 500_000  # of a dense table of words by sequences
+_LISTED = 1 << 22  # sequences of letters that are listed by whether a landmark has them
 _KNOWN, _KEPT = 150_000, 4_000_000  # words remembered, and numbers of their rows
 
 
@@ -52,6 +54,15 @@ def pieces(word: str) -> list[str]:
     return [word[i : i + _MOST_CHARS] for i in range(0, len(word) - _STEP, _STEP)]
 
 
+@lru_cache(maxsize=64)
+def _places(size: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places that ``length`` of ``size`` characters can be picked from, a row for each
+    way; the first and last places there are, and which of these each row has."""
+    picked = np.array(list(combinations(range(size), length)))
+    ends, end_of = np.unique(picked[:, [0, -1]], axis=0, return_inverse=True)
+    return picked, ends.T, end_of.ravel()
+
+
 def codes(words: list[str], pad: int) -> np.ndarray:
     """Code points, a row for each word."""
     width = max(map(len, words), default=0)
@@ -116,13 +127,24 @@ class Landmarks:
         self.features = np.zeros(0, dtype=np.int64)
         parts = [(i, *self._sequences(codes([w], -1))) for i, w in enumerate(self.words)]
         self.features = np.unique(np.concatenate([k.ravel() for _, k, _ in parts] or [[]]))
-        self.features = self.features.astype(np.int64)
+        self.features = self.features[self.features >= 0].astype(np.int64)
+        most = len(letters) ** self.length
+        self.listed = None
+        if most <= _LISTED:  # one more for -1
+            self.listed = np.zeros(most + 1, dtype=bool)
+            self.listed[self.features] = True
         self.weights = np.zeros((len(self.features), len(self.words)), dtype=np.float32)
         for i, keys, value in parts:
             at = np.searchsorted(self.features, keys[0])
             np.add.at(self.weights[:, i], at, value[0])
             self.weights[:, i] /= max(float(self._own(codes([self.words[i]], -1))[0]) ** 0.5, 1e-12)
 
+    def _has(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys are a landmark's."""
+        if self.listed is None:
+            return np.isin(keys, self.features)
+        return self.listed[keys]
+
     def _costs(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What each character costs if spanned, and counts if matched."""
         kinds, back = np.unique(table, return_inverse=True)
@@ -140,20 +162,23 @@ class Landmarks:
         """All subsequences of words of one length: their keys (-1 with a character
         of no landmark) and weights."""
         decay, worth = self._costs(table)
+        picked, ends, end_of = _places(table.shape[1], self.length)
+        # A row for each place: what is picked are whole rows.
         spans = np.cumsum(np.log(decay), axis=1)
-        starts = spans - np.log(decay)
+        starts = (spans - np.log(decay)).T
+        weight = np.exp(spans.T[ends[1]] - starts[ends[0]])[end_of]
         at = np.searchsorted(self.letters, table)
         at = np.minimum(at, len(self.letters) - 1)
-        at = np.where(self.letters[at] == table, at, -1)
-        picked = np.array(list(combinations(range(table.shape[1]), self.length)))
-        key = np.zeros((len(table), len(picked)), dtype=np.int64)
-        weight = np.exp(spans[:, picked[:, -1]] - starts[:, picked[:, 0]])
-        known = np.ones(key.shape, dtype=bool)
-        for column in picked.T:
-            known &= at[:, column] >= 0
-            key = key * len(self.letters) + at[:, column]
-            weight *= worth[:, column]
-        return np.where(known, key, -1), weight
+        # So far below nought that no other two letters make up for it.
+        none = -(len(self.letters) ** self.length)
+        at = np.where(self.letters[at] == table, at, none).T.copy()
+        worth = worth.T.copy()
+        key = np.zeros(weight.shape, dtype=np.int64)
+        for place in picked.T:
+            key *= len(self.letters)
+            key += at[place]
+            weight *= worth[place]
+        return np.maximum(key, -1, out=key).T, weight.T
 
     def similarity(self, words: list[str]) -> np.ndarray:
         """A row for each word, a column for each landmark."""
@@ -169,9 +194,9 @@ class Landmarks:
 
     def _compared(self, table: np.ndarray) -> np.ndarray:
         keys, weight = self._sequences(table)
-        at = np.minimum(np.searchsorted(self.features, keys), len(self.features) - 1)
-        row, column = np.nonzero(self.features[at] == keys)
-        cell = row * len(self.features) + at[row, column]
+        row, column = np.nonzero(np.ascontiguousarray(self._has(keys)))
+        at = np.searchsorted(self.features, keys[row, column])
+        cell = row * len(self.features) + at
         shared = np.bincount(cell, weight[row, column], len(table) * len(self.features))
         shared = shared.reshape(len(table), -1).astype(np.float32)
         shared = shared @ self.weights

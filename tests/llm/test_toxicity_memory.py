@@ -43,3 +43,24 @@ def test_remembered_words_are_bounded():
     for at in range(0, 24000, 1000):
         marks.describe([" ".join(f"abc{i}def" for i in range(at, at + 1000))], known, kept)
         assert len(known) <= 151_000 and len(kept) * 300 <= 4_300_000
+
+
+def test_sequences_are_looked_up_in_a_list_of_the_landmarks():
+    """The list has the landmarks' sequences and no other; without it, and with letters
+    of no landmark, similarities are the same, and those of the definition."""
+    marks = toxicity.Landmarks(["idiot", "moron", "loser"])
+    assert marks.listed.sum() == len(marks.features) and marks.listed[marks.features].all()
+    words = ["idiot", "idixxot", "xxx", "i.d.i.o.t", "moros", "zebra", "lo一ser", "tori"]
+    found = marks.similarity(words)
+    marks.listed = None
+    assert (marks.similarity(words) == found).all()
+    for i, word in enumerate(words):
+        table, own = toxicity.codes([word], -1), []
+        for j, mark in enumerate(marks.words):
+            keys, weight = marks._sequences(table)
+            of, value = marks._sequences(toxicity.codes([mark], -1))
+            same = (keys[0][:, None] == of[0]) & (keys[0][:, None] >= 0)
+            own.append((weight[0][:, None] * value[0] * same).sum())
+            own[j] /= (marks._own(table)[0] * marks._own(toxicity.codes([mark], -1))[0]) ** 0.5
+        assert abs(found[i] - [v**marks.power for v in own]).max() < 1e-5
+    assert found[0, 0] > 0.999 and not found[2].any()
