@@ -196,10 +196,7 @@ class Landmarks:
         keys, weight = self._sequences(table)
         row, column = np.nonzero(np.ascontiguousarray(self._has(keys)))
         at = np.searchsorted(self.features, keys[row, column])
-        cell = row * len(self.features) + at
-        shared = np.bincount(cell, weight[row, column], len(table) * len(self.features))
-        shared = shared.reshape(len(table), -1).astype(np.float32)
-        shared = shared @ self.weights
+        shared = self._summed(row, at, weight[row, column], len(table))
         # A word's own kernel is the sum of squares of its distinct sequences' weights,
         # no less than that of all of them apart: most words need no more than this bound.
         most = np.sqrt(np.einsum("nk,nk->n", weight, weight))[:, None]
@@ -211,6 +208,21 @@ class Landmarks:
         found[near] = self.above(np.minimum(shared[near] / norm, 1.0) ** self.power)
         return found
 
+    def _summed(self, row: np.ndarray, at: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """For ``n`` words, the landmarks' weights of the sequences each has, times its own;
+        ``row`` rises. Most words have so few that no table of all sequences is made."""
+        if len(at) * len(self.words) > n * len(self.features):
+            cell = row * len(self.features) + at
+            table = np.bincount(cell, weight, n * len(self.features)).reshape(n, -1)
+            return table.astype(np.float32) @ self.weights
+        shared = np.zeros((n, len(self.words)), dtype=np.float32)
+        if len(row):
+            each = self.weights[at]
+            each *= weight.astype(np.float32)[:, None]
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            shared[row[starts]] = np.add.reduceat(each, starts, axis=0)
+        return shared
+
     def above(self, similar: np.ndarray) -> np.ndarray:
         """Similarities less the floors, from 0 to 1 again."""
         return np.maximum(similar - self.floors, 0) / (1 - np.minimum(self.floors, 0.999))

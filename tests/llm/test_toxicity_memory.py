@@ -3,6 +3,7 @@
 import random
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -64,3 +65,15 @@ def test_sequences_are_looked_up_in_a_list_of_the_landmarks():
             own[j] /= (marks._own(table)[0] * marks._own(toxicity.codes([mark], -1))[0]) ** 0.5
         assert abs(found[i] - [v**marks.power for v in own]).max() < 1e-5
     assert found[0, 0] > 0.999 and not found[2].any()
+
+
+def test_few_sequences_are_summed_without_a_table_of_all(monkeypatch):
+    marks = toxicity.Landmarks(["idiot", "moron", "loser", "disgusting", "worthless"])
+    row, at = np.array([0, 0, 2, 2, 2]), np.array([3, 5, 3, 3, 7])
+    weight = np.array([0.5, 0.25, 1.0, 2.0, 0.125])
+    whole = np.zeros((4, len(marks.features)))
+    np.add.at(whole, (row, at), weight)
+    monkeypatch.setattr(np, "bincount", None)
+    found = marks._summed(row, at, weight, 4)
+    assert abs(found - whole @ marks.weights).max() < 1e-6
+    assert not marks._summed(row[:0], at[:0], weight[:0], 2).any()
